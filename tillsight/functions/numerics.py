@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +83,18 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2.0 * math.pi) + series - F.log(shift)
 
 
+def log_gamma_array(x: np.ndarray) -> np.ndarray:
+    """The same formula for NumPy arrays, used inside Arrow batches."""
+    x = np.asarray(x, dtype=float)
+    y = x + 8.0
+    shift = np.ones_like(x)
+    for k in range(8):
+        shift = shift * (x + k)
+    r = 1.0 / (y * y)
+    series = (1.0 / 12.0 - r * (1.0 / 360.0 - r * (1.0 / 1260.0 - r / 1680.0))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2.0 * math.pi) + series - np.log(shift)
+
+
 def log_beta(a: Column, b: Column) -> Column:
     return log_gamma(a) + log_gamma(b) - log_gamma(a + b)
 

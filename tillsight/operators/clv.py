@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,28 +138,28 @@ def _minimise(batch: Callable[[np.ndarray], np.ndarray], size: int, tolerance: f
     return x, float(value)
 
 
-def _fit(points: DataFrame, names: Sequence[str], loglik: Callable[[dict], Column], penalty: float) -> dict:
-    """Fit `loglik` on rows weighted by `w`; parameters travel as data.
+def _fit(points: DataFrame, names: Sequence[str], columns: Sequence[str], loglik: Callable, penalty: float) -> dict:
+    """Fit `loglik` on rows weighted by `w`.
 
-    The parameter vectors are an array literal that is exploded next to each
-    point, so the generated code is the same at every step and compiled once.
+    A step scores all its parameter vectors in one pass: every Arrow batch turns
+    into one partial sum per vector, and Spark adds the partial sums up.
     """
-    constants = _parameter_columns(names)
+    wanted = points.select(*columns, "w")
 
     def batch(log_vectors: np.ndarray) -> np.ndarray:
         vectors = np.exp(np.clip(log_vectors, -30.0, 30.0))
-        thetas = F.array(
-            *[
-                F.struct(F.lit(i).alias("i"), *[F.lit(float(v)).alias(k) for k, v in zip(names, row)])
-                for i, row in enumerate(vectors)
-            ]
-        )
-        scored = points.select("*", F.explode(thetas).alias("t")).select("*", "t.*").select(
-            "i", "w", loglik(constants).alias("ll")
-        )
-        sums = scored.groupBy("i").agg(F.sum(F.col("w") * F.col("ll")), F.sum("w")).collect()
+
+        def partial_sums(frames):
+            for frame in frames:
+                arrays = [frame[c].to_numpy()[None, :] for c in columns]
+                w = frame["w"].to_numpy()
+                with np.errstate(all="ignore"):
+                    scores = loglik(*[vectors[:, [j]] for j in range(len(names))], *arrays) @ w
+                yield pd.DataFrame({"i": np.arange(len(vectors)), "ll": scores, "w": w.sum()})
+
+        summed = wanted.mapInPandas(partial_sums, "i long, ll double, w double").groupBy("i")
         out = np.full(len(vectors), np.inf)
-        for i, total, weight in sums:
+        for i, total, weight in summed.agg(F.sum("ll"), F.sum("w")).collect():
             if total is not None and math.isfinite(total):
                 out[i] = -total / weight + penalty * float(np.sum(vectors[i] ** 2))
         return out
@@ -169,10 +170,6 @@ def _fit(points: DataFrame, names: Sequence[str], loglik: Callable[[dict], Colum
     return fitted
 
 
-def _parameter_columns(names: Sequence[str]) -> dict:
-    return {k: F.col(k) for k in names}
-
-
 def _scaled_points(summary: DataFrame, frequency: str, recency: str, age: str) -> tuple[DataFrame, float]:
     """Distinct (x, t_x, T) with weights, times scaled to a common span."""
     distinct = materialize(
@@ -190,16 +187,12 @@ def _scaled_points(summary: DataFrame, frequency: str, recency: str, age: str) -
 # --- BG/NBD -----------------------------------------------------------------------
 
 
-def _bgnbd_loglik(p: dict) -> Column:
-    x, t_x, age = F.col("x"), F.col("t_x"), F.col("age")
-    r, alpha, a, b = p["r"], p["alpha"], p["a"], p["b"]
-    base = nx.log_gamma(r + x) - nx.log_gamma(r) + r * F.log(alpha)
-    base = base + nx.log_gamma(a + b) + nx.log_gamma(b + x) - nx.log_gamma(b) - nx.log_gamma(a + b + x)
-    alive = -(r + x) * F.log(alpha + age)
-    gone = F.log(a) - F.log(b + x - 1.0) - (r + x) * F.log(alpha + t_x)
-    top = F.greatest(alive, gone)
-    both = top + F.log(F.exp(alive - top) + F.exp(gone - top))
-    return base + F.when(x > 0, both).otherwise(alive)
+def _bgnbd_loglik(r, alpha, a, b, x, t_x, age):
+    lg = nx.log_gamma_array
+    base = lg(r + x) - lg(r) + r * np.log(alpha) + lg(a + b) + lg(b + x) - lg(b) - lg(a + b + x)
+    alive = -(r + x) * np.log(alpha + age)
+    gone = np.log(a) - np.log(b + np.maximum(x, 1.0) - 1.0) - (r + x) * np.log(alpha + t_x)
+    return base + np.where(x > 0, np.logaddexp(alive, gone), alive)
 
 
 def fit_bgnbd(
@@ -207,7 +200,7 @@ def fit_bgnbd(
 ) -> dict:
     """Parameters r, alpha, a, b of the beta-geometric / NBD purchase model."""
     points, scale = _scaled_points(summary, frequency, recency, age)
-    fitted = _fit(points, ["r", "alpha", "a", "b"], _bgnbd_loglik, penalty)
+    fitted = _fit(points, ["r", "alpha", "a", "b"], ["x", "t_x", "age"], _bgnbd_loglik, penalty)
     fitted["alpha"] /= scale
     return fitted
 
@@ -236,18 +229,10 @@ def predict_holdout(table: DataFrame, p: dict, horizon: float, name: str = "pred
 # --- Gamma-Gamma and lifetime value --------------------------------------------------
 
 
-def _gamma_gamma_loglik(c: dict) -> Column:
-    x, m = F.col("x"), F.col("m")
-    p, q, v = c["p"], c["q"], c["v"]
-    return (
-        nx.log_gamma(p * x + q)
-        - nx.log_gamma(p * x)
-        - nx.log_gamma(q)
-        + q * F.log(v)
-        + (p * x - 1.0) * F.log(m)
-        + p * x * F.log(x)
-        - (p * x + q) * F.log(x * m + v)
-    )
+def _gamma_gamma_loglik(p, q, v, x, m):
+    lg = nx.log_gamma_array
+    front = lg(p * x + q) - lg(p * x) - lg(q) + q * np.log(v)
+    return front + (p * x - 1.0) * np.log(m) + p * x * np.log(x) - (p * x + q) * np.log(x * m + v)
 
 
 def fit_gamma_gamma(
@@ -259,7 +244,7 @@ def fit_gamma_gamma(
         .groupBy(F.col(frequency).cast("double").alias("x"), F.col(monetary).alias("m"))
         .agg(F.count(F.lit(1)).cast("double").alias("w"))
     )
-    return _fit(points, ["p", "q", "v"], _gamma_gamma_loglik, penalty)
+    return _fit(points, ["p", "q", "v"], ["x", "m"], _gamma_gamma_loglik, penalty)
 
 
 def expected_spend(p: dict, x: Column, m: Column) -> Column:
@@ -317,8 +302,19 @@ def _pareto_log_parts(p: dict, x: Column, t_x: Column, age: Column) -> tuple[Col
     return front + total, front + active
 
 
-def _pareto_loglik(p: dict) -> Column:
-    return _pareto_log_parts(p, F.col("x"), F.col("t_x"), F.col("age"))[0]
+def _pareto_loglik(r, alpha, s, beta, x, t_x, age):
+    lg = nx.log_gamma_array
+    front = lg(r + x) - lg(r) + r * np.log(alpha) + s * np.log(beta)
+    active = -(r + x) * np.log(alpha + age) - s * np.log(beta + age)
+    start = np.log(alpha + t_x)
+    half = (np.log(alpha + age) - start) / 2.0
+    peak = -(r + x - 1.0) * start - (s + 1.0) * np.log(beta + t_x)
+    area = np.zeros(np.broadcast_shapes(r.shape, x.shape))
+    for node, weight in zip(_NODES, _WEIGHTS):
+        y = start + half * (node + 1.0)
+        area += weight * np.exp(-(r + x - 1.0) * y - (s + 1.0) * np.log(beta - alpha + np.exp(y)) - peak)
+    left = np.log(s) + peak + np.log(half * area)
+    return front + np.logaddexp(active, left)
 
 
 def fit_pareto_nbd(
@@ -326,7 +322,7 @@ def fit_pareto_nbd(
 ) -> dict:
     """Parameters r, alpha, s, beta of the Pareto / NBD purchase model."""
     points, scale = _scaled_points(summary, frequency, recency, age)
-    fitted = _fit(points, ["r", "alpha", "s", "beta"], _pareto_loglik, penalty)
+    fitted = _fit(points, ["r", "alpha", "s", "beta"], ["x", "t_x", "age"], _pareto_loglik, penalty)
     fitted["alpha"] /= scale
     fitted["beta"] /= scale
     return fitted
