@@ -24,10 +24,12 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: Sequenc
 def class_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Precision, recall, F1 and support per class (zero where undefined)."""
     cells = _cells(df, actual, predicted)
-    sides = F.array(
-        F.struct(F.col("actual").alias("label"), F.col("n").alias("is_actual"), F.lit(0).cast("bigint").alias("is_pred")),
-        F.struct(F.col("predicted"), F.lit(0).cast("bigint"), F.col("n")),
-    ).cast("array<struct<label:int,is_actual:bigint,is_pred:bigint>>")
+    none = F.lit(0).cast("bigint")
+
+    def side(label: str, is_actual, is_pred):
+        return F.struct(F.col(label).alias("label"), is_actual.alias("is_actual"), is_pred.alias("is_pred"))
+
+    sides = F.array(side("actual", F.col("n"), none), side("predicted", none, F.col("n")))
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
     long = cells.select(F.explode(sides).alias("s"), hit.alias("hit")).select("s.*", "hit")
     folded = long.groupBy("label").agg(

@@ -23,7 +23,7 @@ NEGATION_REACH = 3
 COMPOUND_ALPHA = 15.0
 NEUTRAL_BAND = 0.05
 
-# A scorer takes a frame with a text column and adds integer stars.
+# A scorer takes distinct texts (with their digest) and adds integer `predicted_stars`.
 Scorer = Callable[[DataFrame, str], DataFrame]
 
 
@@ -82,11 +82,22 @@ def lexicon_sentiment(
     return df.join(totals, list(key), "left").withColumn(name, s / F.sqrt(s * s + COMPOUND_ALPHA)).drop("_s")
 
 
+def score_distinct(df: DataFrame, text: str, scorer: Scorer) -> DataFrame:
+    """Score every distinct text once and attach the stars to all its rows.
+
+    Texts meet their scores by a 256-bit digest, so long texts are neither
+    grouped nor joined on.
+    """
+    keyed = df.withColumn("_digest", F.sha2(text, 256))
+    scored = scorer(keyed.select("_digest", text).distinct(), text)
+    return keyed.join(scored.select("_digest", "predicted_stars"), "_digest", "left").drop("_digest")
+
+
 def lexicon_star_scorer(lexicon: DataFrame, negators: Sequence[str]) -> Scorer:
     """Stars 1-5 from fifths of the compound range."""
 
     def score(df: DataFrame, text: str) -> DataFrame:
-        scored = lexicon_sentiment(df, [text], text, lexicon, negators, "_compound")
+        scored = lexicon_sentiment(df, ["_digest"], text, lexicon, negators, "_compound")
         stars = 1 + F.least(F.floor((F.col("_compound") + 1.0) * 2.5), F.lit(4)).cast("int")
         return scored.withColumn("predicted_stars", stars).drop("_compound")
 
@@ -112,9 +123,7 @@ def aspect_mentions(df: DataFrame, aspects: dict[str, Sequence[str]], keep: Sequ
 
 
 def score_sentences(mentions: DataFrame, scorer: Scorer) -> DataFrame:
-    """Score every distinct sentence once and join the stars back."""
-    scored = scorer(mentions.select("sentence").distinct(), "sentence")
-    return mentions.join(scored, "sentence", "left").select(*mentions.columns, "predicted_stars")
+    return score_distinct(mentions, "sentence", scorer)
 
 
 def aspect_summary(scored: DataFrame) -> DataFrame:
@@ -152,10 +161,10 @@ def review_facts(reviews: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def text_length(df: DataFrame, column: str) -> DataFrame:
-    lengths = df.select(F.length(column).cast("double").alias("n"))
-    median = ranking.exact_percentiles(lengths, "n", {"m": 0.5}).scalar()
+    lengths = df.select(F.length(column).cast("double").alias("chars"))
+    median = ranking.exact_percentiles(lengths, "chars", {"m": 0.5}).scalar()
     return lengths.agg(
-        F.min("n").cast("bigint").alias("shortest"), F.max("n").cast("bigint").alias("longest")
+        F.min("chars").cast("bigint").alias("shortest"), F.max("chars").cast("bigint").alias("longest")
     ).select("shortest", median.alias("median"), "longest")
 
 

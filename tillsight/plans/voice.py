@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillsight.functions import text as tx
-from tillsight.operators import cleaning, documents, metrics, quality, ranking, reviews, topics
+from tillsight.operators import cleaning, documents, metrics, quality, reviews, topics
 from tillsight.plans import canonical as cn
 from tillsight.plans import check_sql as cs
 from tillsight.plans.registry import query
-from tillsight.sources.staging import materialize
 
 SAMPLE_FRACTION = 0.4
 MIN_TOPIC_SIZE = 48
@@ -203,8 +202,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     rows = cn.reviews_text(spark, sf_dir).select("review_id", "full_text")
-    texts = rows.select("full_text").distinct()
-    return rows.join(scorer(spark)(texts, "full_text"), "full_text").select("review_id", "predicted_stars")
+    return reviews.score_distinct(rows, "full_text", scorer(spark)).select("review_id", "predicted_stars")
 
 
 # --- aspects ---------------------------------------------------------------------
@@ -496,9 +494,9 @@ cs.view(
     """SELECT label, CASE WHEN p > 0 THEN CAST(tp AS DOUBLE) / p ELSE 0 END AS "precision",
   CASE WHEN s > 0 THEN CAST(tp AS DOUBLE) / s ELSE 0 END AS recall,
   CASE WHEN p + s > 0 THEN 2e0 * tp / (p + s) ELSE 0 END AS f1, s AS support
-FROM (SELECT label, (SELECT COUNT(*) FROM preds WHERE pred = label) AS p, (SELECT COUNT(*) FROM preds WHERE stars = label) AS s,
-    (SELECT COUNT(*) FROM preds WHERE stars = label AND pred = label) AS tp
-  FROM (SELECT stars AS label FROM preds UNION SELECT pred FROM preds))""",
+FROM (SELECT k.c AS label, (SELECT COUNT(*) FROM preds WHERE pred = k.c) AS p, (SELECT COUNT(*) FROM preds WHERE stars = k.c) AS s,
+    (SELECT COUNT(*) FROM preds WHERE stars = k.c AND pred = k.c) AS tp
+  FROM (SELECT stars AS c FROM preds UNION SELECT pred FROM preds) k)""",
 )
 
 
