@@ -14,16 +14,22 @@ def day(column: str = "invoice_date") -> Column:
     return F.to_date(F.col(column))
 
 
-def rfm(customer_lines: DataFrame, all_lines: DataFrame) -> DataFrame:
-    """Recency (against the newest line of all), frequency, monetary, returns."""
-    newest = all_lines.agg(F.max(day())).scalar()
-    per_customer = customer_lines.groupBy("customer_id").agg(
-        F.max(day()).alias("last_purchase_date"),
-        F.countDistinct("invoice").alias("frequency"),
-        exact_sum(F.col("line_value")).alias("monetary"),
-        F.bool_or("is_cancellation").alias("has_returned"),
+def rfm(lines: DataFrame) -> DataFrame:
+    """Recency (against the newest line of all), frequency, monetary, returns.
+
+    Lines without a customer only matter for the newest day; they form one more
+    group here, so the lines are read once.
+    """
+    per_customer = materialize(
+        lines.groupBy(F.col("customer_id").cast("bigint").alias("customer_id")).agg(
+            F.max(day()).alias("last_purchase_date"),
+            F.countDistinct("invoice").alias("frequency"),
+            exact_sum(F.col("line_value")).alias("monetary"),
+            F.bool_or("is_cancellation").alias("has_returned"),
+        )
     )
-    return per_customer.select(
+    newest = per_customer.agg(F.max("last_purchase_date")).scalar()
+    return per_customer.where(F.col("customer_id").isNotNull()).select(
         "customer_id",
         F.datediff(newest, "last_purchase_date").alias("recency_days"),
         "frequency",

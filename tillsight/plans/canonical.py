@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tillsight.functions import text as tx
 from tillsight.operators import cleaning
@@ -50,12 +51,35 @@ LEXICON = {
 NEGATORS = ["for", "on", "le", "by"]
 
 
+_schemas: dict[str, StructType] = {}
+_splits: dict[tuple[str, int], int] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; its schema is read from the file footer once per process."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """The columns of a source, shuffled by key only where it has fewer splits than cores.
+
+    A small file with a single row group would keep all later work in one task.
+    """
+    df = table(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    at = (f"{sf_dir}/{name}", cores)
+    if at not in _splits:
+        _splits[at] = df.rdd.getNumPartitions()
+    return df.repartition(cores, key) if _splits[at] < cores else df
 
 
 def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
+    lines = spread_table(
+        spark, sf_dir, "lineitem", "l_orderkey", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag"
+    )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     buyers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -67,8 +91,16 @@ def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     )
     key, part = F.col("l_orderkey"), F.col("l_partkey")
-    copies = F.array_compact(
-        F.array(F.lit(0), F.when(key % 31 == 0, F.lit(1)), F.when(key % 40 == 0, F.lit(2)))
+    repeated, reversed_later = key % 31 == 0, key % 40 == 0
+
+    def copies_of(*numbers: int):
+        return F.array(*[F.lit(n) for n in numbers])
+
+    copies = (
+        F.when(repeated & reversed_later, copies_of(0, 1, 2))
+        .when(repeated, copies_of(0, 1))
+        .when(reversed_later, copies_of(0, 2))
+        .otherwise(copies_of(0))
     )
     returned = (F.col("l_returnflag") == "R") & (key % 20 == 7)
     mirrored = F.col("copy") == 2
@@ -93,7 +125,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "lang", "source")
     labels = table(spark, sf_dir, "labels")
     i = F.col("doc_id")
     stars = (
@@ -143,7 +175,7 @@ def experiment_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     x = F.col("x").cast("decimal(12,4)")
     daily = (
-        table(spark, sf_dir, "events")
+        spread_table(spark, sf_dir, "events", "event_id", "event_id", "ts", "user_id", "event_type", "value", "props")
         .select(
             F.col("event_type").alias("experiment_id"),
             (F.col("user_id") % 3).cast("int").alias("arm"),

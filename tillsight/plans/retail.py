@@ -8,6 +8,7 @@ from tillsight.operators import cleaning, customers, quality
 from tillsight.plans import canonical as cn
 from tillsight.plans import check_sql as cs
 from tillsight.plans.registry import query
+from tillsight.sources.staging import materialize
 
 CUT = f"DATE '{cn.CUTOFF}'"
 
@@ -16,6 +17,11 @@ def customer_lines(spark, sf_dir):
     return cleaning.customer_lines(cn.transactions(spark, sf_dir))
 
 
+def stored_lines(spark, sf_dir):
+    """The curated table, written once for queries that read it more than once."""
+    return materialize(cn.transactions(spark, sf_dir))
+
+
 # --- cleaning ---------------------------------------------------------------
 
 
@@ -85,8 +91,7 @@ FROM tx_c GROUP BY customer_id"""
 
 @query("a1_rfm", cs.using("tx_c") + _RFM)
 def _(spark, sf_dir):
-    lines = cn.transactions(spark, sf_dir)
-    return customers.rfm(cleaning.customer_lines(lines), lines)
+    return customers.rfm(cn.transactions(spark, sf_dir))
 
 
 _SPEND = f"""SELECT customer_id, {cs.money("line_value")} AS monetary, BOOL_OR(is_cancellation) AS has_returned
@@ -135,7 +140,7 @@ s AS (SELECT t.customer_id, dim.country, {cs.money("line_value")} AS monetary
     + f"SELECT country, COUNT(*) AS customers, {cs.money('monetary')} AS monetary FROM s GROUP BY country",
 )
 def _(spark, sf_dir):
-    lines = customer_lines(spark, sf_dir)
+    lines = cleaning.customer_lines(stored_lines(spark, sf_dir))
     dim = customers.modal_value(lines, "customer_id", "country")
     per_customer = lines.groupBy("customer_id").agg(customers.exact_sum(F.col("line_value")).alias("monetary"))
     return (
@@ -155,7 +160,7 @@ def _(spark, sf_dir):
     + "SELECT *, RANK() OVER (PARTITION BY country ORDER BY monetary DESC) AS rank_in_country FROM s",
 )
 def _(spark, sf_dir):
-    lines = customer_lines(spark, sf_dir)
+    lines = cleaning.customer_lines(stored_lines(spark, sf_dir))
     return customers.rank_in_country(lines, customers.modal_value(lines, "customer_id", "country"))
 
 
@@ -262,9 +267,7 @@ def _(spark, sf_dir):
     cs.using("tx_c") + f", r AS ({_RFM}) SELECT * FROM r ORDER BY monetary DESC, customer_id",
 )
 def _(spark, sf_dir):
-    lines = cn.transactions(spark, sf_dir)
-    ranked = customers.rfm(cleaning.customer_lines(lines), lines)
-    return ranked.orderBy(F.col("monetary").desc(), "customer_id")
+    return customers.rfm(cn.transactions(spark, sf_dir)).orderBy(F.col("monetary").desc(), "customer_id")
 
 
 # --- profiles ---------------------------------------------------------------
@@ -285,8 +288,8 @@ def _(spark, sf_dir):
     ).replace("rv_clean", f"(SELECT DISTINCT * FROM rv_raw WHERE NOT {cs.JUNK_REVIEW})"),
 )
 def _(spark, sf_dir):
-    lines = cn.transactions(spark, sf_dir)
-    reviews = cleaning.clean_reviews(cn.reviews_raw(spark, sf_dir))
+    lines = stored_lines(spark, sf_dir)
+    reviews = materialize(cleaning.clean_reviews(cn.reviews_raw(spark, sf_dir)).drop("title", "review", "stars"))
     checks = [
         quality.dependency_check(lines, "stock_code", "description"),
         quality.dependency_check(cleaning.customer_lines(lines), "customer_id", "country"),
@@ -386,7 +389,7 @@ UNION ALL SELECT 'transactions.customer_id references customers', COUNT(*) FROM
   WHERE customer_id IS NOT NULL AND CAST(customer_id AS BIGINT) NOT IN (SELECT customer_id FROM dim_c)""",
 )
 def _(spark, sf_dir):
-    lines = cn.transactions(spark, sf_dir).withColumn("customer_id", F.col("customer_id").cast("bigint"))
+    lines = stored_lines(spark, sf_dir).withColumn("customer_id", F.col("customer_id").cast("bigint"))
     products = customers.modal_value(lines, "stock_code", "description")
     buyers = customers.modal_value(lines.where("customer_id IS NOT NULL"), "customer_id", "country")
     return quality.union_all(
