@@ -97,6 +97,7 @@ def session():
 def main():
     parser = argparse.ArgumentParser()
     parser.add_argument("-d", default="/root/testdata/sf0.01")
+    parser.add_argument("-c", action="store_true", help="only queries that have checking SQL")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     import __spark_entry__ as entry
@@ -107,6 +108,8 @@ def main():
     for name, fn in queries.items():
         if args.names and not any(name.startswith(p) for p in args.names):
             continue
+        if args.c and name not in checks:
+            continue
         total += 1
         try:
             line, ok = compare(name, fn, checks.get(name), spark, con, args.d)
