@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillsight.functions import text as tx
 from tillsight.operators import cleaning, documents, metrics, quality, reviews, topics
 from tillsight.plans import canonical as cn
 from tillsight.plans import check_sql as cs
