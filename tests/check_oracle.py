@@ -12,6 +12,7 @@ import glob
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -88,6 +89,7 @@ def session():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"file:{tempfile.mkdtemp(prefix='tillsight-shared-')}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: list[str] = []
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset."""
+    """The folder named by spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a session in local mode (one process, one disk) uses its
+    own scratch folder; any other master is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if named:
         return named.rstrip("/")
-    if not _own_folder:
-        _own_folder.append("file:" + tempfile.mkdtemp(prefix="tillsight-"))
-    return _own_folder[0]
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    scratch = spark.sparkContext._jvm.java.lang.System.getProperty("java.io.tmpdir")
+    return f"file:{scratch}/tillsight-{os.getuid()}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -27,9 +31,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Used where an operator reads its input several times or loops over it. The
     copy survives the loss of executors, cuts the lineage, and gives the
-    optimizer real sizes to choose joins by.
+    optimizer real sizes to choose joins by. Staged folders are reclaimed with
+    the shared checkpoint folder (see `clear_staged`).
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tillsight-stage-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> bool:
+    """Remove all tables this application has staged; results read from them must be written by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_folder(spark)}/tillsight-stage-{spark.sparkContext.applicationId}"
+    )
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
