@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import dedup, mixing
+from tillsight.llm import dedup, mixing, unigram
 
 LLM_QUERIES: dict = {}
 LLM_CHECKS: dict = {}
@@ -21,6 +23,15 @@ def query(name: str, check: str | None = None):
     return register
 
 
+TOKENIZERS = os.environ.get("TILLSIGHT_TOKENIZERS", "/opt/tokenizers")
+
+
+def vocabulary(name: str, folder: str = TOKENIZERS) -> bytes:
+    """A public tokenizer's file; the folder is a parameter."""
+    with open(f"{folder}/{name}", "rb") as f:
+        return f.read()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,3 +61,9 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(docs, dedup.lower_ascii(F.col("text")), keep="max").withColumnRenamed(
         "content_sha256", "text_sha256"
     )
+
+
+@query("op10_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.token_counts(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens")
