@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import dedup, mixing, unigram
+from tillsight.llm import dedup, mixing, packing, unigram
 
 LLM_QUERIES: dict = {}
 LLM_CHECKS: dict = {}
@@ -26,6 +26,11 @@ def query(name: str, check: str | None = None):
 TOKENIZERS = os.environ.get("TILLSIGHT_TOKENIZERS", "/opt/tokenizers")
 
 
+#: How the byte-level vocabulary cuts texts before it merges bytes (a fixed value of that vocabulary).
+BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+BYTE_END_OF_TEXT = 50256
+
+
 def vocabulary(name: str, folder: str = TOKENIZERS) -> bytes:
     """A public tokenizer's file; the folder is a parameter."""
     with open(f"{folder}/{name}", "rb") as f:
@@ -67,3 +72,9 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return unigram.token_counts(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
+@query("op5_token_rows")
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.packed_rows(docs, vocabulary("byte_bpe_50k.tiktoken"), BYTE_PATTERN, BYTE_END_OF_TEXT)
