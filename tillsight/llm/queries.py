@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import dedup, mixing, packing, unigram
+from tillsight.llm import dedup, licenses, mixing, packing, unigram
 
 LLM_QUERIES: dict = {}
 LLM_CHECKS: dict = {}
@@ -78,3 +78,40 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.packed_rows(docs, vocabulary("byte_bpe_50k.tiktoken"), BYTE_PATTERN, BYTE_END_OF_TEXT)
+
+
+def _license_check() -> str:
+    upper, lower = dedup.UPPER, dedup.UPPER.lower()
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM w, range(1, len(words) + 1) r(i) WHERE "
+        + " AND ".join(f"words[i + {k}] = '{word}'" for k, word in enumerate(phrase.split()))
+        for phrase, label in licenses.BASE_PHRASES.items()
+    )
+    more = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label FROM w WHERE regexp_matches(line, '(?:^| ){licenses.as_pattern(t)}')"
+        for label, t in licenses.TEMPLATES
+    )
+    return rf"""
+    WITH w AS (
+        SELECT doc_id, words, ' ' || array_to_string(words, ' ') || ' ' AS line FROM (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents)
+    ),
+    base AS ({base}),
+    more AS ({more}),
+    b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+                 string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+    m AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(method) AS method
+          FROM (SELECT doc_id, label, 0 AS method FROM base UNION ALL SELECT doc_id, label, 1 FROM more)
+          GROUP BY doc_id)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+           CAST(CASE method WHEN 1 THEN 1.0 WHEN 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score
+    FROM w LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)
+    """
+
+
+@query("op7_license_scan", _license_check())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents")).drop("spans")
