@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import decontaminate, dedup, jaccard, licenses, mixing, packing, unigram
+from tillsight.llm import decontaminate, dedup, jaccard, licenses, mixing, packing, repeats, unigram
 
 LLM_QUERIES: dict = {}
 LLM_CHECKS: dict = {}
@@ -134,7 +134,7 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
     sets AS (
         SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-               ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))) END AS s
+               ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
         FROM words
     ),
     members AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
@@ -151,3 +151,8 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), run=3, percent=90)
+
+
+@query("op3_repeated_bytes")
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
