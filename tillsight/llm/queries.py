@@ -153,6 +153,27 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), run=3, percent=90)
 
 
-@query("op3_repeated_bytes")
+@query(
+    "op3_repeated_bytes",
+    """
+    WITH h AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    starts AS (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS s FROM h),
+    windows AS (SELECT r, s, md5(substr(x, 2 * s + 1, 400)) AS k FROM starts),
+    again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+    gone AS (SELECT r, s FROM windows SEMI JOIN again USING (k)),
+    fresh AS (SELECT r, s, CASE WHEN s > lag(s) OVER w + 200 THEN 1 ELSE 0 END AS f FROM gone
+              WINDOW w AS (PARTITION BY r ORDER BY s)),
+    runs AS (SELECT r, s, sum(f) OVER (PARTITION BY r ORDER BY s) AS g FROM fresh),
+    spans AS (SELECT r, min(s) AS a, max(s) + 200 AS b FROM runs GROUP BY r, g),
+    cuts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM spans),
+    kept AS (SELECT r, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head, max(b) AS b,
+                    sum(b - a) AS n_removed, count(*) AS n_spans
+             FROM cuts JOIN h USING (r) GROUP BY r)
+    SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+           CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+           sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+    FROM h LEFT JOIN kept USING (r)
+    """,
+)
 def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")

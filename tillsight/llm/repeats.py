@@ -143,29 +143,36 @@ def repeated_ranges(places: list[tuple], length: int, gram: int) -> list[list[tu
     """
     found: list[list[tuple[int, int]]] = [[] for _ in places]
     size = first_size(length, gram)
-    live = [(i, piece) for i, (most, least, _) in enumerate(places) for piece in _pieces(most, least, size)]
+    # Ranges known to repeat stay, one for each hull, as long as others share their core.
+    live = [(i, piece, False) for i, (most, least, _) in enumerate(places) for piece in _pieces(most, least, size)]
     while live:
-        cores: dict[tuple[int, bytes], int] = {}
+        cores: dict[tuple[int, bytes], list[int]] = {}
         hulls: dict[tuple[int, bytes], int] = {}
         keys = []
-        for i, piece in live:
+        for i, piece, _ in live:
             most, least, held = places[i]
             near, far = piece * size, piece * size + size - 1
             core = (piece, held[most - near : most - far + length])
             hull = (piece, held[most - far : most - near + length]) if least <= near and far <= most else None
             keys.append((core, hull))
-            cores[core] = cores.get(core, 0) + 1
+            cores.setdefault(core, [0, 0])[0] += 1
             if hull is not None:
                 hulls[hull] = hulls.get(hull, 0) + 1
-        following = []
-        for (i, piece), (core, hull) in zip(live, keys):
-            if cores[core] < 2:
-                continue
-            if hull is not None and hulls[hull] > 1:
+        judged = []
+        for (i, piece, done), (core, hull) in zip(live, keys):
+            repeated = done or (hull is not None and hulls[hull] > 1)
+            if repeated and not done:
                 found[i].append((piece * size, piece * size + size - 1))
-            elif size > 1:
-                most, least, _ = places[i]
-                following += [(i, p) for p in _pieces(most, least, size // FAN_OUT, piece)]
+            cores[core][1] += not repeated
+            judged.append(repeated)
+        following, kept = [], set()
+        for (i, piece, _), (core, hull), repeated in zip(live, keys, judged):
+            if size == 1 or cores[core][0] < 2 or not cores[core][1] or (repeated and hull in kept):
+                continue
+            if repeated:
+                kept.add(hull)
+            most, least, _ = places[i]
+            following += [(i, p, repeated) for p in _pieces(most, least, size // FAN_OUT, piece)]
         live, size = following, size // FAN_OUT
     return found
 
@@ -212,30 +219,47 @@ def _rank_together(places: DataFrame, length: int, gram: int) -> list[DataFrame]
     size, spans = first_size(length, gram), []
     low = F.floor(F.col("least") / size).cast("int")
     high = F.floor(F.col("most") / size).cast("int")
-    live = places.withColumn("piece", F.explode(F.sequence(low, high)))
+    live = places.withColumn("piece", F.explode(F.sequence(low, high))).withColumn("done", F.lit(False))
+    place = F.struct("k1", "k2", "position", "most")
     while True:
         near, far = F.col("piece") * size, F.col("piece") * size + size - 1
         whole = (F.col("least") <= near) & (far <= F.col("most"))
-        keyed = live.withColumn(
-            "core", F.substring("held", F.col("most") - near + 1, F.lit(length) - size + 1)
-        ).withColumn("hull", F.when(whole, F.substring("held", F.col("most") - far + 1, F.lit(length) + size - 1)))
-        keyed = materialize(keyed)
-        cores = keyed.groupBy("anchor", "piece", "core").agg(F.count("*").alias("n_core")).where("n_core > 1")
-        hulls = keyed.where("hull is not null").groupBy("anchor", "piece", "hull").agg(F.count("*").alias("n_hull"))
-        kept = keyed.join(cores, ["anchor", "piece", "core"]).drop("core", "n_core")
-        judged = materialize(kept.join(hulls, ["anchor", "piece", "hull"], "left").drop("hull"))
-        repeated = F.coalesce(F.col("n_hull") > 1, F.lit(False))
+        keyed = materialize(
+            live.withColumn("core", F.substring("held", F.col("most") - near + 1, F.lit(length) - size + 1)).withColumn(
+                "hull", F.when(whole, F.substring("held", F.col("most") - far + 1, F.lit(length) + size - 1))
+            )
+        )
+        hulls = (
+            keyed.where("hull is not null")
+            .groupBy("anchor", "piece", "hull")
+            .agg(F.count("*").alias("n_hull"), F.min(place).alias("witness"))
+        )
+        repeated = F.col("done") | F.coalesce(F.col("n_hull") > 1, F.lit(False))
+        judged = materialize(
+            keyed.join(hulls, ["anchor", "piece", "hull"], "left").drop("hull").withColumn("repeated", repeated)
+        )
         spans.append(
-            judged.where(repeated).select(
+            judged.where("repeated and not done").select(
                 "k1", "k2", (F.col("position") - far).alias("start"), (F.col("position") - near + length).alias("end")
             )
         )
         if size == 1:
             return spans
+        shared = (
+            judged.groupBy("anchor", "piece", "core")
+            .agg(F.count("*").alias("n_core"), F.count_if(~F.col("repeated")).alias("n_open"))
+            .where("n_core > 1 and n_open > 0")
+        )
+        # Ranges known to repeat stay, one for each hull, as long as others share their core.
+        kept = (
+            judged.where(~F.col("repeated") | F.coalesce(F.col("witness") == place, F.lit(False)))
+            .join(shared, ["anchor", "piece", "core"])
+            .drop("core", "n_core", "n_open", "n_hull", "witness", "done")
+        )
         size //= FAN_OUT
         first = F.greatest(F.floor(F.col("least") / size).cast("int"), F.col("piece") * FAN_OUT)
         last = F.least(F.floor(F.col("most") / size).cast("int"), F.col("piece") * FAN_OUT + FAN_OUT - 1)
-        live = judged.where(~repeated).drop("n_hull").withColumn("piece", F.explode(F.sequence(first, last)))
+        live = kept.withColumnRenamed("repeated", "done").withColumn("piece", F.explode(F.sequence(first, last)))
 
 
 def without_spans(text: bytes, spans) -> tuple[bytes, list[tuple[int, int]]]:
