@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import decontaminate, dedup, jaccard, licenses, mixing, packing, repeats, unigram
+from tillsight.llm import decontaminate, dedup, jaccard, licenses, mixing, packing, repeats, toxicity, unigram
 
 LLM_QUERIES: dict = {}
 LLM_CHECKS: dict = {}
@@ -177,3 +177,10 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op4_toxicity")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).select("doc_id", "toxicity.*", "rejected")

@@ -59,8 +59,10 @@ def groups(texts: Sequence[bytes], most: int = GROUP_BYTES) -> Iterator[tuple[in
         yield start, list(texts[start:])
 
 
-def word_digests(texts: Sequence[bytes], in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(digests, bounds): text i has the words bounds[i]:bounds[i + 1].
+def word_digests(
+    texts: Sequence[bytes], in_word: np.ndarray, most: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(digests, bounds): text i has the words bounds[i]:bounds[i + 1], of which the first `most` bytes count.
 
     `in_word` tells for each byte whether it belongs to words; a line feed must
     not. A long text is cut at word ends, so that arrays stay small.
@@ -71,6 +73,8 @@ def word_digests(texts: Sequence[bytes], in_word: np.ndarray) -> tuple[np.ndarra
     if inside[0]:
         edges = np.concatenate([[0], edges])
     starts, ends = edges[0::2], edges[1::2]
+    if most is not None:
+        ends = np.minimum(ends, starts + most)
     at = np.cumsum([0] + [len(t) + 1 for t in texts])
     out = np.empty(len(starts), _U)
     w = 0
