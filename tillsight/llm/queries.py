@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import decontaminate, dedup, jaccard, licenses, mixing, packing, repeats, toxicity, unigram
+from tillsight.llm import decontaminate, dedup, jaccard, licenses, mixing, packing, repeats, secrets, toxicity, unigram
 
 LLM_QUERIES: dict = {}
 LLM_CHECKS: dict = {}
@@ -184,3 +184,9 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain).select("doc_id", "toxicity.*", "rejected")
+
+
+@query("op6_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "number", F.sha2("value", 256).alias("value_sha256"), "name", "p_secret", "is_secret")
