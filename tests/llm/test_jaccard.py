@@ -117,3 +117,18 @@ def test_trie_finds_what_all_pairs_find():
         for a, b in edges:
             x, y = sets[a - 100], sets[b - 100]
             assert plan.links(len(np.intersect1d(x, y)), len(x), len(y))
+
+
+def test_one_of_each_group(spark):
+    rows = corpus(11, sizes=(6, 25, 60))
+    docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, label string, content int")
+    out = jaccard.one_of_each_group(docs)
+    assert out.columns == docs.columns
+    groups = {}
+    for i, members in plain_groups(rows, 5, 80).items():
+        for n, smallest in members:
+            groups.setdefault(smallest if n else ("empty", i), []).append(i)
+    kept = [r.doc_id for r in out.collect()]
+    assert len(kept) == len(groups)
+    assert {i for i in kept if i is not None} == {k if not isinstance(k, tuple) else k[1] for k in groups if k is not None}
+    assert jaccard.one_of_each_group(docs.limit(0)).collect() == []

@@ -18,6 +18,7 @@ chunk, so no link is missed.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -31,11 +32,16 @@ from tillsight.llm import words
 from tillsight.llm.components import components
 from tillsight.sources.staging import materialize
 
+#: Sets of fewer members have single members as roots.
+SMALL = 40
 #: Ratio of the smallest to the largest set size of a size class.
 CLASS_RATIO = 0.75
 #: Sets and members per chunk of a cluster, and typical sets a chunk sends on.
 CHUNK_SETS, CHUNK_MEMBERS, TYPICAL = 256, 1 << 20, 8
 
+#: Narrow rows (a few numbers each) that are sent to every task rather than shuffling the texts.
+LOOKUP_ROWS = 500_000
+
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 IN_WORD = words.byte_class(rb"[^\x20\x09-\x0D]")
 _U = np.uint64
@@ -46,7 +52,7 @@ class Plan:
 
     def __init__(self, run: int, percent: int):
         self.run, self.percent = run, percent
-        self.bounds: list[int] = [1]
+        self.bounds: list[int] = [SMALL]
         self.segments: list[int] = []
         self.spare: list[int] = []
 
@@ -54,15 +60,20 @@ class Plan:
         return overlap * (100 + self.percent) >= self.percent * (size_a + size_b)
 
     def classes(self, size: int) -> list[int]:
-        """Classes of the smaller set of the pairs that a set of this size can be in, where equal sets aside any exist."""
+        """Classes of the smaller set of the pairs a set of at least SMALL members can be in."""
         while self.bounds[-1] <= size:
             low = self.bounds[-1]
-            high = max(low, int(low / max(CLASS_RATIO, self.percent / 100 - 0.05)))
-            largest = min(high * 100 // self.percent, 4 * high)
-            differ = (high + largest) * (100 - self.percent) // (100 + self.percent)
-            # Segments no difference touches: one, and some in case they are empty.
-            spare = 1 + differ // 32
-            self.segments.append(differ + 1 + spare if differ else 0)
+            high = int(low / max(CLASS_RATIO, self.percent / 100 - 0.05))
+            differ = (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+            # Segments no difference touches: one, and so many as may well be empty.
+            spare = 0
+            while True:
+                segments = differ + 1 + spare
+                empty = segments * math.exp(-low / segments)
+                if spare >= empty + 4 * math.sqrt(empty) or spare > differ:
+                    break
+                spare += 1
+            self.segments.append(segments)
             self.spare.append(spare)
             self.bounds.append(high + 1)
         c = bisect_right(self.bounds, size) - 1
@@ -70,7 +81,7 @@ class Plan:
         while c and (self.bounds[c] - 1) * 100 >= self.percent * size:
             c -= 1
             out.append(c)
-        return [c for c in out if self.segments[c]]
+        return out
 
 
 def run_sets(texts: list[str | None], run: int) -> Iterator[np.ndarray]:
@@ -89,13 +100,19 @@ def set_digest(members: np.ndarray) -> int:
 
 
 def root_edges(members: np.ndarray, plan: Plan) -> np.ndarray:
-    """Digests of the set's segments, one per segment and size class.
+    """Digests of the set's root edges.
 
-    An empty segment says nothing, so it gives no root; sets with more empty
-    segments than a class has to spare get one common root for that.
+    One per segment and size class: an empty segment says nothing, so it gives
+    no root, and sets with more empty segments than the class has to spare get
+    one common root for that. Sets that may link with one of fewer than SMALL
+    members also have their smallest members as roots, so many that linked sets
+    share one of them.
     """
+    n = len(members)
     out = []
-    for c in plan.classes(len(members)):
+    if plan.percent * n < 100 * SMALL:
+        out.append(words.mix(members[: n - -(-plan.percent * n // 100) + 1] + _U(7)))
+    for c in plan.classes(n) if n >= SMALL else ():
         segments = plan.segments[c]
         where = ((members >> _U(32)) * _U(segments)) >> _U(32)
         first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
@@ -381,6 +398,11 @@ def _link_rest(chunked: DataFrame, groups: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
+def lookup(rows: DataFrame) -> DataFrame:
+    """Narrow rows to look up in: sent to every task if they are at most LOOKUP_ROWS, else joined by shuffling."""
+    return F.broadcast(rows) if rows.count() <= LOOKUP_ROWS else rows
+
+
 def linked_sets(docs: DataFrame, described: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
     """Edges `a, b` between sets that reach the threshold; enough of them for the groups."""
     clusters = components(common_roots(docs, text_col, plan)).withColumnRenamed("label", "cluster")
@@ -390,6 +412,7 @@ def linked_sets(docs: DataFrame, described: DataFrame, id_col: str, text_col: st
         .agg(F.min(F.struct("content", "id")).alias("r"))
         .select("node", "cluster", F.col("r.content").alias("c"), F.col("r.id").alias("i"))
     )
+    one = lookup(materialize(one))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
     wanted = texts.join(one, (F.col("content") == F.col("c")) & F.col("id").eqNullSafe(F.col("i"))).select(
         "cluster", "node", "text"
@@ -434,15 +457,44 @@ def similar_groups(
     are one set from the start, whatever their number. Runs are compared as
     64-bit digests. Empty tables give empty results.
     """
-    plan = Plan(run, percent)
-    described = materialize(describe(docs, id_col, text_col, run))
+    placed = _placed(docs, id_col, text_col, Plan(run, percent))
+    smallest = placed.groupBy("label").agg(F.min("id").alias("component_id")).withColumnRenamed("label", "_l")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return placed.join(smallest, F.col("label") == F.col("_l"), "left").select(
+        F.col("id").alias(id_col), "n_shingles", component.alias("component_id")
+    )
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
+    """id, content, n_shingles and the label of the row's group (null for texts without words), staged."""
+    described = materialize(describe(docs, id_col, text_col, plan.run))
     labels = components(linked_sets(docs, described, id_col, text_col, plan))
-    placed = (
-        described.where("n_shingles > 0")
-        .join(labels, "node", "left")
-        .select("id", "n_shingles", F.coalesce("label", "node").alias("label"))
+    known = labels.withColumnRenamed("node", "_node")
+    return materialize(
+        described.join(known, F.col("node") == F.col("_node"), "left").select(
+            "id", "content", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label")
+        )
+    )
+
+
+def one_of_each_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 5, percent: int = 80
+) -> DataFrame:
+    """`docs` without near copies: of each group the row with the smallest id stays, all columns unchanged.
+
+    Rows without an id go before rows with one; of rows that repeat id and text
+    one stays. Texts without words group with nothing and stay.
+    """
+    placed = _placed(docs, id_col, text_col, Plan(run, percent)).where("label is not null")
+    row = F.struct(F.isnull("id").alias("no_id"), "id", "content")
+    first = placed.groupBy(F.col("label").alias("_l")).agg(F.min(row).alias("_first"))
+    judged = placed.join(first, F.col("label") == F.col("_l")).select(
+        F.col("id").alias("_id"), F.col("content").alias("_content"), (row == F.col("_first")).alias("_stays")
     )
-    placed = materialize(placed)
-    smallest = placed.groupBy("label").agg(F.min("id").alias("component_id"))
-    alone = described.where("n_shingles = 0").select(F.col("id").alias(id_col), "n_shingles", F.col("id").alias("component_id"))
-    return placed.join(smallest, "label").select(F.col("id").alias(id_col), "n_shingles", "component_id").unionByName(alone)
+    counted = judged.groupBy("_id", "_content", "_stays").agg(F.count("*").alias("_n"))
+    special = materialize(counted.where("not _stays or _n > 1"))
+    gone, repeated = (lookup(special.where(c).select("_id", "_content")) for c in ("not _stays", "_stays"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_content"))
+    stay = docs.join(gone, same, "left_anti")
+    once = stay.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])
+    return stay.join(repeated, same, "left_anti").unionByName(once)
