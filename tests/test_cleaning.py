@@ -86,7 +86,7 @@ GOOD = ("Shop", "example.co.uk", "We sell.", "Great service", "Really happy with
 REVIEWS = [
     GOOD,
     ("Shop", "example.co.uk", "We sell.", "Bit pricey", "Far too expensive", 2),
-    ("Money", "phonelookalike.co.uk", "Finance.", "review", "01959312890", 1),
+    ("Money", "phonelookalike.co.uk", "Finance.", "review", "5550142", 1),
     ("Build", "builders.co.uk", "We build.", "meh", "...........", 3),
     ("Travel", "greekco.com", "Agency.", "oxi", "γνωρησα ανθρωπους που ηταν με αλον τροπο", 4),
     GOOD,

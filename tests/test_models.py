@@ -108,9 +108,10 @@ def test_star_model_and_linear_attribution(spark, tmp_path):
     assert again.count() == 8
     vectors = tfidf.transform(test).select("features")
     weights = model.stages[-1].coefficientMatrix.toArray()
-    got = attribution.linear_attribution(vectors, weights.tolist()[1:], [1, 2, 3, 4, 5], tfidf.stages[4].vocabulary)
-    x = np.array([r.features.toArray() for r in vectors.collect()])
-    want = np.abs(weights[1] * (x - x.mean(axis=0))).mean(axis=0)
+    learned = tfidf.transform(train).select("features")
+    got = attribution.linear_attribution(vectors, learned, weights.tolist()[1:], [1, 2, 3, 4, 5], tfidf.stages[4].vocabulary)
+    x, seen = (np.array([r.features.toArray() for r in v.collect()]) for v in (vectors, learned))
+    want = np.abs(weights[1] * (x - seen.mean(axis=0))).mean(axis=0)
     terms = tfidf.stages[4].vocabulary
     for r in got.where("class = '1'").collect():
         assert r.mean_abs == pytest.approx(want[terms.index(r.feature)], abs=1e-12)

@@ -66,13 +66,17 @@ def test_documents_defaults_and_fan_out(spark):
     assert by_id[1].topic.topic_label == "unknown"
     assert by_id[2].sentiment is None and by_id[2].aspects == [] and by_id[2].keywords == []
     assert by_id[2].topic.topic_id == -1
-    assert documents.fan_out(docs).where("review_id = 1").first().joined_rows == 100
+    counts = documents.child_counts(rows, aspects, keywords)
+    assert documents.fan_out(counts).where("review_id = 1").first().joined_rows == 100
     bridge = documents.sentiment_bridge(sentiment, topic, labels)
     assert bridge.first().topic_label == documents.OUTLIER_LABEL
     profile = documents.review_profile(1, rows, bridge, aspects, documents.keyword_rows(keywords))
     assert profile.count() == 100
     assert documents.aspects_bridge(docs).count() == 20 and documents.keywords_bridge(docs).count() == 5
-    assert documents.coverage(docs).first().share_with_aspects == 0.5
+    assert documents.coverage(counts).first().share_with_aspects == 0.5
+    firsts = documents.first_with_and_without(counts).collect()
+    assert sorted((r.with_aspects, r.review_id) for r in firsts) == [(False, 2), (True, 1)]
+    assert '"aspects":[]' in documents.as_json(docs).where("_id = 2").first().document
 
 
 def test_metrics(spark):

@@ -1,3 +1,5 @@
+import pytest
+
 from tillsight.operators import documents
 from tillsight.sources import readers, writers
 
@@ -53,3 +55,17 @@ def test_tables_documents_and_parameters(spark, tmp_path):
 
     assert load_parameters(spark, f"{base}/p") == {"r": 1.5, "alpha": 2.0}
     assert readers.peek(df)[0] == [("review_id", "int"), ("keyword", "string")]
+
+
+def test_jdbc_options_and_tables(spark):
+    plain = readers.jdbc_options("jdbc:x", "SELECT 1")
+    assert plain == {"url": "jdbc:x", "dbtable": "(SELECT 1) t"}
+    split = readers.jdbc_options("jdbc:x", "SELECT id FROM a", "id", (0, 99), 4, fetchsize="10")
+    assert split["partitionColumn"] == "id" and split["lowerBound"] == "0" and split["upperBound"] == "99"
+    assert split["numPartitions"] == "4" and split["fetchsize"] == "10"
+    with pytest.raises(ValueError):
+        readers.jdbc_options("jdbc:x", "SELECT 1", "id")
+    options = writers.jdbc_append_options("jdbc:x", "t", 500, user="u")
+    assert options == {"url": "jdbc:x", "dbtable": "t", "batchsize": "500", "user": "u"}
+    spark.range(1).createOrReplaceTempView("some_rows")
+    assert ("some_rows", True) in [tuple(r) for r in readers.list_tables(spark).collect()]

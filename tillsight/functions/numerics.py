@@ -95,10 +95,6 @@ def log_gamma_array(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2.0 * math.pi) + series - np.log(shift)
 
 
-def log_beta(a: Column, b: Column) -> Column:
-    return log_gamma(a) + log_gamma(b) - log_gamma(a + b)
-
-
 def hyp2f1(a: Column, b: Column, c: Column, z: Column, terms: int) -> Column:
     """Gauss series for 0 <= z < 1 with a fixed number of terms."""
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
@@ -111,11 +107,19 @@ def hyp2f1(a: Column, b: Column, c: Column, z: Column, terms: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(terms - 1)), start, step, lambda acc: acc["total"])
 
 
+MAX_ARGUMENT = 0.99
+
+
 def series_terms(z_max: float, floor: int = 40, tolerance: float = 1e-13) -> int:
-    """Terms the Gauss series needs when its argument never exceeds `z_max`."""
+    """Terms the Gauss series needs when its argument never exceeds `z_max`.
+
+    The number grows without bound as the argument nears 1. Beyond MAX_ARGUMENT
+    it would take over 3,000 terms a row; that is an error, not a shorter series.
+    """
     if z_max <= 0.0:
         return floor
-    z_max = min(z_max, 0.9999)
+    if z_max > MAX_ARGUMENT:
+        raise ValueError(f"series argument {z_max} above {MAX_ARGUMENT}: forecast fewer days ahead")
     return max(floor, int(math.ceil(math.log(tolerance) / math.log(z_max) * 1.3)) + 20)
 
 

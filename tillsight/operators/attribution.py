@@ -116,27 +116,33 @@ def column_score(value: Column) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.withColumn("_score", value)
 
 
-def linear_attribution(vectors: DataFrame, weights: list[list[float]], labels: Sequence, names: Sequence[str]) -> DataFrame:
-    """Mean |w * (x - mean)| per class and feature of a linear model.
+def linear_attribution(
+    vectors: DataFrame, background: DataFrame, weights: list[list[float]], labels: Sequence, names: Sequence[str]
+) -> DataFrame:
+    """Mean |w * (x - mean)| per class and feature of a linear model; the mean is that of the background rows.
 
     Only stored entries of the sparse vectors are exploded. A row without a
     feature contributes |w * mean|, which needs no row at all.
     """
     spark = vectors.sparkSession
-    entries = vectors.select(_entries(F.col("features")).alias("e")).select(F.explode("e").alias("e")).select("e.*")
+
+    def entries_of(df: DataFrame) -> DataFrame:
+        return df.select(_entries(F.col("features")).alias("e")).select(F.explode("e").alias("e")).select("e.*")
+
     total = vectors.agg(F.count(F.lit(1)).cast("double")).scalar()
-    sums = entries.groupBy("i").agg(F.sum("x").alias("sx")).withColumn("n", total)
-    means = sums.select("i", (F.col("sx") / F.col("n")).alias("mean"), "n")
+    behind = background.agg(F.count(F.lit(1)).cast("double")).scalar()
+    means = entries_of(background).groupBy("i").agg((F.sum("x") / F.first(behind)).alias("mean"))
+    seen = entries_of(vectors).groupBy("i", "x").agg(F.count(F.lit(1)).alias("c"))
     folded = (
-        entries.groupBy("i", "x").agg(F.count(F.lit(1)).alias("c"))
-        .join(means, "i")
+        seen.join(means, "i", "full")
+        .withColumn("mean", F.coalesce("mean", F.lit(0.0)))
         .groupBy("i")
         .agg(
-            F.sum(F.col("c") * F.abs(F.col("x") - F.col("mean"))).alias("present"),
-            F.sum("c").alias("rows"),
+            F.coalesce(F.sum(F.col("c") * F.abs(F.col("x") - F.col("mean"))), F.lit(0.0)).alias("present"),
+            F.coalesce(F.sum("c"), F.lit(0)).alias("rows"),
             F.first("mean").alias("mean"),
-            F.first("n").alias("n"),
         )
+        .withColumn("n", total)
     )
     spread = (F.col("present") + (F.col("n") - F.col("rows")) * F.abs("mean")) / F.col("n")
     # One weight per term and class: bounded by the vocabulary size of the model.

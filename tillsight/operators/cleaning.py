@@ -143,19 +143,35 @@ def drop_junk_reviews(df: DataFrame) -> DataFrame:
     return df.where(~(_digits_only() | _punctuation_only() | _not_english()))
 
 
+def row_digest(columns) -> Column:
+    """256-bit digest of a row, null and empty values told apart."""
+    values = F.array(*[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns])
+    return F.sha2(F.to_json(values), 256)
+
+
+def first_of_copies(df: DataFrame, key: str, content) -> DataFrame:
+    """Of rows with the same content the one with the smallest key."""
+    digest = row_digest(content)
+    first = df.groupBy(digest.alias("_d")).agg(F.min(key).alias("_key")).select("_key")
+    return df.join(first, F.col(key) == F.col("_key"), "left_semi")
+
+
 def clean_reviews(raw: DataFrame) -> DataFrame:
     return drop_exact_duplicates(drop_junk_reviews(raw))
 
 
 def review_cleaning_report(raw: DataFrame) -> DataFrame:
     """One row of counts; a review may be counted by more than one rule."""
-    grouped = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    junk = _digits_only() | _punctuation_only() | _not_english()
+    rules = {"_digits": _digits_only(), "_points": _punctuation_only(), "_foreign": _not_english()}
+    grouped = raw.groupBy(row_digest(raw.columns).alias("_d")).agg(
+        F.count(F.lit(1)).alias("_copies"), *[F.any_value(c).alias(k) for k, c in rules.items()]
+    )
+    junk = F.col("_digits") | F.col("_points") | F.col("_foreign")
     return grouped.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_before"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates_removed"),
-        F.count_if(_digits_only()).alias("phone_number_rows_removed"),
-        F.count_if(_punctuation_only()).alias("punctuation_only_rows_removed"),
-        F.count_if(_not_english()).alias("non_english_rows_removed"),
+        F.count_if("_digits").alias("phone_number_rows_removed"),
+        F.count_if("_points").alias("punctuation_only_rows_removed"),
+        F.count_if("_foreign").alias("non_english_rows_removed"),
         F.count_if(~junk).alias("rows_after"),
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.functions import numerics as nx
+from tillsight.operators import stats
 from tillsight.sources.staging import materialize
 
 PENALTY = 0.001
@@ -90,8 +92,10 @@ def repeat_buyers(summary: DataFrame, frequency: str = "frequency") -> DataFrame
 # --- optimiser over Spark aggregates --------------------------------------------
 
 
-def _minimise(batch: Callable[[np.ndarray], np.ndarray], size: int, tolerance: float = 1e-8, steps: int = 60):
-    """BFGS on log-parameters. `batch` scores many vectors in one Spark job.
+def _minimise(batch: Callable[[np.ndarray], np.ndarray], size: int, tolerance: float = 1e-8, steps: int = 300):
+    """BFGS on log-parameters: the point, its value, its largest gradient, and whether it has converged.
+
+    `batch` scores many vectors in one Spark job.
 
     Each step sends the central differences and a fan of step lengths along the
     search direction, so a step costs two aggregates however many parameters
@@ -112,6 +116,9 @@ def _minimise(batch: Callable[[np.ndarray], np.ndarray], size: int, tolerance: f
         return scores[0], (scores[1::2] - scores[2::2]) / (2.0 * h)
 
     value, gradient = with_gradient(x)
+    if not math.isfinite(value):
+        raise ValueError("the likelihood is not finite at the start")
+    converged = False
     for _ in range(steps):
         direction = -inverse @ gradient
         if gradient @ direction >= 0:
@@ -123,6 +130,7 @@ def _minimise(batch: Callable[[np.ndarray], np.ndarray], size: int, tolerance: f
         scores = batch(x + lengths[:, None] * direction)
         best = int(np.nanargmin(scores))
         if not scores[best] < value:
+            converged = bool(np.max(np.abs(gradient)) < 1e-3)
             break
         moved = x + lengths[best] * direction
         new_value, new_gradient = with_gradient(moved)
@@ -134,8 +142,9 @@ def _minimise(batch: Callable[[np.ndarray], np.ndarray], size: int, tolerance: f
         done = value - new_value < tolerance * (1.0 + abs(new_value)) and np.max(np.abs(new_gradient)) < 1e-4
         x, value, gradient = moved, new_value, new_gradient
         if done or np.max(np.abs(gradient)) < 1e-6:
+            converged = True
             break
-    return x, float(value)
+    return x, float(value), float(np.max(np.abs(gradient))), converged
 
 
 def _fit(points: DataFrame, names: Sequence[str], columns: Sequence[str], loglik: Callable, penalty: float) -> dict:
@@ -164,10 +173,9 @@ def _fit(points: DataFrame, names: Sequence[str], columns: Sequence[str], loglik
                 out[i] = -total / weight + penalty * float(np.sum(vectors[i] ** 2))
         return out
 
-    best, value = _minimise(batch, len(names))
+    best, value, gradient, converged = _minimise(batch, len(names))
     fitted = {k: float(v) for k, v in zip(names, np.exp(best))}
-    fitted["objective"] = value
-    return fitted
+    return {**fitted, "objective": value, "gradient": gradient, "converged": converged}
 
 
 def _scaled_points(summary: DataFrame, frequency: str, recency: str, age: str) -> tuple[DataFrame, float]:
@@ -342,12 +350,15 @@ def predict_holdout_pareto(table: DataFrame, p: dict, name: str = "predicted_pur
 
 
 def holdout_comparison(table: DataFrame, predictions: dict[str, str]) -> DataFrame:
-    """Totals and correlation of each model's predictions with the holdout."""
+    """Totals of each model's predictions and of the holdout, their correlation and its p-value."""
     actual = F.col("frequency_holdout").cast("double")
     rows = F.array(*[F.struct(F.lit(k).alias("model"), F.col(c).alias("p")) for k, c in predictions.items()])
     long = table.select(actual.alias("actual"), F.explode(rows).alias("m")).select("actual", "m.*")
-    return long.groupBy("model").agg(
-        F.sum("p").alias("predicted"),
-        F.sum("actual").alias("actual"),
-        F.corr("p", "actual").alias("correlation"),
-    )
+    totals = long.groupBy("model").agg(F.sum("p").alias("predicted"), F.sum("actual").alias("actual"))
+    tests = [
+        stats.pearson(long.where(F.col("model") == k), "p", "actual").select(
+            F.lit(k).alias("model"), F.col("r").alias("correlation"), "p_value"
+        )
+        for k in predictions
+    ]
+    return totals.join(reduce(DataFrame.unionByName, tests), "model")

@@ -94,20 +94,23 @@ def cumulative_revenue(monthly: DataFrame) -> DataFrame:
 def churn_features(customer_lines: DataFrame, cutoff: str) -> DataFrame:
     """Features before the cutoff and the label: no line of any kind after it."""
     at = F.to_date(F.lit(cutoff))
-    when = day()
-    calibration = (
-        customer_lines.where(when < at)
-        .groupBy("customer_id")
+    before = day() < at
+
+    def earlier(c: Column) -> Column:
+        return F.when(before, c)
+
+    flagged = (
+        customer_lines.groupBy("customer_id")
         .agg(
-            F.min(when).alias("first_day"),
-            F.max(when).alias("last_day"),
-            F.countDistinct("invoice").alias("frequency"),
-            exact_sum(F.col("line_value")).alias("monetary"),
-            F.bool_or("is_cancellation").alias("has_returned"),
+            F.min(earlier(day())).alias("first_day"),
+            F.max(earlier(day())).alias("last_day"),
+            F.countDistinct(earlier(F.col("invoice"))).alias("frequency"),
+            exact_sum(earlier(F.col("line_value"))).alias("monetary"),
+            F.bool_or(earlier(F.col("is_cancellation"))).alias("has_returned"),
+            F.bool_or(day() >= at).alias("_active"),
         )
+        .where(F.col("first_day").isNotNull())
     )
-    active = customer_lines.where(when >= at).select("customer_id").distinct()
-    flagged = calibration.join(active.withColumn("_active", F.lit(1)), "customer_id", "left")
     return flagged.select(
         "customer_id",
         F.datediff(at, "first_day").alias("tenure_days"),
@@ -116,7 +119,7 @@ def churn_features(customer_lines: DataFrame, cutoff: str) -> DataFrame:
         "monetary",
         round_half_up(F.col("monetary") / F.col("frequency"), 2).alias("avg_order_value"),
         "has_returned",
-        F.when(F.col("_active").isNull(), 1).otherwise(0).alias("churned"),
+        F.when(F.col("_active"), 0).otherwise(1).alias("churned"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions import text as tx
 
+# A fixed value of the stored tables.
 OUTLIER_LABEL = "no_coherent_topic (outlier)"
 
 
@@ -94,20 +95,24 @@ def review_profile(review_id: int, reviews: DataFrame, sentiment: DataFrame, asp
     )
 
 
-def fan_out(documents: DataFrame) -> DataFrame:
+def child_counts(reviews: DataFrame, mentions: DataFrame, keywords: DataFrame) -> DataFrame:
+    """review_id and the numbers of aspect mentions and keywords its document has."""
+    counted = mentions.groupBy("review_id").agg(F.count(F.lit(1)).cast("int").alias("aspects"))
+    phrases = keywords.select("review_id", F.size(tx.split_phrases(F.col("keywords"))).alias("keywords"))
+    joined = reviews.select("review_id").join(counted, "review_id", "left").join(phrases, "review_id", "left")
+    return joined.select("review_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("aspects", "keywords")])
+
+
+def fan_out(counts: DataFrame) -> DataFrame:
     """Rows the relational profile of each review would have, without joining."""
-    return documents.select(
-        F.col("_id").alias("review_id"),
-        F.size("aspects").alias("aspects"),
-        F.size("keywords").alias("keywords"),
-        (F.greatest(F.size("aspects"), F.lit(1)) * F.greatest(F.size("keywords"), F.lit(1))).alias("joined_rows"),
-    )
+    rows = F.greatest("aspects", F.lit(1)) * F.greatest("keywords", F.lit(1))
+    return counts.select("review_id", "aspects", "keywords", rows.alias("joined_rows"))
 
 
-def coverage(documents: DataFrame) -> DataFrame:
-    n = F.size("aspects")
+def coverage(counts: DataFrame) -> DataFrame:
+    n = F.col("aspects")
     some = n > 0
-    return documents.agg(
+    return counts.agg(
         F.count(F.lit(1)).alias("reviews"),
         F.count_if(some).alias("with_aspects"),
         F.round(F.avg(some.cast("double")), 4).alias("share_with_aspects"),
@@ -116,6 +121,26 @@ def coverage(documents: DataFrame) -> DataFrame:
     )
 
 
+def topic_of(reviews: DataFrame, topics: DataFrame, labels: DataFrame) -> DataFrame:
+    """The part of the documents that a search by topic reads: _id and topic."""
+    placed = reviews.select("review_id").join(topics.select("review_id", "topic"), "review_id", "left")
+    named = placed.withColumn("topic", F.coalesce("topic", F.lit(-1))).join(
+        labels.select("topic", F.col("name").alias("topic_label")), "topic", "left"
+    )
+    return named.select(
+        F.col("review_id").alias("_id"),
+        F.struct(F.col("topic").alias("topic_id"), F.coalesce("topic_label", F.lit("unknown")).alias("topic_label")).alias(
+            "topic"
+        ),
+    )
+
+
+def first_with_and_without(counts: DataFrame) -> DataFrame:
+    """The smallest review with and the smallest without aspect mentions."""
+    some = F.col("aspects") > 0
+    return counts.groupBy(some.alias("with_aspects")).agg(F.min("review_id").alias("review_id"))
+
+
 def find_document(documents: DataFrame, key: int) -> DataFrame:
     return documents.where(F.col("_id") == key)
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     NGram,
     Normalizer,
@@ -20,11 +20,12 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.operators import metrics, ranking
 
+# The columns of the churn table.
 CHURN_FEATURES = ["tenure_days", "recency_days", "frequency", "monetary", "avg_order_value", "has_returned"]
 SEED = 42
 
@@ -60,7 +61,7 @@ def fit_churn_logistic(train: DataFrame) -> PipelineModel:
     ).fit(train)
 
 
-def fit_churn_boosted(train: DataFrame, rounds: int = 20, depth: int = 4) -> PipelineModel:
+def fit_churn_boosted(train: DataFrame, rounds: int = 50, depth: int = 4) -> PipelineModel:
     boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=SEED)
     return Pipeline(stages=[_assembler(), boosted]).fit(train)
 
@@ -86,8 +87,10 @@ def evaluate_churn(name: str, model: PipelineModel, test: DataFrame) -> DataFram
 def fit_tfidf(train: DataFrame, text: str = "full_text", terms: int = 3000) -> PipelineModel:
     """Unit-length TF-IDF of one- and two-word terms, fitted on training rows only.
 
-    The inverse document frequency carries the customary + 1, so terms found in
-    every review keep some weight.
+    The `terms` most frequent terms are taken, equal counts in order of the term,
+    so the vocabulary does not depend on partitions. The inverse document
+    frequency carries the customary + 1, so terms found in every review keep
+    some weight.
     """
     counting = Pipeline(
         stages=[
@@ -97,20 +100,31 @@ def fit_tfidf(train: DataFrame, text: str = "full_text", terms: int = 3000) -> P
             StopWordsRemover(inputCol="_tokens", outputCol="_words"),
             NGram(n=2, inputCol="_words", outputCol="_pairs"),
             SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
-            CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=terms),
         ]
     ).fit(train)
-    idf = IDF(inputCol="_counts", outputCol="_idf").fit(counting.transform(train))
-    weights = Vectors.dense([v + 1.0 for v in idf.idf.toArray()])
+    chosen, n = term_frequencies(counting.transform(train).select("_terms"), terms), train.count()
+    # A model's vocabulary: at most `terms` rows.
+    kept = chosen.orderBy(F.col("n").desc(), "term").collect()
+    vocabulary = CountVectorizerModel.from_vocabulary([r.term for r in kept], inputCol="_terms", outputCol="_counts")
+    weights = Vectors.dense([math.log((n + 1.0) / (r.n_rows + 1.0)) + 1.0 for r in kept])
     return PipelineModel(
         stages=[
             *counting.stages,
+            vocabulary,
             ElementwiseProduct(scalingVec=weights, inputCol="_counts", outputCol="_weighted"),
             Normalizer(p=2.0, inputCol="_weighted", outputCol="features"),
         ]
     )
 
 
+def term_frequencies(rows: DataFrame, terms: int) -> DataFrame:
+    """term, n (occurrences), n_rows (rows that hold it) of the most frequent terms of the `_terms` arrays."""
+    each = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.explode("_terms").alias("term"))
+    per_row = each.groupBy("_row", "term").agg(F.count(F.lit(1)).alias("n"))
+    counted = per_row.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_rows"))
+    return counted.orderBy(F.col("n").desc(), "term").limit(terms)
+
+
 def fit_star_linear(tfidf: PipelineModel, train: DataFrame, iterations: int = 100) -> PipelineModel:
     """Multinomial logistic regression on the TF-IDF features."""
     rows = tfidf.transform(train.withColumn("label", F.col("stars").cast("double")))
@@ -121,7 +135,7 @@ def fit_star_linear(tfidf: PipelineModel, train: DataFrame, iterations: int = 10
     return PipelineModel(stages=[*tfidf.stages, model])
 
 
-def fit_star_boosted(tfidf: PipelineModel, train: DataFrame, rounds: int = 5, depth: int = 3) -> PipelineModel:
+def fit_star_boosted(tfidf: PipelineModel, train: DataFrame, rounds: int = 20, depth: int = 4) -> PipelineModel:
     rows = tfidf.transform(train.withColumn("label", F.col("stars").cast("double") - 1.0)).select("features", "label")
     boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=SEED)
     model = OneVsRest(classifier=boosted, parallelism=4).fit(rows)
@@ -151,5 +165,6 @@ def evaluate_stars(name: str, model: PipelineModel, test: DataFrame) -> DataFram
     return metrics.overall_scores(scored, "stars", "predicted_stars").withColumn("model", F.lit(name))
 
 
-def margin(probability: Column) -> Column:
-    return F.log(probability / (1.0 - probability))
+def better_model(scores: DataFrame) -> str:
+    """The name of the model with the higher accuracy, then macro F1, then the smaller name."""
+    return scores.orderBy(F.col("accuracy").desc(), F.col("macro_f1").desc(), "model").first().model

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.operators.cleaning import row_digest
+
 
 def union_all(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
@@ -37,11 +39,13 @@ def _long(one_row: DataFrame, names: Sequence[str], label: str, fields: Sequence
 def table_profile(df: DataFrame) -> DataFrame:
     """Rows, exact duplicates, distinct values and missing values per column."""
     columns = df.columns
-    # Distinct counts come from (column, value) pairs grouped by value first, so
-    # no task ever holds all values of a column.
+    # Distinct counts come from (column, digest of the value) pairs grouped first, so
+    # no task ever holds all values of a column, and no long text is a key.
     cells = df.select(
         F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns])
+            F.array(
+                *[F.struct(F.lit(c).alias("column_name"), F.sha2(F.col(c).cast("string"), 256).alias("v")) for c in columns]
+            )
         ).alias("c")
     ).select("c.*")
     per_value = cells.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
@@ -50,7 +54,7 @@ def table_profile(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
         F.sum("n").alias("row_count"),
     )
-    repeated = df.groupBy(*columns).agg((F.count(F.lit(1)) - 1).alias("extra"))
+    repeated = df.groupBy(row_digest(columns).alias("_d")).agg((F.count(F.lit(1)) - 1).alias("extra"))
     duplicates = repeated.agg(F.coalesce(F.sum("extra"), F.lit(0)).cast("bigint")).scalar()
     return per_column.select(
         "column_name",
@@ -102,11 +106,3 @@ def references(child: DataFrame, parent: DataFrame, key: str, name: str) -> Data
 
 def distinct_counts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.agg(*[F.countDistinct(c).alias(k) for k, c in columns.items()])
-
-
-def schema_table(df: DataFrame) -> DataFrame:
-    """Column names and types as rows."""
-    spark = df.sparkSession
-    return spark.createDataFrame(
-        [(i, n, t) for i, (n, t) in enumerate(df.dtypes)], "position int, column_name string, data_type string"
-    )

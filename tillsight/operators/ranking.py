@@ -1,10 +1,10 @@
 """Global and grouped order statistics without a single-task window.
 
 A window ordered over a whole table, or over a group that may hold a third of
-it, runs in one task. These operators split each group into value ranges,
-number the rows inside every range in parallel and add the count of all earlier
-ranges. Range totals are the only data ever ordered in one place, and there are
-at most `buckets` of them per group.
+it, runs in one task. These operators sort the rows into value ranges, number
+the rows inside every range in parallel and add the count of all earlier
+ranges. Range totals are the only data ever ordered in one place; there is one
+for each ROWS_PER_RANGE rows, and at least one per task.
 """
 
 from __future__ import annotations
@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 
 from tillsight.sources.staging import materialize
 
-MAX_BUCKETS = 1024
-DIGEST_DIGITS = 3  # 16 ** 3 ranges when the sort key is an md5 digest
+ROWS_PER_RANGE = 1_000_000
+DIGEST_DIGITS = 4  # 16 ** 4 ranges when the sort key is an md5 digest
 
 
 def bucket_count(spark: SparkSession) -> int:
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(MAX_BUCKETS, wanted))
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _same_keys(left: DataFrame, right: DataFrame, pairs) -> Column:
@@ -40,18 +39,14 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "i
 
 
 def value_ranges(df: DataFrame, value: str, at_least: int = 0) -> DataFrame:
-    """Add `_b`, the number of the value range a row falls in.
+    """Add `_b`, the number of the value range a row falls in; the rows are staged in these ranges.
 
-    Bounds are approximate quantiles: they only balance the work, results do
-    not depend on them. They come from an uncorrelated scalar subquery, so
-    nothing is collected by the driver program.
+    Spark samples the bounds itself. They only balance the work: equal values
+    share a range, and results do not depend on where it ends. `df` should be
+    staged, as it is counted and sampled first.
     """
-    n = max(bucket_count(df.sparkSession), at_least)
-    probs = [i / n for i in range(1, n)]
-    bounds = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 20 * n)).scalar()
-    v = F.col(value).cast("double")
-    position = F.array_position(F.sort_array(F.array_append(bounds, v)), v)
-    return df.withColumn("_b", F.coalesce(position, F.lit(0)))
+    n = max(bucket_count(df.sparkSession), at_least, df.count() // ROWS_PER_RANGE)
+    return materialize(df.repartitionByRange(n, value).withColumn("_b", F.spark_partition_id()))
 
 
 def range_offsets(ranged: DataFrame, group: Sequence[str], n: Column) -> DataFrame:

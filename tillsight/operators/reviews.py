@@ -56,11 +56,12 @@ def lexicon_table(spark: SparkSession, lexicon: dict[str, float]) -> DataFrame:
 def lexicon_sentiment(
     df: DataFrame, key: Sequence[str], text: str, lexicon: DataFrame, negators: Sequence[str], name: str = "compound"
 ) -> DataFrame:
-    """Compound score in [-1, 1] per row from a word-valence table.
+    """key and the compound score in [-1, 1] of every row, from a word-valence table.
 
     A valence is flipped and damped when one of the three words before it is a
-    negator. Words are counted per row before they meet the lexicon, so common
-    words reach the join once per row and not once per occurrence.
+    negator. Every word looks its valence up (a small table is sent to all
+    tasks; against a large one hot words can be split, as its words are unique),
+    and one aggregate per key sums up.
     """
     w = tx.words(F.col(text))
     stop = F.array(*[F.lit(n) for n in negators]) if negators else F.array().cast("array<string>")
@@ -69,17 +70,16 @@ def lexicon_sentiment(
         before = F.slice(F.col("_w"), F.greatest(F.lit(1), i - (NEGATION_REACH - 1)), F.least(i, F.lit(NEGATION_REACH)))
         return F.struct(word.alias("word"), F.arrays_overlap(before, stop).alias("negated"))
 
-    marked = df.select(*key, w.alias("_w")).select(*key, F.explode(F.transform("_w", mark)).alias("m"))
-    counted = marked.groupBy(*key, F.col("m.word").alias("word"), F.col("m.negated").alias("negated")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    factor = F.when(F.col("negated"), NEGATION_FACTOR).otherwise(1.0)
-    weight = (F.col("valence") * factor).cast("decimal(18,6)") * F.col("n").cast("decimal(18,0)")
+    marked = df.select(*key, w.alias("_w")).select(*key, F.explode_outer(F.transform("_w", mark)).alias("m"))
+    factor = F.when(F.col("m.negated"), NEGATION_FACTOR).otherwise(1.0)
+    weight = (F.col("valence") * factor).cast("decimal(18,6)")
     totals = (
-        counted.join(lexicon, "word").groupBy(*key).agg(F.sum(weight).cast("double").alias("_s"))
+        marked.join(lexicon, F.col("m.word") == F.col("word"), "left")
+        .groupBy(*key)
+        .agg(F.coalesce(F.sum(weight).cast("double"), F.lit(0.0)).alias("_s"))
     )
-    s = F.coalesce(F.col("_s"), F.lit(0.0))
-    return df.join(totals, list(key), "left").withColumn(name, s / F.sqrt(s * s + COMPOUND_ALPHA)).drop("_s")
+    s = F.col("_s")
+    return totals.select(*key, (s / F.sqrt(s * s + COMPOUND_ALPHA)).alias(name))
 
 
 def score_distinct(df: DataFrame, text: str, scorer: Scorer) -> DataFrame:
@@ -89,7 +89,8 @@ def score_distinct(df: DataFrame, text: str, scorer: Scorer) -> DataFrame:
     grouped nor joined on.
     """
     keyed = df.withColumn("_digest", F.sha2(text, 256))
-    scored = scorer(keyed.select("_digest", text).distinct(), text)
+    distinct = keyed.groupBy("_digest").agg(F.any_value(text).alias(text))
+    scored = scorer(distinct, text)
     return keyed.join(scored.select("_digest", "predicted_stars"), "_digest", "left").drop("_digest")
 
 

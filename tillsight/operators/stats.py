@@ -68,10 +68,14 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
+#: Poisson(1) counts beyond this have a probability below 1e-12, less than one step of the uniform numbers used.
+POISSON_LEVELS = 14
+
+
 def _poisson_one(u: Column) -> Column:
     """Poisson(1) count by inversion of a uniform number."""
     total, term, count = 0.0, math.exp(-1.0), F.lit(0)
-    for k in range(14):
+    for k in range(POISSON_LEVELS):
         term = term / k if k else term
         total += term
         count = count + (u >= F.lit(total)).cast("int")
@@ -163,9 +167,5 @@ def replicate_median_differences(
     )
 
 
-def group_medians(df: DataFrame, value: str, flag: str) -> DataFrame:
-    return ranking.exact_percentiles(df, value, {"median": 0.5}, [flag])
-
-
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))

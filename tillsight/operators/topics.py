@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import text as tx
+from tillsight.operators import ranking
+from tillsight.sources.staging import materialize
 
 OUTLIER = -1
 
@@ -24,8 +26,8 @@ def cluster(
 ) -> DataFrame:
     """K-means topics; rows far from every centre, and small topics, are outliers.
 
-    The distance cut is an approximate quantile of all distances to the own
-    centre. Centres are the only thing that travels to the executors.
+    The distance cut is the exact percentile of all distances to the own centre.
+    Centres are the only thing that travels to the executors.
     """
     vectors = df.select(key, array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="topic").fit(vectors)
@@ -36,8 +38,8 @@ def cluster(
         F.lit(0.0),
         lambda acc, d: acc + d,
     )
-    distanced = placed.select(key, "topic", gap.alias("_d"))
-    limit = distanced.agg(F.percentile_approx("_d", max_distance_share, 10000)).scalar()
+    distanced = materialize(placed.select(key, "topic", gap.alias("_d")))
+    limit = ranking.exact_percentiles(distanced, "_d", {"limit": max_distance_share}).scalar()
     near = distanced.withColumn("_limit", limit).select(
         key, F.when(F.col("_d") <= F.col("_limit"), F.col("topic")).otherwise(OUTLIER).cast("int").alias("topic")
     )

@@ -7,7 +7,7 @@ and literals, so any SQL engine can produce the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,8 +15,8 @@ from tillsight.functions import text as tx
 from tillsight.operators import cleaning
 
 CUTOFF = "2001-05-01"
-OBSERVATION_END = "2001-08-01"
-GREEK = "γνωρησα ανθρωπους που ηταν με αλον τροπο"
+FOREIGN = "Θάλασσα γαλάζια και ήλιος πάνω από το νησί σήμερα"
+ONLY_DIGITS = "5550142"
 
 # Parameters of the text operators for the shared prose, which is invented:
 # frequent words and fragments stand in for a domain vocabulary.
@@ -52,7 +52,6 @@ NEGATORS = ["for", "on", "le", "by"]
 
 
 _schemas: dict[str, StructType] = {}
-_splits: dict[tuple[str, int], int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,16 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
-    """The columns of a source, shuffled by key only where it has fewer splits than cores.
+    """The columns of a source, dealt by key over all tasks.
 
-    A small file with a single row group would keep all later work in one task.
+    A file with few row groups would keep all later work in as many tasks.
     """
-    df = table(spark, sf_dir, name).select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    at = (f"{sf_dir}/{name}", cores)
-    if at not in _splits:
-        _splits[at] = df.rdd.getNumPartitions()
-    return df.repartition(cores, key) if _splits[at] < cores else df
+    return table(spark, sf_dir, name).select(*columns).repartition(key)
 
 
 def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +135,8 @@ def reviews_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("profile "), "source").alias("description"),
         F.concat(F.lit("Review of "), "source").alias("title"),
         F.when(i % 211 == 3, "...........")
-        .when(i % 223 == 5, "01959312890")
-        .when(i % 227 == 7, GREEK)
+        .when(i % 223 == 5, ONLY_DIGITS)
+        .when(i % 227 == 7, FOREIGN)
         .otherwise(F.col("text"))
         .alias("review"),
         stars.cast("int").alias("stars"),
@@ -154,16 +148,34 @@ def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loaded reviews: junk removed, text columns, surrogate-free company key."""
-    return cleaning.drop_junk_reviews(reviews_keyed(spark, sf_dir))
+    """Loaded reviews: of exact copies the first stays, junk removed."""
+    keyed = reviews_keyed(spark, sf_dir)
+    content = [c for c in keyed.columns if c != "review_id"]
+    return cleaning.drop_junk_reviews(cleaning.first_of_copies(keyed, "review_id", content))
 
 
 def reviews_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir).withColumn("full_text", tx.full_text(F.col("title"), F.col("review")))
 
 
+def planted_effect() -> Column:
+    """Effects added to the events: one arm is better throughout, one first worse and then better."""
+    arm, day = F.col("user_id") % 3, event_day()
+    late = (F.col("event_type") == "purchase") & (arm == 2)
+    return (
+        F.when((F.col("event_type") == "click") & (arm == 1), 8.0)
+        .when(late & (day <= 10), -25.0)
+        .when(late, 30.0)
+        .otherwise(0.0)
+    )
+
+
+def event_day() -> Column:
+    return F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1
+
+
 def experiment_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.col("value")
+    value = F.col("value") + planted_effect()
     measured = {
         1: F.when(value > 50, 1.0).otherwise(0.0),
         2: value,
@@ -179,7 +191,7 @@ def experiment_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.col("event_type").alias("experiment_id"),
             (F.col("user_id") % 3).cast("int").alias("arm"),
-            (F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1).alias("day"),
+            event_day().alias("day"),
             F.explode(metrics).alias("m"),
         )
         .select("experiment_id", "arm", "day", "m.metric_id", "m.x")
@@ -254,12 +266,15 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords_of(reviews(spark, sf_dir))
+
+
+def keywords_of(rows: DataFrame) -> DataFrame:
     """Keyword strings in stored form: five distinct words joined by ' | '."""
     long_words = F.filter(tx.words(F.col("review")), lambda w: F.length(w) >= 4)
     five = F.slice(F.sort_array(F.array_distinct(long_words)), 1, 5)
     return (
-        reviews(spark, sf_dir)
-        .select("review_id", "stars", five.alias("five"))
+        rows.select("review_id", "stars", five.alias("five"))
         .where(F.size("five") > 0)
         .select("review_id", "stars", F.array_join("five", " | ").alias("keywords"))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tillsight.functions import numerics as nx
@@ -10,8 +12,9 @@ from tillsight.plans import canonical as cn
 from tillsight.plans import check_sql as cs
 from tillsight.plans.registry import query
 from tillsight.plans.retail import customer_lines
+from tillsight.sources.staging import materialize
 
-BOOTSTRAP_REPLICATES = 100
+BOOTSTRAP_REPLICATES = 1000
 KEYS = "experiment_id, variant_id, metric_id"
 KEY_JOIN = "USING (experiment_id, variant_id, metric_id)"
 Z_CRIT = repr(nx.normal_quantile(0.975))
@@ -298,13 +301,17 @@ FROM (SELECT {KEYS}, MAX(n) AS n, MAX(CASE WHEN i = n - 1 THEN abs_effect END) A
 _FLAGS = KEYS + ", n_snapshots, final_effect, mid_effect, sign_flip_after_early_period, large_drift_mid_to_final"
 
 
-def flags(spark, sf_dir):
-    return experiments.stability_flags(experiments.effect_series(snapshots(spark, sf_dir)))
+def staged_snapshots(spark, sf_dir):
+    return materialize(snapshots(spark, sf_dir))
+
+
+def flags(found):
+    return experiments.stability_flags(materialize(experiments.effect_series(found)))
 
 
 @query("w7_w8_stability_flags", cs.using("flags") + f"SELECT {_shown_sql(_FLAGS)} FROM flags")
 def _(spark, sf_dir):
-    return shown(flags(spark, sf_dir))
+    return shown(flags(snapshots(spark, sf_dir)))
 
 
 @query(
@@ -313,7 +320,9 @@ def _(spark, sf_dir):
     + f"SELECT {_shown_sql(_FLAGS)} FROM flags JOIN (SELECT {KEYS} FROM tested WHERE p_value < 0.05e0) s {KEY_JOIN}",
 )
 def _(spark, sf_dir):
-    return shown(experiments.stability_of_significant(flags(spark, sf_dir), tested(spark, sf_dir)))
+    found = staged_snapshots(spark, sf_dir)
+    final = experiments.run_tests(experiments.final_results(found))
+    return shown(experiments.stability_of_significant(flags(found), final))
 
 
 @query(
@@ -324,21 +333,26 @@ def _(spark, sf_dir):
 UNION ALL SELECT 'all', COUNT(*), {cs.count_if("sign_flip_after_early_period")} FROM flags""",
 )
 def _(spark, sf_dir):
-    every = flags(spark, sf_dir)
-    return experiments.stability_counts(
-        every, experiments.stability_of_significant(every, tested(spark, sf_dir))
-    )
+    found = staged_snapshots(spark, sf_dir)
+    every = materialize(flags(found))
+    final = experiments.run_tests(experiments.final_results(found))
+    return experiments.stability_counts(every, experiments.stability_of_significant(every, final))
 
 
 @query(
     "w10_longest_unstable_series",
-    cs.using("flags")
+    cs.using("flags", "tested")
     + f"""SELECT {_shown_sql(_POINTS)} FROM series JOIN (SELECT {KEYS} FROM flags
+  JOIN (SELECT {KEYS} FROM tested WHERE p_value < 0.05e0) s {KEY_JOIN}
   WHERE sign_flip_after_early_period ORDER BY n_snapshots DESC, {KEYS} LIMIT 4) f {KEY_JOIN}""",
 )
 def _(spark, sf_dir):
-    series = experiments.effect_series(snapshots(spark, sf_dir))
-    return shown(experiments.longest_unstable(series, experiments.stability_flags(series)))
+    found = staged_snapshots(spark, sf_dir)
+    series = materialize(experiments.effect_series(found))
+    significant = experiments.stability_of_significant(
+        experiments.stability_flags(series), experiments.run_tests(experiments.final_results(found))
+    )
+    return shown(experiments.longest_unstable(series, significant))
 
 
 @query(
@@ -352,7 +366,7 @@ SELECT CAST(b AS INTEGER) AS bin, ROUND(lo + (hi - lo) / 20 * b, 6) AS bin_from,
 FROM range(20) r(b) CROSS JOIN span LEFT JOIN counted ON b = bin""",
 )
 def _(spark, sf_dir):
-    table = experiments.p_value_histogram(experiments.effect_series(snapshots(spark, sf_dir)))
+    table = experiments.p_value_histogram(materialize(experiments.effect_series(snapshots(spark, sf_dir))))
     return table.select("bin", F.round("bin_from", 6).alias("bin_from"), F.round("bin_to", 6).alias("bin_to"), "n")
 
 
@@ -439,7 +453,7 @@ def _(spark, sf_dir):
 
 _POISSON = " + ".join(
     f"CAST(u >= {total!r}e0 AS INTEGER)"
-    for total in [sum(__import__("math").exp(-1.0) / __import__("math").factorial(i) for i in range(k + 1)) for k in range(9)]
+    for total in [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(stats.POISSON_LEVELS)]
 )
 
 
@@ -500,7 +514,7 @@ def _(spark, sf_dir):
 FROM (SELECT MAX(time_since_start) AS d, COUNT(*) AS n FROM usable GROUP BY {KEYS})""",
 )
 def _(spark, sf_dir):
-    return experiments.series_length(experiments.usable_snapshots(snapshots(spark, sf_dir)))
+    return experiments.series_length(materialize(experiments.usable_snapshots(snapshots(spark, sf_dir))))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from tillsight.operators import attribution, clv, keyphrases, metrics, models, quality, reviews, topics
@@ -12,9 +13,10 @@ from tillsight.plans.retail import CHURN_SQL, churn_table
 from tillsight.plans.value import fitted_values
 from tillsight.sources.staging import materialize
 
-CHURN_BACKGROUND = 20
+CHURN_BACKGROUND = 100
 CLV_BACKGROUND = 100
 CLV_EXPLAINED = 200
+STOP_WORDS = cs.quoted(StopWordsRemover.loadDefaultStopWords("english"))
 CLV_FEATURES = ["frequency", "recency", "T", "monetary_value"]
 
 
@@ -92,24 +94,31 @@ def _(spark, sf_dir):
     return attribution.global_importance(values, CLV_FEATURES)
 
 
-def labelled_reviews(spark, sf_dir):
-    labels = cn.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("review_id"))
-    rows = cn.reviews_text(spark, sf_dir).select("review_id", "full_text", "stars")
-    return materialize(rows.join(labels, "review_id", "left_semi"))
-
-
 def star_setup(spark, sf_dir):
-    train, test = models.stratified_split(labelled_reviews(spark, sf_dir), "review_id", "stars")
+    rows = materialize(cn.reviews_text(spark, sf_dir).select("review_id", "full_text", "stars"))
+    train, test = models.stratified_split(rows, "review_id", "stars")
     train, test = materialize(train), materialize(test)
     tfidf = models.fit_tfidf(train)
     return train, test, tfidf
 
 
-@query("n6_tfidf_terms")
+@query(
+    "n6_tfidf_terms",
+    cs.using("rv_text")
+    + rf""", split AS (SELECT review_id, full_text, row_number() OVER (PARTITION BY stars
+    ORDER BY md5('42|' || review_id), review_id) > round_even(COUNT(*) OVER (PARTITION BY stars) * 0.2e0, 0) AS train FROM rv_text),
+words AS (SELECT review_id, list_filter(string_split_regex(lower(full_text), '[^\p{{L}}\p{{N}}_]+'),
+    lambda w: length(w) >= 2 AND w NOT IN ({STOP_WORDS})) AS w FROM split WHERE train),
+terms AS (SELECT review_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM words),
+counted AS (SELECT term, COUNT(*) AS n, COUNT(DISTINCT review_id) AS n_rows FROM terms GROUP BY term
+    ORDER BY n DESC, term LIMIT 3000)
+SELECT term, ROUND(ln(((SELECT COUNT(*) FROM words) + 1e0) / (n_rows + 1)) + 1, 9) AS idf FROM counted""",
+)
 def _(spark, sf_dir):
     train, _, tfidf = star_setup(spark, sf_dir)
     vocabulary, scale = tfidf.stages[4].vocabulary, tfidf.stages[5].getScalingVec().toArray()
-    return spark.createDataFrame([(t, float(w)) for t, w in zip(vocabulary, scale)], "term string, idf double")
+    rows = [(t, float(w)) for t, w in zip(vocabulary, scale)]
+    return spark.createDataFrame(rows, "term string, idf double").withColumn("idf", F.round("idf", 9))
 
 
 @query("n7_star_models")
@@ -117,15 +126,30 @@ def _(spark, sf_dir):
     train, test, tfidf = star_setup(spark, sf_dir)
     return quality.union_all(
         models.evaluate_stars("linear", models.fit_star_linear(tfidf, train), test),
-        models.evaluate_stars("boosted", models.fit_star_boosted(tfidf, train, rounds=2, depth=2), test),
+        models.evaluate_stars("boosted", models.fit_star_boosted(tfidf, train), test),
     )
 
 
+def chosen_star_predictions(spark, sf_dir):
+    """Held-out predictions of the star model that does better there."""
+    train, test, tfidf = star_setup(spark, sf_dir)
+    fitted = {"linear": models.fit_star_linear(tfidf, train), "boosted": models.fit_star_boosted(tfidf, train)}
+    scored = {k: materialize(models.predicted_stars(m, test, ["stars"])) for k, m in fitted.items()}
+    scores = [metrics.overall_scores(s, "stars", "predicted_stars").withColumn("model", F.lit(k)) for k, s in scored.items()]
+    return scored[models.better_model(quality.union_all(*scores))]
+
+
 @query("n7_star_confusion")
 def _(spark, sf_dir):
-    train, test, tfidf = star_setup(spark, sf_dir)
-    scored = models.predicted_stars(models.fit_star_linear(tfidf, train), test, ["stars"])
-    return metrics.confusion_matrix(scored, "stars", "predicted_stars", [1, 2, 3, 4, 5])
+    return metrics.confusion_matrix(chosen_star_predictions(spark, sf_dir), "stars", "predicted_stars", [1, 2, 3, 4, 5])
+
+
+@query("n7_star_report")
+def _(spark, sf_dir):
+    scored = chosen_star_predictions(spark, sf_dir)
+    report = metrics.class_report(scored, "stars", "predicted_stars")
+    wrong = metrics.off_by_one(scored, "stars", "predicted_stars")
+    return report.withColumns({c: wrong.select(c).scalar() for c in ("wrong", "off_by_one_share")})
 
 
 @query("n2_model_review_stars")
@@ -143,7 +167,11 @@ def _(spark, sf_dir):
     linear = model.stages[-1]
     weights = linear.coefficientMatrix.toArray().tolist()[1:]
     values = attribution.linear_attribution(
-        tfidf.transform(test).select("features"), weights, [1, 2, 3, 4, 5], tfidf.stages[4].vocabulary
+        tfidf.transform(test).select("features"),
+        tfidf.transform(train).select("features"),
+        weights,
+        [1, 2, 3, 4, 5],
+        tfidf.stages[4].vocabulary,
     )
     return attribution.top_terms(values)
 

@@ -171,10 +171,10 @@ def _(spark, sf_dir):
 
 
 def _model_row(spark, name, fitted):
-    names = [k for k in fitted if k != "objective"]
+    told = ("objective", "gradient", "converged")
     return spark.createDataFrame(
-        [(name, k, fitted[k], fitted["objective"]) for k in names],
-        "model string, parameter string, value double, objective double",
+        [(name, k, v, *(fitted[t] for t in told)) for k, v in fitted.items() if k not in told],
+        "model string, parameter string, value double, objective double, gradient double, converged boolean",
     )
 
 

@@ -8,10 +8,12 @@ from tillsight.operators import cleaning, documents, metrics, quality, reviews,
 from tillsight.plans import canonical as cn
 from tillsight.plans import check_sql as cs
 from tillsight.plans.registry import query
+from tillsight.sources.staging import materialize
 
 SAMPLE_FRACTION = 0.4
 MIN_TOPIC_SIZE = 48
 ONE_REVIEW = 42
+LARGEST_TOPICS = 15
 _RAW = ["category", "company", "description", "title", "review", "stars"]
 
 
@@ -168,9 +170,14 @@ cs.view(
 )
 
 
-def sentiment_table(spark, sf_dir):
+def staged_reviews(spark, sf_dir):
+    """Cleaned reviews with their text, written once for all parts of a query that read them."""
+    return materialize(cn.reviews_text(spark, sf_dir))
+
+
+def sentiment_table(spark, rows):
     """Both scorers side by side, one row per review."""
-    rows = cn.reviews_text(spark, sf_dir).select("review_id", "full_text")
+    rows = rows.select("review_id", "full_text")
     stars = 1 + F.least(F.floor((F.col("compound") + 1.0) * 2.5), F.lit(4)).cast("int")
     return with_compound(spark, rows).select(
         "review_id",
@@ -189,8 +196,9 @@ SELECT 'lexicon' AS scorer, ROUND(AVG(CASE WHEN lexicon_bucket = actual THEN 1e0
 UNION ALL SELECT 'model', ROUND(AVG(CASE WHEN model_bucket = actual THEN 1e0 ELSE 0e0 END), 6) FROM j""",
 )
 def _(spark, sf_dir):
-    actual = cn.reviews(spark, sf_dir).select("review_id", reviews.star_bucket(F.col("stars")).alias("actual"))
-    joined = sentiment_table(spark, sf_dir).join(actual, "review_id")
+    rows = staged_reviews(spark, sf_dir)
+    actual = rows.select("review_id", reviews.star_bucket(F.col("stars")).alias("actual"))
+    joined = sentiment_table(spark, rows).join(actual, "review_id")
     compared = reviews.compare_scorers(joined, {"lexicon": "lexicon_bucket", "model": "model_bucket"}, "actual")
     return compared.select("scorer", F.round("accuracy", 6).alias("accuracy"))
 
@@ -222,8 +230,12 @@ FROM mentions m JOIN d_scored ON m.sentence = d_scored.sentence""",
 )
 
 
-def mentions(spark, sf_dir):
-    return reviews.aspect_mentions(cn.reviews_text(spark, sf_dir), cn.ASPECTS)
+def mentions(rows):
+    return reviews.aspect_mentions(rows, cn.ASPECTS)
+
+
+def scored_mentions(spark, rows):
+    return reviews.score_sentences(materialize(mentions(rows)), scorer(spark))
 
 
 @query(
@@ -231,12 +243,12 @@ def mentions(spark, sf_dir):
     cs.using("rv_text") + f", {_SENTENCES} SELECT * FROM mentions",
 )
 def _(spark, sf_dir):
-    return mentions(spark, sf_dir)
+    return mentions(cn.reviews_text(spark, sf_dir))
 
 
 @query("n5_j13_scored_mentions", cs.using("aspect_rows") + "SELECT * FROM aspect_rows")
 def _(spark, sf_dir):
-    return reviews.score_sentences(mentions(spark, sf_dir), scorer(spark))
+    return scored_mentions(spark, cn.reviews_text(spark, sf_dir))
 
 
 @query(
@@ -245,7 +257,7 @@ def _(spark, sf_dir):
     + "SELECT aspect, ROUND(AVG(predicted_stars), 6) AS mean_stars, COUNT(*) AS mentions FROM aspect_rows GROUP BY aspect",
 )
 def _(spark, sf_dir):
-    scored = reviews.score_sentences(mentions(spark, sf_dir), scorer(spark))
+    scored = scored_mentions(spark, cn.reviews_text(spark, sf_dir))
     return reviews.aspect_summary(scored).withColumn("mean_stars", F.round("mean_stars", 6)).orderBy("mean_stars", "aspect")
 
 
@@ -284,19 +296,25 @@ FROM (SELECT topic, COUNT(*) AS count FROM a GROUP BY topic) c JOIN n ON c.topic
 )
 
 
-def topic_labels(spark, sf_dir):
-    texts = cn.reviews_text(spark, sf_dir).select("review_id", "full_text")
-    return topics.topic_summary(given_topics(spark, sf_dir).join(texts, "review_id"), "full_text")
+def topic_labels(rows, given):
+    return topics.topic_summary(given.join(rows.select("review_id", "full_text"), "review_id"), "full_text")
+
+
+def all_topic_labels(spark, sf_dir):
+    return topic_labels(cn.reviews_text(spark, sf_dir), given_topics(spark, sf_dir))
 
 
 @query("n9_topic_summary", cs.using("topic_labels") + "SELECT * FROM topic_labels")
 def _(spark, sf_dir):
-    return topic_labels(spark, sf_dir)
+    return all_topic_labels(spark, sf_dir)
 
 
-@query("k4_largest_topics", cs.using("topic_labels") + "SELECT * FROM topic_labels ORDER BY count DESC, topic LIMIT 5")
+@query(
+    "k4_largest_topics",
+    cs.using("topic_labels") + f"SELECT * FROM topic_labels ORDER BY count DESC, topic LIMIT {LARGEST_TOPICS}",
+)
 def _(spark, sf_dir):
-    return topic_labels(spark, sf_dir).orderBy(F.col("count").desc(), "topic").limit(5)
+    return all_topic_labels(spark, sf_dir).orderBy(F.col("count").desc(), "topic").limit(LARGEST_TOPICS)
 
 
 _CATEGORY = """, a AS (SELECT t.review_id, topic, category FROM topic_rows t LEFT JOIN rv ON t.review_id = rv.review_id)"""
@@ -331,16 +349,22 @@ def _(spark, sf_dir):
 # --- documents ---------------------------------------------------------------------
 
 
-def document_parts(spark, sf_dir):
-    rows = cn.reviews(spark, sf_dir)
-    facts = reviews.review_facts(rows, reviews.company_dimension(rows))
-    aspects = reviews.score_sentences(mentions(spark, sf_dir), scorer(spark))
-    labels = topic_labels(spark, sf_dir)
-    return facts, sentiment_table(spark, sf_dir), aspects, given_topics(spark, sf_dir), labels, cn.keyword_strings(spark, sf_dir)
+def review_documents(spark, sf_dir, only=None):
+    """Documents of all reviews, or of the rows that a condition picks; only their own parts are computed then."""
+    every = staged_reviews(spark, sf_dir)
+    rows = every if only is None else materialize(every.where(only))
+    given = materialize(given_topics(spark, sf_dir))
+    labels = topic_labels(every, given)
+    topic = given if only is None else given.join(rows.select("review_id"), "review_id", "left_semi")
+    facts = reviews.review_facts(rows, reviews.company_dimension(every))
+    return documents.build_documents(
+        facts, sentiment_table(spark, rows), scored_mentions(spark, rows), topic, labels, cn.keywords_of(rows)
+    )
 
 
-def review_documents(spark, sf_dir):
-    return documents.build_documents(*document_parts(spark, sf_dir))
+def child_counts(spark, sf_dir):
+    rows = staged_reviews(spark, sf_dir)
+    return documents.child_counts(rows, mentions(rows), cn.keywords_of(rows))
 
 
 cs.view(
@@ -388,7 +412,7 @@ def _(spark, sf_dir):
 
 @query("p18_find_document", cs.using("docs") + _FLAT + f" WHERE _id = {ONE_REVIEW}")
 def _(spark, sf_dir):
-    return _flat(documents.find_document(review_documents(spark, sf_dir), ONE_REVIEW))
+    return _flat(review_documents(spark, sf_dir, F.col("review_id") == ONE_REVIEW))
 
 
 @query(
@@ -396,7 +420,8 @@ def _(spark, sf_dir):
     cs.using("docs") + "SELECT _id, topic_id, topic_label FROM docs WHERE contains(lower(topic_label), 'the')",
 )
 def _(spark, sf_dir):
-    found = documents.search_by_topic(review_documents(spark, sf_dir), "The")
+    rows, given = staged_reviews(spark, sf_dir), materialize(given_topics(spark, sf_dir))
+    found = documents.search_by_topic(documents.topic_of(rows, given, topic_labels(rows, given)), "The")
     return found.select("_id", F.col("topic.topic_id").alias("topic_id"), F.col("topic.topic_label").alias("topic_label"))
 
 
@@ -409,7 +434,7 @@ def _(spark, sf_dir):
   CAST(MAX(len(aspects)) AS INTEGER) AS most_aspects FROM docs""",
 )
 def _(spark, sf_dir):
-    return documents.coverage(review_documents(spark, sf_dir))
+    return documents.coverage(child_counts(spark, sf_dir))
 
 
 @query(
@@ -419,7 +444,36 @@ def _(spark, sf_dir):
   CAST(greatest(len(aspects), 1) * greatest(len(keywords), 1) AS INTEGER) AS joined_rows FROM docs""",
 )
 def _(spark, sf_dir):
-    return documents.fan_out(review_documents(spark, sf_dir))
+    return documents.fan_out(child_counts(spark, sf_dir))
+
+
+@query(
+    "k5_first_with_and_without",
+    cs.using("docs")
+    + """SELECT with_aspects, _id, stars, topic_id, CAST(len(aspects) AS INTEGER) AS aspects FROM docs JOIN (
+  SELECT len(aspects) > 0 AS with_aspects, MIN(_id) AS first FROM docs GROUP BY 1) f ON _id = first""",
+)
+def _(spark, sf_dir):
+    firsts = materialize(documents.first_with_and_without(child_counts(spark, sf_dir)))
+    picked = [r.review_id for r in firsts.collect()]  # at most two rows
+    found = documents.as_json(review_documents(spark, sf_dir, F.col("review_id").isin(picked)))
+    shape = "stars int, topic struct<topic_id: int>, aspects array<struct<aspect: string>>"
+    body = F.from_json("document", shape)
+    return found.join(firsts, F.col("_id") == F.col("review_id")).select(
+        "with_aspects",
+        "_id",
+        body["stars"].alias("stars"),
+        body["topic"]["topic_id"].alias("topic_id"),
+        F.size(body["aspects"]).alias("aspects"),
+    )
+
+
+def bridge_of(spark, sf_dir, every, rows=None):
+    """The sentiment bridge of `rows` (default all); topic labels come from all reviews."""
+    given = materialize(given_topics(spark, sf_dir))
+    return documents.sentiment_bridge(
+        sentiment_table(spark, every if rows is None else rows), given, topic_labels(every, given)
+    )
 
 
 _BRIDGE = f"""SELECT s.review_id, CAST(lexicon_compound AS DECIMAL(6,4)) AS lexicon_compound, lexicon_bucket,
@@ -434,9 +488,7 @@ FROM sentiment_rows s LEFT JOIN topic_rows t ON s.review_id = t.review_id LEFT J
     + f", b AS ({_BRIDGE}) SELECT * REPLACE (CAST(ROUND(lexicon_compound, 3) AS DOUBLE) AS lexicon_compound) FROM b",
 )
 def _(spark, sf_dir):
-    bridge = documents.sentiment_bridge(
-        sentiment_table(spark, sf_dir), given_topics(spark, sf_dir), topic_labels(spark, sf_dir)
-    )
+    bridge = bridge_of(spark, sf_dir, staged_reviews(spark, sf_dir))
     return bridge.withColumn("lexicon_compound", F.round("lexicon_compound", 3).cast("double"))
 
 
@@ -445,7 +497,8 @@ def _(spark, sf_dir):
     cs.using("aspect_rows") + "SELECT review_id, aspect, sentence, predicted_stars FROM aspect_rows",
 )
 def _(spark, sf_dir):
-    return documents.aspects_bridge(review_documents(spark, sf_dir))
+    scored = scored_mentions(spark, cn.reviews_text(spark, sf_dir))
+    return scored.select("review_id", "aspect", "sentence", "predicted_stars")
 
 
 @query(
@@ -465,12 +518,11 @@ FROM rv r JOIN b ON r.review_id = b.review_id LEFT JOIN aspect_rows a ON r.revie
 LEFT JOIN k ON r.review_id = k.review_id WHERE r.review_id = {ONE_REVIEW}""",
 )
 def _(spark, sf_dir):
-    bridge = documents.sentiment_bridge(
-        sentiment_table(spark, sf_dir), given_topics(spark, sf_dir), topic_labels(spark, sf_dir)
-    )
-    aspects = reviews.score_sentences(mentions(spark, sf_dir), scorer(spark))
-    keywords = documents.keyword_rows(cn.keyword_strings(spark, sf_dir))
-    return documents.review_profile(ONE_REVIEW, cn.reviews(spark, sf_dir), bridge, aspects, keywords)
+    every = staged_reviews(spark, sf_dir)
+    rows = materialize(every.where(F.col("review_id") == ONE_REVIEW))
+    keywords = documents.keyword_rows(cn.keywords_of(rows))
+    bridge = bridge_of(spark, sf_dir, every, rows)
+    return documents.review_profile(ONE_REVIEW, rows, bridge, scored_mentions(spark, rows), keywords)
 
 
 # --- evaluation of star predictions ---------------------------------------------------

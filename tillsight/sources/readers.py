@@ -60,9 +60,22 @@ def read_sql(spark: SparkSession, statement: str, **views: DataFrame) -> DataFra
     return spark.sql(statement, **views)
 
 
-def read_jdbc(spark: SparkSession, url: str, statement: str, **options: str) -> DataFrame:
-    """The result of a statement run by a database; pass bounds to read it in parallel."""
-    return spark.read.format("jdbc").options(url=url, query=statement, **options).load()
+def jdbc_options(
+    url: str, statement: str, split: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 1, **options: str
+) -> dict[str, str]:
+    """Options that read a statement's result; with a numeric column and its bounds in `parts` tasks."""
+    out = {"url": url, "dbtable": f"({statement}) t", **options}
+    if split is not None:
+        if bounds is None or parts < 1:
+            raise ValueError("a split column needs bounds and a number of parts")
+        low, high = bounds
+        out |= {"partitionColumn": split, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return out
+
+
+def read_jdbc(spark: SparkSession, url: str, statement: str, **options) -> DataFrame:
+    """The result of a statement run by a database (see jdbc_options)."""
+    return spark.read.format("jdbc").options(**jdbc_options(url, statement, **options)).load()
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:

@@ -17,13 +17,13 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
-    """Catalog table bucketed on its join key, so that joins on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+def jdbc_append_options(url: str, table: str, batch: int = 1000, **options: str) -> dict[str, str]:
+    return {"url": url, "dbtable": table, "batchsize": str(batch), **options}
 
 
-def append_jdbc(df: DataFrame, url: str, table: str, batch: int = 1000, **options: str) -> None:
-    df.write.mode("append").format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).save()
+def append_jdbc(df: DataFrame, url: str, table: str, **options) -> None:
+    """Append to a database table, in batches of `batch` rows (see jdbc_append_options)."""
+    df.write.mode("append").format("jdbc").options(**jdbc_append_options(url, table, **options)).save()
 
 
 def write_documents(documents: DataFrame, path: str, form: str = "json") -> None:
