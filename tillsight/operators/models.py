@@ -84,20 +84,24 @@ def evaluate_churn(name: str, model: PipelineModel, test: DataFrame) -> DataFram
 # --- stars --------------------------------------------------------------------------
 
 
-def fit_tfidf(train: DataFrame, text: str = "full_text", terms: int = 3000) -> PipelineModel:
+def fit_tfidf(
+    train: DataFrame, text: str = "full_text", terms: int = 3000, stop_words: Sequence[str] | None = None
+) -> PipelineModel:
     """Unit-length TF-IDF of one- and two-word terms, fitted on training rows only.
 
     The `terms` most frequent terms are taken, equal counts in order of the term,
     so the vocabulary does not depend on partitions. The inverse document
     frequency carries the customary + 1, so terms found in every review keep
-    some weight.
+    some weight. `stop_words` default to the usual English ones.
     """
     counting = Pipeline(
         stages=[
             RegexTokenizer(
                 inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2, toLowercase=True
             ),
-            StopWordsRemover(inputCol="_tokens", outputCol="_words"),
+            StopWordsRemover(
+                inputCol="_tokens", outputCol="_words", **({} if stop_words is None else {"stopWords": list(stop_words)})
+            ),
             NGram(n=2, inputCol="_words", outputCol="_pairs"),
             SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
         ]

@@ -48,6 +48,7 @@ LEXICON = {
     "que": 2.2,
     "from": -1.8,
 }
+STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "it", "was", "with", "for", "on", "as", "are", "be", "by"]
 NEGATORS = ["for", "on", "le", "by"]
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
 from tillsight.operators import attribution, clv, keyphrases, metrics, models, quality, reviews, topics
@@ -16,7 +15,6 @@ from tillsight.sources.staging import materialize
 CHURN_BACKGROUND = 100
 CLV_BACKGROUND = 100
 CLV_EXPLAINED = 200
-STOP_WORDS = cs.quoted(StopWordsRemover.loadDefaultStopWords("english"))
 CLV_FEATURES = ["frequency", "recency", "T", "monetary_value"]
 
 
@@ -98,7 +96,7 @@ def star_setup(spark, sf_dir):
     rows = materialize(cn.reviews_text(spark, sf_dir).select("review_id", "full_text", "stars"))
     train, test = models.stratified_split(rows, "review_id", "stars")
     train, test = materialize(train), materialize(test)
-    tfidf = models.fit_tfidf(train)
+    tfidf = models.fit_tfidf(train, stop_words=cn.STOP_WORDS)
     return train, test, tfidf
 
 
@@ -108,7 +106,7 @@ def star_setup(spark, sf_dir):
     + rf""", split AS (SELECT review_id, full_text, row_number() OVER (PARTITION BY stars
     ORDER BY md5('42|' || review_id), review_id) > round_even(COUNT(*) OVER (PARTITION BY stars) * 0.2e0, 0) AS train FROM rv_text),
 words AS (SELECT review_id, list_filter(string_split_regex(lower(full_text), '[^\p{{L}}\p{{N}}_]+'),
-    lambda w: length(w) >= 2 AND w NOT IN ({STOP_WORDS})) AS w FROM split WHERE train),
+    lambda w: length(w) >= 2 AND w NOT IN ({cs.quoted(cn.STOP_WORDS)})) AS w FROM split WHERE train),
 terms AS (SELECT review_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM words),
 counted AS (SELECT term, COUNT(*) AS n, COUNT(DISTINCT review_id) AS n_rows FROM terms GROUP BY term
     ORDER BY n DESC, term LIMIT 3000)
