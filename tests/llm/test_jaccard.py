@@ -86,14 +86,15 @@ def test_linked_sets_share_a_root(percent):
     rng = np.random.default_rng(percent)
     plan = jaccard.Plan(3, percent)
     for _ in range(1500):
-        n = int(rng.integers(1, 400))
+        n = int(rng.integers(1, 700))
         a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
         m = int(rng.integers(max(1, n * percent // 100), n * 100 // percent + 1))
         # The largest difference a pair of these sizes may have, or nearly.
         overlap = max(1, min(-(-percent * (n + m) // (100 + percent)) + int(rng.integers(0, 2)), n, m))
         b = np.concatenate([a[:overlap], rng.integers(0, 2**63, m - overlap, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
         if plan.links(overlap, n, m) and n + m > 2 * overlap:
-            x, y = (set(jaccard.root_edges(np.sort(s), plan).tolist()) for s in (a, b))
+            frequent = np.sort(rng.permutation(np.concatenate([a, b]))[: rng.integers(0, n)])
+            x, y = (set(jaccard.root_edges(np.sort(s), plan, np.unique(frequent)).tolist()) for s in (a, b))
             assert x & y, (n, m, overlap)
 
 

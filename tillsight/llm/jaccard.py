@@ -1,11 +1,12 @@
 """Documents whose sets of word runs are alike, and the groups they form.
 
-Sets are ordered globally, by the digest of their members. Pairs that reach the
-threshold differ in at most d members; cut the order into more than d segments
-and such a pair agrees on one of them completely. So every set stands in a
-forest of tries, once under each of its segments as the root edge, and all
-links lie below common roots. The forest is spread by sorting root edges; sets
-with a common root edge get one cluster number.
+Sets are ordered globally, by the digest of their members. The order is cut into
+segments, so many that any pair that reaches the threshold agrees on one of them
+completely (for large sets with a probability of one pair in 10**10 that it does
+not; small sets have single members in place of segments, so many that one must
+be shared). Every set stands in a forest of tries, once under each of its
+segments as the root edge, and all links lie below common roots. The forest is
+spread by sorting root edges; sets with a common root edge get one cluster number.
 
 Within a cluster, sets are stored in tries along the global order and probed
 one after the other: a branch's overlap with the probe is counted once for all
@@ -33,9 +34,13 @@ from tillsight.llm.components import components
 from tillsight.sources.staging import materialize
 
 #: Sets of fewer members have single members as roots.
-SMALL = 40
+SMALL = 150
 #: Ratio of the smallest to the largest set size of a size class.
-CLASS_RATIO = 0.75
+CLASS_RATIO = 0.85
+#: A pair that just reaches the threshold has no common root with at most this probability (over the digests).
+MISSED = 1e-10
+#: A member of so many small sets is frequent; at most so many members are treated so.
+OFTEN, FREQUENT = 6, 250_000
 #: Sets and members per chunk of a cluster, and typical sets a chunk sends on.
 CHUNK_SETS, CHUNK_MEMBERS, TYPICAL = 256, 1 << 20, 8
 
@@ -54,27 +59,46 @@ class Plan:
         self.run, self.percent = run, percent
         self.bounds: list[int] = [SMALL]
         self.segments: list[int] = []
-        self.spare: list[int] = []
+        self.least: list[int] = []
 
     def links(self, overlap: int, size_a: int, size_b: int) -> bool:
         return overlap * (100 + self.percent) >= self.percent * (size_a + size_b)
 
+    def is_small(self, size: int) -> bool:
+        """Whether a set of this size may link with one of fewer than SMALL members."""
+        return self.percent * size < 100 * SMALL
+
+    def prefix(self, size: int) -> int:
+        """Linked sets of which one is of this size share one of its so many first members, and of the other's."""
+        return size - -(-self.percent * size // 100) + 1
+
+    def _cut(self, low: int, high: int) -> tuple[int, int]:
+        """Segments for sets from `low` to `high` members, and the members a segment needs to be a root.
+
+        A pair that just reaches the threshold differs in at most `differ`
+        members, which fall on segments at random. Of the largest number of
+        members a root can have, the fewest segments with which such a pair has
+        no common root with a probability below MISSED.
+        """
+        differ = (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+        common = low * self.percent // 100
+        for least in (6, 5, 4, 3, 2, 1):
+            for segments in range(2, 2 * differ + 2):
+                whole = (1 - 1 / segments) ** differ
+                mean = common / segments
+                filled = 1 - math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(least))
+                if segments * math.log1p(-whole * filled) <= math.log(MISSED):
+                    return segments, least
+        raise ValueError(f"sets of {low} members are too small for segments")
+
     def classes(self, size: int) -> list[int]:
         """Classes of the smaller set of the pairs a set of at least SMALL members can be in."""
         while self.bounds[-1] <= size:
             low = self.bounds[-1]
-            high = int(low / max(CLASS_RATIO, self.percent / 100 - 0.05))
-            differ = (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
-            # Segments no difference touches: one, and so many as may well be empty.
-            spare = 0
-            while True:
-                segments = differ + 1 + spare
-                empty = segments * math.exp(-low / segments)
-                if spare >= empty + 4 * math.sqrt(empty) or spare > differ:
-                    break
-                spare += 1
+            high = int(low / CLASS_RATIO)
+            segments, least = self._cut(low, high)
             self.segments.append(segments)
-            self.spare.append(spare)
+            self.least.append(least)
             self.bounds.append(high + 1)
         c = bisect_right(self.bounds, size) - 1
         out = [c]
@@ -99,31 +123,47 @@ def set_digest(members: np.ndarray) -> int:
     return int(words.mix(np.array([total], _U)).view(np.int64)[0])
 
 
-def root_edges(members: np.ndarray, plan: Plan) -> np.ndarray:
+def root_edges(members: np.ndarray, plan: Plan, frequent: np.ndarray) -> np.ndarray:
     """Digests of the set's root edges.
 
-    One per segment and size class: an empty segment says nothing, so it gives
-    no root, and sets with more empty segments than the class has to spare get
-    one common root for that. Sets that may link with one of fewer than SMALL
-    members also have their smallest members as roots, so many that linked sets
-    share one of them.
+    For large sets one per segment and size class that holds enough members.
+    Sets that may link with a small one also have single members as roots: the
+    first ones of an order that puts `frequent` members (sorted) last.
     """
     n = len(members)
     out = []
-    if plan.percent * n < 100 * SMALL:
-        out.append(words.mix(members[: n - -(-plan.percent * n // 100) + 1] + _U(7)))
+    if plan.is_small(n):
+        common = np.isin(members, frequent, assume_unique=True)
+        ordered = np.concatenate([members[~common], members[common]])
+        out.append(words.mix(ordered[: plan.prefix(n)] + _U(7)))
     for c in plan.classes(n) if n >= SMALL else ():
-        segments = plan.segments[c]
-        where = ((members >> _U(32)) * _U(segments)) >> _U(32)
+        where = ((members >> _U(32)) * _U(plan.segments[c])) >> _U(32)
         first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
         total = np.add.reduceat(words.mix(members), first)
         label = (where[first] + _U(1)) * _U(1 << 20) + _U(c)
-        out.append(words.mix(words.mix(label) + total))
-        if segments - len(first) > plan.spare[c]:
-            out.append(words.mix(np.array([c], _U) + _U(1 << 60)))
+        enough = np.diff(np.append(first, n)) >= plan.least[c]
+        out.append(words.mix(words.mix(label) + total)[enough])
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
+def frequent_members(docs: DataFrame, text_col: str, plan: Plan) -> np.ndarray:
+    """Members that many small sets have, the most frequent FREQUENT of them at most.
+
+    Any choice gives the same links; this one keeps wording that many texts
+    share from being a root of all of them.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = [s for s in run_sets(batch.column(0).to_pylist(), plan.run) if plan.is_small(len(s))]
+            if small:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(small).view(np.int64))], ["member"])
+
+    counted = docs.select(text_col).mapInArrow(emit, "member long").groupBy("member").agg(F.count("*").alias("n"))
+    often = counted.where(F.col("n") >= OFTEN).orderBy(F.col("n").desc(), "member").limit(FREQUENT)
+    return np.sort(np.array([r.member for r in often.select("member").collect()], np.int64).view(_U))
+
+
 def describe(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
     """id, content (digest of the text), n_shingles, node (digest of the set)."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -146,6 +186,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame
 
 def common_roots(docs: DataFrame, text_col: str, plan: Plan) -> DataFrame:
     """Edges `a, b` between sets that stand under a common root, as chains along the sorted roots."""
+    frequent = frequent_members(docs, text_col, plan)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -155,7 +196,7 @@ def common_roots(docs: DataFrame, text_col: str, plan: Plan) -> DataFrame:
                 node = set_digest(s)
                 if len(s) and node not in seen:
                     seen.add(node)
-                    edges = root_edges(s, plan)
+                    edges = root_edges(s, plan, frequent)
                     roots.append(edges)
                     nodes.append(np.full(len(edges), node, np.int64))
             if roots:
