@@ -5,7 +5,7 @@ words of a text and the probabilities of the categories before it. While
 training, these come from models that have not seen the text (out of fold), so
 that later models learn from probabilities as wrong as they will be in use.
 
-Words count by their first bytes, so inflected forms of a stem share a feature.
+Words count by their first bytes, at two lengths, so forms of a stem share a feature.
 The features are those of the labelled sample that tell a category best apart.
 """
 
@@ -26,8 +26,8 @@ from tillsight.sources.staging import materialize
 
 #: The models are fitted on at most so many labelled rows, those with the smallest digests of their ids.
 LABELLED = 20_000
-#: Features per category, bytes of a word that count, rows a feature must occur in.
-FEATURES, STEM, LEAST_ROWS = 400, 6, 5
+#: Features per category, first bytes of a word that count (both lengths), rows a feature must occur in.
+FEATURES, STEMS, LEAST_ROWS = 400, (4, 6), 5
 FOLDS = 3
 THRESHOLD = 0.5
 
@@ -40,8 +40,9 @@ IN_WORD = words.byte_class(rb"[0-9a-z\x80-\xff]")
 def text_features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(text number, word stem digest) pairs without repeats, by groups of texts, and the group's size."""
     for base, group in words.groups([(t or "").lower().encode() for t in texts]):
-        digests, bounds = words.word_digests(group, IN_WORD, STEM)
-        owner = np.repeat(np.arange(len(group)), np.diff(bounds))
+        parsed = [words.word_digests(group, IN_WORD, most) for most in STEMS]
+        digests = np.concatenate([d for d, _ in parsed])
+        owner = np.concatenate([np.repeat(np.arange(len(group)), np.diff(bounds)) for _, bounds in parsed])
         order = np.lexsort((digests, owner))
         owner, digests = owner[order], digests[order]
         new = np.append(True, (owner[1:] != owner[:-1]) | (digests[1:] != digests[:-1])) if len(owner) else owner > 0
@@ -82,7 +83,7 @@ def _fit(rows: DataFrame, label: str, inputs: Column, size: int) -> tuple[np.nda
     low, high = rows.agg(F.min(label), F.max(label)).first()
     if low is None or low == high:
         return np.zeros(size), 20.0 if low == 1.0 else -20.0
-    model = LogisticRegression(regParam=1e-4, maxIter=60, standardization=False).fit(
+    model = LogisticRegression(regParam=1e-5, maxIter=60, standardization=False).fit(
         rows.select(array_to_vector(inputs).alias("features"), F.col(label).alias("label"))
     )
     return model.coefficients.toArray(), float(model.intercept)
