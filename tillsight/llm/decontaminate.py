@@ -142,7 +142,7 @@ def leaks_of(texts: list[str | None], index: Index, threshold: float, overlap: f
         return out
     size = max(LEAST_PASSAGE, 2 * index.longest)
     stride = size - max(index.longest, LEAST_PASSAGE // 2)
-    for base, group in words.groups([plain(t) for t in texts]):
+    for base, group in words.groups(texts, plain):
         digests, bounds = words.word_digests(group, IN_WORD)
         numbers = index.numbers(digests)
         counts = np.diff(bounds)

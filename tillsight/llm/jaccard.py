@@ -110,7 +110,7 @@ class Plan:
 
 def run_sets(texts: list[str | None], run: int) -> Iterator[np.ndarray]:
     """Sorted digests of each text's distinct runs of `run` words; shorter texts have one run of all words."""
-    for _, group in words.groups([(t or "").encode().translate(_LOWER) for t in texts]):
+    for _, group in words.groups(texts, lambda t: t.encode().translate(_LOWER)):
         digests, bounds = words.word_digests(group, IN_WORD)
         for a, b in zip(bounds, bounds[1:]):
             n = min(run, b - a)

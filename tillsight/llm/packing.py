@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 ROW_TOKENS = 2048
 SHARD_DOCS = 1024
 #: Encoded words a worker remembers, and the longest; results do not depend on them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 120_000, 64
 #: A space that does not simply lead the next word.
 LOOSE_SPACE = re.compile(r" (?:\s|$)")
 

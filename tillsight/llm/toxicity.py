@@ -27,7 +27,7 @@ from tillsight.sources.staging import materialize
 #: The models are fitted on at most so many labelled rows, those with the smallest digests of their ids.
 LABELLED = 20_000
 #: Features per category, first bytes of a word that count (both lengths), rows a feature must occur in.
-FEATURES, STEMS, LEAST_ROWS = 400, (4, 6), 5
+FEATURES, STEMS, LEAST_ROWS = 300, (4, 6), 5
 FOLDS = 3
 THRESHOLD = 0.5
 
@@ -39,7 +39,7 @@ IN_WORD = words.byte_class(rb"[0-9a-z\x80-\xff]")
 
 def text_features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(text number, word stem digest) pairs without repeats, by groups of texts, and the group's size."""
-    for base, group in words.groups([(t or "").lower().encode() for t in texts]):
+    for base, group in words.groups(texts, lambda t: t.lower().encode()):
         parsed = [words.word_digests(group, IN_WORD, most) for most in STEMS]
         digests = np.concatenate([d for d, _ in parsed])
         owner = np.concatenate([np.repeat(np.arange(len(group)), np.diff(bounds)) for _, bounds in parsed])
@@ -119,12 +119,14 @@ def train(
     sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).drop("_doc")
 
     def stems(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found: list = [np.empty(0, np.uint64)] * len(frame)
-            for owner, digests, _ in text_features(frame._text.tolist()):
-                for i in np.unique(owner):
-                    found[i] = digests[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]
-            yield frame.drop(columns="_text").assign(stems=[f.view(np.int64) for f in found])
+        for whole in frames:
+            for start in range(0, len(whole), 500):
+                frame = whole.iloc[start : start + 500]
+                found: list = [np.empty(0, np.uint64)] * len(frame)
+                for owner, digests, _ in text_features(frame._text.tolist()):
+                    for i in np.unique(owner):
+                        found[i] = digests[np.searchsorted(owner, i) : np.searchsorted(owner, i, "right")]
+                yield frame.drop(columns="_text").assign(stems=[f.view(np.int64) for f in found])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     kinds = ", ".join(f"{n} double" for n in names)
@@ -145,12 +147,14 @@ def train(
     chain = Chain(np.sort(np.array(sorted(vocabulary), np.int64).view(np.uint64)))
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            held = np.zeros((len(frame), len(chain.vocabulary)))
-            for i, s in enumerate(frame.stems):
-                hit, at = chain.known(np.asarray(s, np.int64).view(np.uint64))
-                held[i, at[hit]] = 1.0
-            yield frame.drop(columns="stems").assign(x=list(held))
+        for whole in frames:
+            for start in range(0, len(whole), 500):  # the dense rows are much longer than what they come from
+                frame = whole.iloc[start : start + 500]
+                held = np.zeros((len(frame), len(chain.vocabulary)))
+                for i, s in enumerate(frame.stems):
+                    hit, at = chain.known(np.asarray(s, np.int64).view(np.uint64))
+                    held[i, at[hit]] = 1.0
+                yield frame.drop(columns="stems").assign(x=list(held))
 
     wide = materialize(rows.mapInPandas(vectors, f"_id {id_type}, {kinds}, x array<double>")).withColumn(
         "_fold", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(FOLDS))

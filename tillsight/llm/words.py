@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
 #: Texts are handled in groups of about so many bytes, which bounds the arrays.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -47,16 +47,20 @@ def run_digest(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U) * _U(_ODD))
 
 
-def groups(texts: Sequence[bytes], most: int = GROUP_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, texts) of runs of texts that hold about `most` bytes together."""
+def groups(texts: Sequence[str | None], encode: Callable[[str], bytes], most: int = GROUP_BYTES):
+    """(index of the first, encoded texts) of runs of texts that hold about `most` characters together.
+
+    Only one run is encoded at a time; null is empty.
+    """
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, list(texts[start:i])
+        n = len(t) if t else 0
+        if size and size + n > most:
+            yield start, [encode(x or "") for x in texts[start:i]]
             start, size = i, 0
-        size += len(t) + 1
+        size += n + 1
     if start < len(texts):
-        yield start, list(texts[start:])
+        yield start, [encode(x or "") for x in texts[start:]]
 
 
 def word_digests(
