@@ -2,9 +2,9 @@
 
 Sets are ordered globally, by the digest of their members. The order is cut into
 segments, so many that any pair that reaches the threshold agrees on one of them
-completely (for large sets with a probability of one pair in 10**10 that it does
-not; small sets have single members in place of segments, so many that one must
-be shared). Every set stands in a forest of tries, once under each of its
+completely (where segments for certainty would hold too few members, with a
+probability of one pair in 10**10 that it does not; small sets have single members
+in place of segments, so many that one must be shared). Every set stands in a forest of tries, once under each of its
 segments as the root edge, and all links lie below common roots. The forest is
 spread by sorting root edges; sets with a common root edge get one cluster number.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,8 @@ from tillsight.llm import words
 from tillsight.llm.components import components
 from tillsight.sources.staging import materialize
 
-#: Sets of fewer members have single members as roots.
-SMALL = 150
+#: Sets of fewer members always have single members as roots, and members per segment that count as full.
+LEAST_SMALL, FULL = 40, 5
 #: Ratio of the smallest to the largest set size of a size class.
 CLASS_RATIO = 0.85
 #: A pair that just reaches the threshold has no common root with at most this probability (over the digests).
@@ -57,48 +58,51 @@ class Plan:
 
     def __init__(self, run: int, percent: int):
         self.run, self.percent = run, percent
-        self.bounds: list[int] = [SMALL]
-        self.segments: list[int] = []
-        self.least: list[int] = []
+        self.small = next(n for n in count(LEAST_SMALL) if self._cut(n, int(n / CLASS_RATIO)))
+        self.bounds: list[int] = [self.small]
+        self.cuts: list[tuple[int, int, int | None]] = []
 
     def links(self, overlap: int, size_a: int, size_b: int) -> bool:
         return overlap * (100 + self.percent) >= self.percent * (size_a + size_b)
 
     def is_small(self, size: int) -> bool:
-        """Whether a set of this size may link with one of fewer than SMALL members."""
-        return self.percent * size < 100 * SMALL
+        """Whether a set of this size may link with one of fewer than `small` members."""
+        return self.percent * size < 100 * self.small
 
     def prefix(self, size: int) -> int:
         """Linked sets of which one is of this size share one of its so many first members, and of the other's."""
         return size - -(-self.percent * size // 100) + 1
 
-    def _cut(self, low: int, high: int) -> tuple[int, int]:
-        """Segments for sets from `low` to `high` members, and the members a segment needs to be a root.
+    def _cut(self, low: int, high: int) -> tuple[int, int, int | None] | None:
+        """Segments for sets from `low` to `high` members, members a root needs, segments that may be empty.
 
         A pair that just reaches the threshold differs in at most `differ`
-        members, which fall on segments at random. Of the largest number of
-        members a root can have, the fewest segments with which such a pair has
-        no common root with a probability below MISSED.
+        members. With more segments than that some agree for certain; that is
+        the choice where segments are still full enough. Else members fall on
+        segments at random: of the largest number of members a root can have, the
+        fewest segments with which such a pair has no common root with a
+        probability below MISSED. None if roots would have single members.
         """
         differ = (high + high * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+        spare = 1 + differ // 32
+        if differ and low >= FULL * (differ + 1 + spare):
+            return differ + 1 + spare, 1, spare
         common = low * self.percent // 100
-        for least in (6, 5, 4, 3, 2, 1):
+        for least in (6, 5, 4, 3, 2):
             for segments in range(2, 2 * differ + 2):
                 whole = (1 - 1 / segments) ** differ
                 mean = common / segments
                 filled = 1 - math.exp(-mean) * sum(mean**k / math.factorial(k) for k in range(least))
                 if segments * math.log1p(-whole * filled) <= math.log(MISSED):
-                    return segments, least
-        raise ValueError(f"sets of {low} members are too small for segments")
+                    return segments, least, None
+        return None
 
     def classes(self, size: int) -> list[int]:
-        """Classes of the smaller set of the pairs a set of at least SMALL members can be in."""
+        """Classes of the smaller set of the pairs a set of at least `small` members can be in."""
         while self.bounds[-1] <= size:
             low = self.bounds[-1]
             high = int(low / CLASS_RATIO)
-            segments, least = self._cut(low, high)
-            self.segments.append(segments)
-            self.least.append(least)
+            self.cuts.append(self._cut(low, high))
             self.bounds.append(high + 1)
         c = bisect_right(self.bounds, size) - 1
         out = [c]
@@ -126,7 +130,8 @@ def set_digest(members: np.ndarray) -> int:
 def root_edges(members: np.ndarray, plan: Plan, frequent: np.ndarray) -> np.ndarray:
     """Digests of the set's root edges.
 
-    For large sets one per segment and size class that holds enough members.
+    For large sets one per segment and size class that holds enough members; and
+    one common root for sets with more empty segments than the class allows.
     Sets that may link with a small one also have single members as roots: the
     first ones of an order that puts `frequent` members (sorted) last.
     """
@@ -136,13 +141,16 @@ def root_edges(members: np.ndarray, plan: Plan, frequent: np.ndarray) -> np.ndar
         common = np.isin(members, frequent, assume_unique=True)
         ordered = np.concatenate([members[~common], members[common]])
         out.append(words.mix(ordered[: plan.prefix(n)] + _U(7)))
-    for c in plan.classes(n) if n >= SMALL else ():
-        where = ((members >> _U(32)) * _U(plan.segments[c])) >> _U(32)
+    for c in plan.classes(n) if n >= plan.small else ():
+        segments, least, spare = plan.cuts[c]
+        where = ((members >> _U(32)) * _U(segments)) >> _U(32)
         first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
         total = np.add.reduceat(words.mix(members), first)
         label = (where[first] + _U(1)) * _U(1 << 20) + _U(c)
-        enough = np.diff(np.append(first, n)) >= plan.least[c]
+        enough = np.diff(np.append(first, n)) >= least
         out.append(words.mix(words.mix(label) + total)[enough])
+        if spare is not None and segments - len(first) > spare:
+            out.append(words.mix(np.array([c], _U) + _U(1 << 60)))
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
