@@ -71,7 +71,8 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return unigram.token_counts(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+    model = unigram.fitted(docs, vocabulary("piece_bpe_32k.model"))
+    return unigram.token_counts(docs, model).select("doc_id", "n_tokens")
 
 
 @query("op5_token_rows")

@@ -12,14 +12,22 @@ strictly greater, and scores are added left to right in 64-bit floats. A
 character without a match costs the lowest score less 10; runs of them are one
 unknown, which is written as one token for each of its bytes if the vocabulary
 has byte pieces, else as one token.
+
+The path needs log probabilities as scores. A vocabulary made by merging (BPE)
+has ranks instead; `fitted` replaces them by probabilities estimated over the
+texts that are counted.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter as Bag
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +35,8 @@ MARK = "▁"
 UNKNOWN_COST = 10.0
 #: Counted pieces a worker remembers; results do not depend on it.
 REMEMBERED = 400_000
+#: Model type of a piece model file whose scores are log probabilities.
+UNIGRAM = 1
 
 
 def read_pieces(model: bytes) -> list[tuple[str, float, int]]:
@@ -64,6 +74,12 @@ def read_pieces(model: bytes) -> list[tuple[str, float, int]]:
     return out
 
 
+def cut(text: str) -> list[str]:
+    """The text's pieces without their marks: a cut before every mark; the first piece gets a mark if it has none."""
+    parts = text.replace(MARK, " ").split(" ")
+    return parts[1:] if parts[0] == "" else parts
+
+
 class Counter:
     """Token counts of texts for one vocabulary."""
 
@@ -132,13 +148,8 @@ class Counter:
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
-        # Cut before every mark; the text's first piece gets a mark if it has none.
-        marked = text.replace(MARK, " ")
-        parts = marked.split(" ")
-        if parts[0] == "":
-            parts = parts[1:]
         counted, total = self.counted, 0
-        for part in parts:
+        for part in cut(text):
             tokens = counted.get(part)
             if tokens is None:
                 tokens = self.piece_tokens(MARK + part)
@@ -157,6 +168,61 @@ def load(model: bytes) -> Counter:
     return Counter(usable, bytes_known=sum(kind == 6 for _, _, kind in pieces) == 256)
 
 
+def piece_counts(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
+    """`piece` (its number in the model), `n`: how often the model's own segmentation of all cut pieces uses it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        own = sentencepiece.SentencePieceProcessor(model_proto=model)
+        total = np.zeros(own.get_piece_size(), np.int64)
+        parts: Bag[str] = Bag()
+
+        def add() -> None:
+            total[own.piece_to_id(MARK)] += parts.pop("", 0)
+            names, times = list(parts), np.array(list(parts.values()), np.int64)
+            for a in range(0, len(names), 20_000):
+                found = own.encode(names[a : a + 20_000], num_threads=1)
+                ids = np.array([i for f in found for i in f], np.int64)
+                np.add.at(total, ids, np.repeat(times[a : a + 20_000], [len(f) for f in found]))
+            parts.clear()
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    parts.update(cut(text))
+                    if len(parts) >= REMEMBERED:
+                        add()
+        add()
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
+
+    counted = docs.select(text_col).mapInArrow(count, "piece long, n long")
+    return counted.groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def fitted(docs: DataFrame, model: bytes, text_col: str = "text") -> bytes:
+    """The model file as a unigram model whose scores are log probabilities of the pieces in `docs`.
+
+    A piece's probability is its share of the segmentation that `model` itself
+    gives the texts, with half a use added to each piece, so that unused ones
+    stay possible. Counts are whole numbers over all texts: the scores do not
+    depend on row order or partitions. Only one number per piece of the
+    vocabulary reaches the driver.
+    """
+    from sentencepiece import sentencepiece_model_pb2
+
+    made = sentencepiece_model_pb2.ModelProto()
+    made.ParseFromString(model)
+    uses = {r.piece: r.n for r in piece_counts(docs, model, text_col).collect()}
+    scored = [i for i, p in enumerate(made.pieces) if p.type in (1, 4)]
+    total = sum(uses.get(i, 0) for i in scored) + 0.5 * len(scored)
+    for i in scored:
+        made.pieces[i].score = math.log((uses.get(i, 0) + 0.5) / total)
+    made.trainer_spec.model_type = UNIGRAM
+    return made.SerializeToString()
+
+
 _loaded: dict[bytes, Counter] = {}
 
 
