@@ -75,6 +75,28 @@ def test_groups_equal_all_pairs(spark, monkeypatch, run, percent, chunk):
     assert {k: sorted(v, key=str) for k, v in got.items()} == plain_groups(rows, run, percent)
 
 
+@pytest.mark.parametrize("members", [1, 330, 700])
+def test_levels_end_for_sets_that_fill_a_chunk(spark, monkeypatch, members):
+    """Chunks bounded by members hold few sets of one group, all of them typical."""
+    monkeypatch.setattr(jaccard, "CHUNK_MEMBERS", members)
+    levels, link_chunks = [], jaccard._link_chunks
+
+    def counted(level, plan):
+        levels.append(level)
+        assert len(levels) <= 8, "levels do not end"
+        return link_chunks(level, plan)
+
+    monkeypatch.setattr(jaccard, "_link_chunks", counted)
+    rng = random.Random(members)
+    base = [f"w{i}" for i in range(150)]
+    texts = near_copies(rng, base, 10, 3) + near_copies(rng, [f"v{i}" for i in range(150)], 3, 20)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(r.n_shingles, r.component_id)] for r in jaccard.similar_groups(docs, run=3, percent=80).collect()}
+    assert got == plain_groups(rows, 3, 80)
+    assert len(levels) > 1
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert [tuple(r) for r in jaccard.similar_groups(docs).collect()] == [(1, 0, 1)]

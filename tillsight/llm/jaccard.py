@@ -42,7 +42,7 @@ CLASS_RATIO = 0.85
 MISSED = 1e-10
 #: A member of so many small sets is frequent; at most so many members are treated so.
 OFTEN, FREQUENT = 6, 250_000
-#: Sets and members per chunk of a cluster, and typical sets a chunk sends on.
+#: Sets and members per chunk of a cluster, and typical sets a chunk sends on (one, or as many as half a chunk's members).
 CHUNK_SETS, CHUNK_MEMBERS, TYPICAL = 256, 1 << 20, 8
 
 #: Narrow rows (a few numbers each) that are sent to every task rather than shuffling the texts.
@@ -353,7 +353,9 @@ def _typical(sets: list[np.ndarray], groups: list[int]) -> list[int]:
     common = np.bincount(where)
     ends = np.cumsum([len(sets[i]) for i in own])
     score = [common[where[e - len(sets[i]) : e]].mean() for i, e in zip(own, ends)]
-    return [own[k] for k in np.argsort(score)[::-1][:TYPICAL]]
+    best = [own[k] for k in np.argsort(score)[::-1][:TYPICAL]]
+    held = np.cumsum([len(sets[i]) for i in best])
+    return best[: max(1, int(np.searchsorted(held, CHUNK_MEMBERS // 2, "right")))]
 
 
 def _grouped(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, list]]:
@@ -372,35 +374,57 @@ def _grouped(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
         yield key, list(rows.values())
 
 
-LINKED = "kind string, cluster long, a long, b long, members array<long>"
+LINKED = "kind string, cluster long, a long, b long, members array<long>, chunk long, chunks long"
+LINKED_COLUMNS = ["kind", "cluster", "a", "b", "members", "chunk", "chunks"]
+
+
+def _chunks_needed():
+    """Chunks for all sets of a cluster, by their number and their members; at most one for each set."""
+    members = F.ceil(F.sum(F.size("members")) / CHUNK_MEMBERS)
+    return F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.least(members, F.count("*")), F.lit(1))
 
 
 def _chunked(sets: DataFrame) -> DataFrame:
     """Add `chunks` of the set's cluster and `chunk`."""
-    sizes = sets.groupBy("cluster").agg(
-        F.greatest(
-            F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum(F.size("members")) / CHUNK_MEMBERS), F.lit(1)
-        ).alias("chunks")
-    )
+    sizes = sets.groupBy("cluster").agg(_chunks_needed().alias("chunks"))
     return sets.join(sizes, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node", "chunks"), "chunks"))
 
 
+def _fewer_chunks(typical: DataFrame) -> DataFrame:
+    """The next level: neighbouring chunks become one, so that at most half of them (rounded up) remain.
+
+    Levels end after the logarithm of the first one's chunks, whatever the sets'
+    sizes. Three chunks at most meet where the half is the bound, with half a
+    chunk's members or one set each.
+    """
+    sizes = typical.groupBy("cluster").agg(F.least(_chunks_needed(), F.ceil(F.max("chunks") / 2)).alias("fewer"))
+    return (
+        typical.join(sizes, "cluster")
+        .withColumn("chunk", F.expr("chunk * fewer div chunks"))
+        .withColumn("chunks", F.col("fewer"))
+        .drop("fewer")
+    )
+
+
 def _link_chunks(chunked: DataFrame, plan: Plan) -> DataFrame:
     """Edges inside chunks; of clusters with several chunks also each one's typical sets."""
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for (cluster, _), rows in _grouped(frames, ["cluster", "chunk"]):
+        for (cluster, chunk), rows in _grouped(frames, ["cluster", "chunk"]):
             names, groups, sets = ([r[k] for r in rows] for k in range(3))
             edges, after = link_sets(plan, names, sets, groups)
-            out += [("edge", cluster, a, b, None) for a, b in edges]
-            if rows[0][3] > 1:
-                out += [("typical", cluster, names[i], after[i], sets[i]) for i in _typical(sets, after)]
+            chunks = rows[0][3]
+            out += [("edge", cluster, a, b, None, chunk, chunks) for a, b in edges]
+            if chunks > 1:
+                out += [
+                    ("typical", cluster, names[i], after[i], sets[i], chunk, chunks) for i in _typical(sets, after)
+                ]
             if len(out) > 2000:
-                yield pd.DataFrame(out, columns=["kind", "cluster", "a", "b", "members"])
+                yield pd.DataFrame(out, columns=LINKED_COLUMNS)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=["kind", "cluster", "a", "b", "members"])
+            yield pd.DataFrame(out, columns=LINKED_COLUMNS)
 
     return (
         chunked.select("cluster", "chunk", "node", "grp", "members", "chunks", F.lit(False).alias("probe"))
@@ -434,16 +458,14 @@ def _link_rest(chunked: DataFrame, groups: DataFrame, plan: Plan) -> DataFrame:
             names, groups, sets, probe = ([r[k] for r in rows] for k in range(4))
             edges, _ = link_sets(plan, names, sets, groups, [i for i, p in enumerate(probe) if p])
             if edges:
-                yield pd.DataFrame(
-                    [("edge", cluster, a, b, None) for a, b in edges], columns=["kind", "cluster", "a", "b", "members"]
-                )
+                yield pd.DataFrame(edges, columns=["a", "b"])
 
     return (
         stored.select(columns)
         .unionByName(probing.select(columns))
         .repartition("cluster", "chunk", "block")
         .sortWithinPartitions("cluster", "chunk", "block")
-        .mapInPandas(link, LINKED)
+        .mapInPandas(link, "a long, b long")
     )
 
 
@@ -480,17 +502,17 @@ def linked_sets(docs: DataFrame, described: DataFrame, id_col: str, text_col: st
         linked = materialize(_link_chunks(level, plan))
         found.append(linked.where("kind = 'edge'").select("a", "b"))
         typical = linked.where("kind = 'typical'").select(
-            "cluster", F.col("a").alias("node"), F.col("b").alias("grp"), "members"
+            "cluster", F.col("a").alias("node"), F.col("b").alias("grp"), "members", "chunk", "chunks"
         )
         if typical.isEmpty():
             break
-        level = materialize(_chunked(typical))
+        level = materialize(_fewer_chunks(typical))
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
     several = first.where("chunks > 1")
     if not several.isEmpty():
-        edges = edges.unionByName(_link_rest(several, components(edges), plan).select("a", "b"))
+        edges = edges.unionByName(_link_rest(several, components(edges), plan))
     return edges
 
 
