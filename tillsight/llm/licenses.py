@@ -19,30 +19,79 @@ from pyspark.sql import functions as F
 #: Phrases whose places are counted, and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: (label, wording). Public license wording, shortened where a later part adds nothing.
+_AS_IS = "[as is] [“as is”]"
+_GNU = "[as published by the free software foundation] [either] version"
+_MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this {6} and associated "
+    "documentation files [the software] [the “software”] to deal in the software without restriction including without "
+    "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+    "and to permit persons to whom the software is furnished to do so"
+)
+_MIT_NOTICE = (
+    "subject to the following conditions the above copyright notice and this permission notice [including the next "
+    "paragraph] shall be included in all copies or substantial portions of the software"
+)
+_MIT_DISCLAIMER = (
+    f"the software is provided {_AS_IS} without warranty of any kind express or implied including but not limited to the "
+    "warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {6} be liable "
+    "for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or "
+    "in connection with the software or the use or other dealings in the software"
+)
+_ISC_GRANT = (
+    "permission to use copy modify and or distribute this {4} for any purpose with or without fee is hereby granted"
+)
+_ISC_NOTICE = "provided that the above copyright notice and this permission notice appear in all copies"
+_ISC_DISCLAIMER = (
+    f"the {{4}} is provided {_AS_IS} and {{6}} [disclaims] [disclaim] all warranties with regard to this {{4}} including "
+    "all implied warranties of merchantability and fitness in no event shall {6} be liable for any special direct "
+    "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in "
+    "an action of contract negligence or other tortious action arising out of or in connection with the use or "
+    "performance of this {4}"
+)
+_BSD_TWO = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+    "following conditions are met {1} redistributions of source code must retain the above copyright notice this list of "
+    "conditions and the following disclaimer {1} redistributions in binary form must reproduce the above copyright "
+    "notice this list of conditions and the following disclaimer in the documentation and or other materials provided "
+    "with the distribution"
+)
+_BSD_ADVERTISING = (
+    "{1} all advertising materials mentioning features or use of this software must display the following "
+    "acknowledgement this product includes software developed by {16}"
+)
+_ENDORSE = "used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_NEITHER = f"{{1}} neither the name of {{12}} nor the names of {{4}} contributors may be {_ENDORSE}"
+_BSD_AUTHOR = f"{{1}} the name of {{12}} may not be {_ENDORSE}"
+_BSD_DISCLAIMER = (
+    f"this software is provided by {{10}} {_AS_IS} and any express or implied warranties including but not limited to "
+    "the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+    "{10} be liable for any direct indirect incidental special exemplary or consequential damages including but not "
+    "limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or "
+    "otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
+#: (label, wording). Notices name a license; the others are a license's whole text without title and copyright lines.
 TEMPLATES = [
     ("mit-notice", "[this {4} is] [released] [licensed] under the mit license"),
-    (
-        "mit-text",
-        "permission is hereby granted free of charge to any person obtaining a copy of this {6} and associated "
-        "documentation files [the software] to deal in the software without restriction",
-    ),
+    ("mit-text", f"{_MIT_GRANT} {_MIT_NOTICE} {_MIT_DISCLAIMER}"),
+    ("mit-0", f"{_MIT_GRANT} {_MIT_DISCLAIMER}"),
+    ("json", f"{_MIT_GRANT} {_MIT_NOTICE} the software shall be used for good not evil {_MIT_DISCLAIMER}"),
     ("apache-2.0", "[this {4} is] licensed under the apache license [version] 2 0"),
-    ("gpl-2.0", "[this {4} is] [licensed under the gnu] general public license [as published by the free software "
-     "foundation] [either] version 2"),
-    ("gpl-3.0", "[this {4} is] [licensed under the gnu] general public license [as published by the free software "
-     "foundation] [either] version 3"),
+    ("gpl-2.0", f"[this {{4}} is] [licensed under the] gnu general public license {_GNU} 2"),
+    ("gpl-3.0", f"[this {{4}} is] [licensed under the] gnu general public license {_GNU} 3"),
+    ("lgpl-2.0", f"[this {{4}} is] [licensed under the] gnu library general public license {_GNU} 2"),
+    ("lgpl-2.1", f"[this {{4}} is] [licensed under the] gnu lesser general public license {_GNU} 2 1"),
+    ("lgpl-3.0", f"[this {{4}} is] [licensed under the] gnu lesser general public license {_GNU} 3"),
+    ("agpl-3.0", f"[this {{4}} is] [licensed under the] gnu affero general public license {_GNU} 3"),
     ("cc-by-nc-4.0", "[this {4} is] licensed under [a] [creative commons] [cc] [attribution noncommercial] by nc 4 0"),
     ("cc-by-4.0", "[this {4} is] licensed under [a] [creative commons] [cc] [attribution] by 4 0"),
-    (
-        "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that "
-        "the following conditions are met",
-    ),
-    (
-        "isc",
-        "permission to use copy modify and or distribute this {4} for any purpose with or without fee is hereby granted",
-    ),
+    ("bsd-2-clause", f"{_BSD_TWO} {_BSD_DISCLAIMER}"),
+    ("bsd-3-clause", f"{_BSD_TWO} {_BSD_NEITHER} {_BSD_DISCLAIMER}"),
+    ("bsd-3-clause", f"{_BSD_TWO} {_BSD_AUTHOR} {_BSD_DISCLAIMER}"),
+    ("bsd-4-clause", f"{_BSD_TWO} {_BSD_ADVERTISING} {_BSD_NEITHER} {_BSD_DISCLAIMER}"),
+    ("isc", f"{_ISC_GRANT} {_ISC_NOTICE} {_ISC_DISCLAIMER}"),
+    ("0bsd", f"{_ISC_GRANT} {_ISC_DISCLAIMER}"),
 ]
 
 ANY = None
