@@ -40,6 +40,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a staged table that nothing will read any more; other tables are left alone."""
+    spark = df.sparkSession
+    own = f"/tillsight-stage-{spark.sparkContext.applicationId}/"
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if own in folder:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_staged(spark: SparkSession) -> bool:
     """Remove all tables this application has staged; results read from them must be written by then."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
