@@ -7,7 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import decontaminate, dedup, jaccard, licenses, mixing, packing, repeats, secrets, toxicity, unigram
+from tillsight.llm import (
+    decontaminate,
+    dedup,
+    fingerprints,
+    jaccard,
+    licenses,
+    mixing,
+    packing,
+    ranked,
+    repeats,
+    secrets,
+    toxicity,
+    unigram,
+    whitening,
+)
 
 LLM_QUERIES: dict = {}
 LLM_CHECKS: dict = {}
@@ -191,3 +205,49 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "number", F.sha2("value", 256).alias("value_sha256"), "name", "p_secret", "is_secret")
+
+
+@query(
+    "op11_ranked_search",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+        FROM documents
+    ),
+    totals AS (SELECT count_if(len(words) > 0) AS nn, CAST(sum(len(words)) AS BIGINT) AS ll FROM d),
+    q AS (
+        SELECT row_number() OVER () AS item, item_id, unnest(list_distinct(regexp_extract_all(translate(text,
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+        FROM benchmark
+    ),
+    posts AS (
+        SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL
+    ),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM posts, totals GROUP BY term, nn
+    ),
+    lengths AS (SELECT r, doc_id, 50 + (50 * len(words) * nn) // ll AS m FROM d, totals WHERE len(words) > 0),
+    scored AS (
+        SELECT item, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+        FROM q JOIN weights USING (term) JOIN posts USING (term) JOIN lengths USING (r) GROUP BY ALL
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 50
+    """,
+)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_simhash_copies")
+def simhash_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitened_embeddings")
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
