@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm import words
-from tillsight.llm.components import components
-from tillsight.sources.staging import materialize
+from tillsight.llm.columns import positional
+from tillsight.llm.components import components, fewer_edges, forest
+from tillsight.sources.staging import discard, materialize
 
 #: Sets of fewer members always have single members as roots, and members per segment that count as full.
 LEAST_SMALL, FULL = 40, 5
@@ -176,20 +177,16 @@ def describe(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame
     """id, content (digest of the text), n_shingles, node (digest of the set)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [(len(s), set_digest(s)) for s in run_sets(frame.text.tolist(), run)]
-            yield pd.DataFrame(
-                {
-                    "id": frame.id.values,
-                    "content": frame.content.values,
-                    "n_shingles": np.array([n for n, _ in found], np.int64),
-                    "node": np.array([d for _, d in found], np.int64),
-                }
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(s), set_digest(s)) for s in run_sets(batch.column(2).to_pylist(), run)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))],
+                ["id", "content", "n_shingles", "node"],
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(sets, f"id {id_type}, content long, n_shingles long, node long")
+    return rows.mapInArrow(sets, f"id {id_type}, content long, n_shingles long, node long")
 
 
 def common_roots(docs: DataFrame, text_col: str, plan: Plan) -> DataFrame:
@@ -221,12 +218,11 @@ def common_roots(docs: DataFrame, text_col: str, plan: Plan) -> DataFrame:
                 yield _ends(root[:1], node[:1])
             else:
                 root, node = np.append(last[0], root), np.append(last[1], node)
-            same = (root[1:] == root[:-1]) & (node[1:] != node[:-1])
-            pairs = np.unique(np.stack([node[:-1][same], node[1:][same]], 1), axis=0)
-            if len(pairs):
+            same = np.flatnonzero((root[1:] == root[:-1]) & (node[1:] != node[:-1]))
+            kept = same[forest(node[same], node[same + 1])]
+            if len(kept):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())],
-                    ["root", "a", "b"],
+                    [pa.nulls(len(kept), pa.int64()), pa.array(node[kept]), pa.array(node[kept + 1])], ["root", "a", "b"]
                 )
             last = root[-1:], node[-1:]
         if last is not None:
@@ -244,7 +240,10 @@ def common_roots(docs: DataFrame, text_col: str, plan: Plan) -> DataFrame:
     inner = chained.where("root is null").select("a", "b")
     ends = chained.where("root is not null")
     heads = ends.groupBy("root").agg(F.min("a").alias("head"))
-    return inner.unionByName(ends.join(heads, "root").select("a", F.col("head").alias("b")).where("a <> b")).distinct()
+    between = ends.join(heads, "root").select("a", F.col("head").alias("b"))
+    edges = materialize(fewer_edges(inner.unionByName(between)))
+    discard(chained)
+    return edges
 
 
 class Trie:
@@ -497,9 +496,11 @@ def linked_sets(docs: DataFrame, described: DataFrame, id_col: str, text_col: st
 
     sets = materialize(wanted.mapInPandas(members, "cluster long, node long, members array<long>"))
     first = level = materialize(_chunked(sets.withColumn("grp", F.col("node"))))
-    found = []
+    discard(sets)
+    found, used = [], []
     while True:
         linked = materialize(_link_chunks(level, plan))
+        used += [linked] if level is first else [linked, level]
         found.append(linked.where("kind = 'edge'").select("a", "b"))
         typical = linked.where("kind = 'typical'").select(
             "cluster", F.col("a").alias("node"), F.col("b").alias("grp"), "members", "chunk", "chunks"
@@ -510,6 +511,9 @@ def linked_sets(docs: DataFrame, described: DataFrame, id_col: str, text_col: st
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
+    edges = materialize(fewer_edges(edges))
+    for table in used:
+        discard(table)
     several = first.where("chunks > 1")
     if not several.isEmpty():
         edges = edges.unionByName(_link_rest(several, components(edges), plan))
@@ -554,8 +558,11 @@ def one_of_each_group(
     """`docs` without near copies: of each group the row with the smallest id stays, all columns unchanged.
 
     Rows without an id go before rows with one; of rows that repeat id and text
-    one stays. Texts without words group with nothing and stay.
+    one stays. Texts without words group with nothing and stay. Columns may have any names.
     """
+    names = docs.columns
+    docs, at = positional(docs)
+    id_col, text_col = at[id_col], at[text_col]
     placed = _placed(docs, id_col, text_col, Plan(run, percent)).where("label is not null")
     row = F.struct(F.isnull("id").alias("no_id"), "id", "content")
     first = placed.groupBy(F.col("label").alias("_l")).agg(F.min(row).alias("_first"))
@@ -568,4 +575,4 @@ def one_of_each_group(
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_content"))
     stay = docs.join(gone, same, "left_anti")
     once = stay.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])
-    return stay.join(repeated, same, "left_anti").unionByName(once)
+    return stay.join(repeated, same, "left_anti").unionByName(once).toDF(*names)

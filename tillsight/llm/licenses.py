@@ -254,18 +254,17 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated ids are passed on. One pass, no shuffle; a text is the largest
     thing in memory.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(templates)
-        for frame in frames:
-            out = pd.DataFrame([scanner(t) for t in frame.text])
+        for texts in batches:
+            out = pd.DataFrame([scanner(t) for t in texts])
             for c in ("first_word", "last_word"):
                 out[c] = out[c].astype("Int64")
-            out.insert(0, "id", frame.id.values)
             yield out
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(scan, f"id {id_type}, {RESULT}").withColumnRenamed("id", id_col)
+    found = F.pandas_udf(scan, RESULT)(F.col(text_col))
+    return docs.select(F.col(id_col), found.alias("_found")).select(id_col, "_found.*")
 
 
 def as_pattern(template: str) -> str:

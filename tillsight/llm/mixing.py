@@ -19,9 +19,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.llm.columns import positional, row_digest
 from tillsight.operators import ranking
 from tillsight.sources.staging import materialize
 
@@ -30,7 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
 #: Documents per bucket of the first level, and buckets that meet in one at the next.
 BUCKET_ROWS, FAN_IN_BITS = 512, 6
-UNIT = "id {id}, source string, size long, k int, source_size long, target double, whole long, x double, u long, class int, bucket long"
+UNIT = "id string, source string, size long, content long, k int, source_size long, target double, whole long, x double, u long, class int, bucket long"
 
 
 def word_count(text: Column) -> Column:
@@ -146,9 +147,8 @@ def _close(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.assign(x=x)
 
 
-def round_copies(units: DataFrame, id_type: str) -> DataFrame:
+def round_copies(units: DataFrame) -> DataFrame:
     """Units with a fraction `x` in (0, 1) and a digest `u`: `x` becomes 0 or 1."""
-    schema = UNIT.format(id=id_type)
     n = units.count()
     bits = max(0, (max(n, 1) // BUCKET_ROWS).bit_length())
     key = ["source", "class", "bucket"]
@@ -158,8 +158,8 @@ def round_copies(units: DataFrame, id_type: str) -> DataFrame:
         dealt = (
             units.withColumn("bucket", bucket)
             .repartition(*key)
-            .sortWithinPartitions(*key, "u", "id", "k")
-            .mapInPandas(lambda frames: meetings(frames, key), schema)
+            .sortWithinPartitions(*key, "u", "id", "content", "k")
+            .mapInPandas(lambda frames: meetings(frames, key), UNIT)
         )
         level = materialize(dealt)
         is_open = F.col("x").between(1e-9, 1 - 1e-9)
@@ -170,8 +170,8 @@ def round_copies(units: DataFrame, id_type: str) -> DataFrame:
         bits = max(0, bits - FAN_IN_BITS)
     last = (
         units.repartition("source")
-        .sortWithinPartitions("source", F.col("class").desc(), "u", "id", "k")
-        .mapInPandas(_close, schema)
+        .sortWithinPartitions("source", F.col("class").desc(), "u", "id", "content", "k")
+        .mapInPandas(_close, UNIT)
     )
     for part in settled:
         last = last.unionByName(part)
@@ -179,18 +179,24 @@ def round_copies(units: DataFrame, id_type: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0):
-    """One row per document: id, source, size, k, source_size, target, copies.
+    """One row per document: id, source, size, content, k, source_size, target, copies.
 
-    `size` is the number of words (null text: 0), `k` numbers rows with equal
-    id, source and size, `copies` is 0 to MOST_COPIES. A document without words
+    `size` is the number of words (null text: 0), `content` a digest of the row,
+    `k` numbers rows with equal id, source, size and content, `copies` is 0 to
+    MOST_COPIES. A document without words
     changes no source's sum and gets one copy. Null sources form a source of
     their own; null ids are ordinary. Reruns on the same rows give the same
     copies, however they are partitioned. Empty tables give empty results.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-        .groupBy("id", "source", "size")
+        docs.select(
+            F.col(id_col).cast("string").alias("id"),
+            F.col(source_col).alias("source"),
+            word_count(F.col(text_col)).alias("size"),
+            row_digest(docs).alias("content"),
+        )
+        .groupBy("id", "source", "size", "content")
         .agg(F.count("*").cast("int").alias("n"))
     )
     rows = materialize(rows)
@@ -202,20 +208,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ranking.attach(rows.withColumn("k", F.explode(F.sequence(F.lit(1), "n"))), targets, ["source"])
         .withColumn("whole", F.when(F.col("size") > 0, F.floor(share)).otherwise(1).cast("long"))
         .withColumn("x", F.when(F.col("size") > 0, share - F.floor(share)).otherwise(0.0))
-        .withColumn("u", F.xxhash64("id", "size", "k", F.lit(seed)))
+        .withColumn("u", F.xxhash64("id", "content", "size", "k", F.lit(seed)))
         .withColumn("class", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int"))
         .withColumn("bucket", F.lit(0).cast("long"))
-        .select("id", "source", "size", "k", "source_size", "target", "whole", "x", "u", "class", "bucket")
+        .select("id", "source", "size", "content", "k", "source_size", "target", "whole", "x", "u", "class", "bucket")
     )
     planned = materialize(planned)
     is_open = F.col("x").between(1e-9, 1 - 1e-9)
-    rounded = round_copies(planned.where(is_open), id_type).unionByName(
+    rounded = round_copies(planned.where(is_open)).unionByName(
         planned.where(~is_open).withColumn("x", F.round("x"))
     )
     return rounded.select(
-        F.col("id").alias(id_col),
+        F.col("id").cast(id_type).alias(id_col),
         F.col("source").alias(source_col),
         "size",
+        "content",
         "k",
         "source_size",
         "target",
@@ -224,18 +231,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
-    """Documents as the mix takes them: each row as often as it has copies, all columns unchanged."""
-    copies = mix(docs, id_col, text_col, source_col)
-    by_key = copies.groupBy(F.struct(F.col(id_col), F.col(source_col), F.col("size")).alias("_k")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("k", "copies"))), lambda c: c["copies"]).alias("_copies")
-    )
-    key = F.struct(F.col(id_col), F.col(source_col), word_count(F.col(text_col)).alias("size"))
-    numbered = docs.withColumn("_key", key).withColumn(
-        "_row", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))
-    )
-    taken = numbered.join(by_key, F.col("_key") == F.col("_k"))
-    times = F.element_at("_copies", F.col("_row")).cast("int")
-    return (
-        taken.withColumn("_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))))
-        .select(*[F.col(c) for c in docs.columns])
+    """Documents as the mix takes them: each row as often as it has copies, all columns unchanged.
+
+    Rows that are equal in all columns are taken together, as often as they have
+    copies in all. Columns may have any names.
+    """
+    plain, at = positional(docs)
+    i, t, s = at[id_col], at[text_col], at[source_col]
+    key = [F.col(i).cast("string").alias("id"), F.col(s).alias("source"), word_count(F.col(t)).alias("size")]
+    copies = mix(plain, i, t, s).select(F.col(i).cast("string").alias("id"), F.col(s).alias("source"), "size", "content", "copies")
+    wanted = materialize(
+        copies.groupBy("id", "source", "size", "content").agg(F.sum("copies").cast("int").alias("times"), F.count("*").alias("n"))
+    ).toDF("_id", "_source", "_size", "_content", "_times", "_n")
+    keyed = plain.select("*", F.struct(*key, row_digest(plain).alias("content")).alias("key"))
+    same = (
+        (F.col("key.content") == F.col("_content"))
+        & (F.col("key.size") == F.col("_size"))
+        & F.col("key.id").eqNullSafe(F.col("_id"))
+        & F.col("key.source").eqNullSafe(F.col("_source"))
     )
+    once = keyed.join(wanted.where("_n = 1 and _times > 0"), same)
+    several = wanted.where("_n > 1 and _times > 0")
+    taken = once if several.isEmpty() else once.unionByName(keyed.join(several, same).dropDuplicates(plain.columns))
+    out = taken.select(*plain.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("copy"))
+    return out.select(*plain.columns).toDF(*docs.columns)

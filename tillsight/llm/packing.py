@@ -18,8 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.operators import ranking
+
 ROW_TOKENS = 2048
 SHARD_DOCS = 1024
+#: Characters of a shard and of a task, if there are more than the documents' and the shuffle partitions' numbers make them.
+SHARD_CHARS, TASK_CHARS = 16 << 20, 256 << 20
 #: Encoded words a worker remembers, and the longest; results do not depend on them.
 REMEMBERED, LONGEST = 120_000, 64
 #: A space that does not simply lead the next word.
@@ -166,24 +170,26 @@ def packed_rows(
     Every document's ids end with `end_of_text`; null and empty texts have no
     ids and appear in no row. Rows with equal id or text are packed one by one.
     `ranks` is the content of a vocabulary file, whose size does not depend on
-    the data. A shard holds the ids of about `shard_docs` documents in memory.
+    the data. A shard holds the ids of about `shard_docs` documents, or SHARD_CHARS
+    characters, or one document in memory.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    shards = max(1, docs.count() // shard_docs)
+    n_docs, n_chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()
+    shards = max(1, n_docs // shard_docs, n_chars // SHARD_CHARS)
     schema = (
         "shard long, row_no int, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, "
-        f"doc_ids array<{id_type}>, doc_starts array<int>"
+        "doc_ids array<string>, doc_starts array<int>"
     )
     content = F.xxhash64(F.col(text_col))
     dealt = (
         docs.where(F.length(text_col) > 0)
         .select(
             F.pmod(F.xxhash64(F.col(id_col), content), F.lit(shards)).alias("shard"),
-            F.col(id_col).alias("id"),
+            F.col(id_col).cast("string").alias("id"),
             content.alias("digest"),
             F.col(text_col).alias("text"),
         )
-        .repartition("shard")
+        .repartition(max(ranking.bucket_count(docs.sparkSession), n_chars // TASK_CHARS), "shard")
         .sortWithinPartitions("shard")
     )
 
@@ -215,4 +221,4 @@ def packed_rows(
         if held:
             yield from flush()
 
-    return dealt.mapInPandas(pack, schema)
+    return dealt.mapInPandas(pack, schema).withColumn("doc_ids", F.col("doc_ids").cast(f"array<{id_type}>"))

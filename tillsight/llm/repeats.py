@@ -292,7 +292,7 @@ def remove_repeats(
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("k1"), F.crc32(text.cast("binary")).alias("k2"), text.alias("text")
+        F.col(id_col).cast("string").alias("id"), F.xxhash64(text).alias("k1"), F.crc32(text.cast("binary")).alias("k2"), text.alias("text")
     )
     found = anchor_rows(base, length, gram)
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("often"))
@@ -331,7 +331,7 @@ def remove_repeats(
         .withColumnRenamed("k2", "_k2")
     )
     span_list = "array<struct<start: long, end: long>>"
-    result = f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {span_list}"
+    result = f"id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {span_list}"
     names = [c.split()[0] for c in result.split(", ")[:5]] + ["spans"]
 
     def settle(i, raw: bytes, spans) -> tuple:
@@ -397,4 +397,4 @@ def remove_repeats(
         .mapInPandas(close_texts, result)
     )
     done = opened.where("kind = 'done'").select(names)
-    return done.unionByName(closed).withColumnRenamed("id", id_col)
+    return done.unionByName(closed).withColumn("id", F.col("id").cast(id_type)).withColumnRenamed("id", id_col)
