@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.sources import schemas
+from tillsight.sources.quoted import read_quoted_csv
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -40,19 +41,8 @@ def read_transactions(spark: SparkSession, path: str, encoding: str = "ISO-8859-
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    """Reviews from CSV with line breaks inside quotes.
-
-    A multi-line CSV file cannot be split, so this is meant to run once per
-    file and to be followed by a Parquet write.
-    """
-    return (
-        spark.read.schema(schemas.REVIEWS)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+    """Reviews from CSV with line breaks inside quotes, several tasks a file."""
+    return read_quoted_csv(spark, path, schemas.REVIEWS)
 
 
 def read_sql(spark: SparkSession, statement: str, **views: DataFrame) -> DataFrame:
