@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions import numerics as nx
 from tillsight.operators import attribution, clv, models
+from tillsight.plans import modelling
 
 
 def test_numerics(spark):
@@ -92,6 +93,40 @@ def test_shapley_adds_up_for_a_product(spark):
     assert (r.phi_a, r.phi_b, r.base_value, r.output) == (3.0, 3.0, 0.0, 6.0)
 
 
+def test_tree_attribution_equals_the_expansion_of_all_coalitions(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    _, train, test = modelling.churn_split(spark, sf_dir)
+    model = models.fit_churn_boosted(train, rounds=8)
+    names = models.CHURN_FEATURES
+    background = attribution.background_rows(train, "customer_id", names, 20)
+    rows = models.churn_matrix(test)
+    want = attribution.shapley_values(rows, "customer_id", names, background, attribution.model_margin(model))
+    found = attribution.tree_shapley_values(rows, "customer_id", names, background, attribution.boosted_trees(model), 2.0)
+    assert found.columns == want.columns
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan and "Join" not in plan
+    want, found = ({r.customer_id: r for r in df.collect()} for df in (want, found))
+    assert want.keys() == found.keys() and len(want) > 10
+    for k, row in want.items():
+        for c in row.asDict():
+            assert found[k][c] == pytest.approx(row[c], abs=1e-9), (k, c)
+
+
+def test_trees_with_repeated_features_and_dead_leaves(spark):
+    tree = (0, 1.0, (0, 2.0, 3.0, 99.0), (1, 0.0, (0, 5.0, -1.0, 4.0), (0, 1.0, 99.0, 7.0)))
+    assert sorted(v for v, _ in attribution.leaves_of(tree)) == [-1.0, 3.0, 4.0, 7.0]
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate([(0, 0), (1, 1), (3, -1), (9, 2)])]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    value = lambda a, b: F.when(a <= 1, 3.0).when(b > 0, 7.0).when(a <= 5, -1.0).otherwise(4.0)
+    background = [(0.5, 1.0), (6.0, -2.0), (2.0, 3.0)]
+    want = attribution.shapley_values(df, "id", ["a", "b"], background, attribution.column_score(value(F.col("a"), F.col("b"))))
+    got = attribution.tree_shapley_values(df, "id", ["a", "b"], background, [tree])
+    for x, y in zip(sorted(want.collect()), sorted(got.collect())):
+        assert tuple(y) == pytest.approx(tuple(x))
+    with pytest.raises(ValueError):
+        attribution.parse_trees("Model\n  Tree 0 (weight 1.0):\n    If (feature 1 in {0.0})\n     Predict: 1.0\n")
+
+
 def test_star_model_and_linear_attribution(spark, tmp_path):
     from tillsight.sources import writers
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tillsight.operators import attribution, clv, keyphrases, metrics, models, quality, reviews, topics
@@ -57,13 +59,56 @@ def churn_attribution(spark, sf_dir):
     _, train, test = churn_split(spark, sf_dir)
     model = models.fit_churn_boosted(train)
     background = attribution.background_rows(train, "customer_id", models.CHURN_FEATURES, CHURN_BACKGROUND)
-    rows = models.churn_matrix(test)
-    values = attribution.shapley_values(
-        rows, "customer_id", models.CHURN_FEATURES, background, attribution.model_margin(model)
+    trees = attribution.boosted_trees(model)
+    values = attribution.tree_shapley_values(
+        models.churn_matrix(test), "customer_id", models.CHURN_FEATURES, background, trees, scale=2.0
     )
     return values, test
 
 
+#: Small trees over the churn features whose attributions SQL can check by expanding all coalitions.
+FIXED_TREES = [
+    (1, 120.0, (2, 3.5, 0.25, -0.75), (5, 0.5, 1.5, (1, 300.0, -0.5, 2.0))),
+    (0, 200.0, (3, 150000.0, 0.5, (4, 40000.0, -1.25, 0.125)), (2, 9.5, (3, 400000.0, 1.0, -0.25), -2.0)),
+]
+
+
+def _tree_sql(tree) -> str:
+    if not isinstance(tree, tuple):
+        return f"{tree}e0"
+    feature, threshold, low, high = tree
+    return f"CASE WHEN f{feature} <= {threshold}e0 THEN {_tree_sql(low)} ELSE {_tree_sql(high)} END"
+
+
+def _fixed_trees_sql() -> str:
+    names = models.CHURN_FEATURES
+    n = len(names)
+    take = ", ".join(f"CASE WHEN s & {1 << i} > 0 THEN x.f{i} ELSE z.f{i} END AS f{i}" for i in range(n))
+    weight = " ".join(
+        f"WHEN {size} THEN {math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)!r}" for size in range(n)
+    )
+    phi = ", ".join(
+        f"ROUND(SUM(CASE WHEN s & {1 << i} > 0 THEN v * CASE bit_count(s) - 1 {weight} END "
+        f"ELSE -v * CASE bit_count(s) {weight} END END), 9) AS phi_{c}"
+        for i, c in enumerate(names)
+    )
+    return cs.using("tx_c") + f""", c AS ({CHURN_SQL}),
+x AS (SELECT customer_id, {", ".join(f"CAST({c} AS DOUBLE) AS f{i}" for i, c in enumerate(names))} FROM c),
+z AS (SELECT * FROM x ORDER BY md5('background|' || customer_id), customer_id LIMIT {CHURN_BACKGROUND}),
+mixed AS (SELECT x.customer_id, s, {take} FROM x, z, (SELECT CAST(i AS INTEGER) AS s FROM range({1 << n}) r(i))),
+scored AS (SELECT customer_id, s, AVG({" + ".join(_tree_sql(t) for t in FIXED_TREES)}) AS v FROM mixed GROUP BY customer_id, s)
+SELECT customer_id, {phi}, ROUND(SUM(CASE WHEN s = 0 THEN v END), 9) AS base_value,
+  ROUND(SUM(CASE WHEN s = {(1 << n) - 1} THEN v END), 9) AS output FROM scored GROUP BY customer_id"""
+
+
+@query("m10_fixed_tree_attribution", _fixed_trees_sql())
+def _(spark, sf_dir):
+    rows = materialize(models.churn_matrix(churn_table(spark, sf_dir)))
+    background = attribution.background_rows(rows, "customer_id", models.CHURN_FEATURES, CHURN_BACKGROUND)
+    values = attribution.tree_shapley_values(rows, "customer_id", models.CHURN_FEATURES, background, FIXED_TREES)
+    return values.select("customer_id", *[F.round(c, 9).alias(c) for c in values.columns[1:]])
+
+
 @query("m10_churn_attribution")
 def _(spark, sf_dir):
     return churn_attribution(spark, sf_dir)[0]
