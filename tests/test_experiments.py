@@ -127,20 +127,53 @@ def test_mann_whitney(spark):
     assert r.u == u and r.auc == pytest.approx(u / 20)
 
 
-def test_bootstrap_medians_match_plain_computation(spark):
+def plain_draws(n, b, flag, seed):
+    """The middle two order statistics of n uniform numbers for one replicate and group, by the documented rule."""
     import hashlib
     import math
 
-    rows = [(i, float((i * 37) % 101), i % 3 == 0) for i in range(150)]
-    df = spark.createDataFrame(rows, "k int, v double, f boolean")
-    got = {r.b: r["diff"] for r in stats.replicate_median_differences(df, "k", "v", "f", 20, 5).collect()}
-    cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
-    for b in range(1, 21):
-        sides = {True: [], False: []}
-        for k, v, f in rows:
-            u = int(hashlib.md5(f"5|{b}|{k}".encode()).hexdigest()[:8], 16) / 2**32
-            sides[f] += [v] * int(np.sum(u >= cuts))
-        assert got[b] == pytest.approx(np.median(sides[True]) - np.median(sides[False]))
+    def uniform(*keys):
+        digest = hashlib.md5("|".join(map(str, (seed, b, str(flag).lower(), *keys))).encode()).hexdigest()
+        return int(digest[:8], 16) / 2**32 + 0.5 / 2**32
+
+    def gamma(shape, side):
+        d = shape - 1 / 3
+        for t in range(1, stats.GAMMA_TRIES + 1):
+            x = math.sqrt(-2 * math.log(uniform(side, t, 1))) * math.cos(2 * math.pi * uniform(side, t, 2))
+            w = 1 + x / math.sqrt(9 * d)
+            if w > 0 and math.log(uniform(side, t, 3)) < 0.5 * x * x + d - d * w**3 + d * math.log(w**3):
+                return d * w**3
+
+    lower = (n - 1) // 2 + 1
+    g, h = gamma(lower, 1), gamma(n - lower + 1, 2)
+    low = g / (g + h)
+    return low, low if n % 2 else low + (1 - low) * (1 - math.exp(math.log(uniform(3)) / (n - lower)))
+
+
+@pytest.mark.parametrize("n", [150, 7, 2])
+def test_bootstrap_medians_match_plain_computation(spark, n):
+    rows = [(float((i * 37) % 101), i % 2 == 0) for i in range(n)] + [(None, True), (3.0, None)]
+    df = spark.createDataFrame(rows, "v double, f boolean")
+    got = {r.b: r["diff"] for r in stats.replicate_median_differences(df, "v", "f", 20, 5).collect()}
+    assert set(got) == set(range(1, 21))
+    for b in got:
+        sides = {}
+        for flag in (True, False):
+            own = sorted(v for v, f in rows if f is flag and v is not None)
+            sides[flag] = np.mean([own[min(len(own) - 1, int(u * len(own)))] for u in plain_draws(len(own), b, flag, 5)])
+        assert got[b] == pytest.approx(sides[True] - sides[False])
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 40])
+def test_drawn_places_are_those_of_resampling(n):
+    places = np.array([[min(n - 1, int(u * n)) for u in plain_draws(n, b, True, 9)] for b in range(3000)])
+    rng = np.random.default_rng(3)
+    again = np.sort(rng.integers(0, n, (3000, n)), 1)[:, [(n - 1) // 2, n // 2]]
+    for own, other in zip(places.T, again.T):
+        grid = np.arange(n)
+        gap = np.abs(np.searchsorted(np.sort(own), grid, "right") - np.searchsorted(np.sort(other), grid, "right")).max()
+        assert gap / 3000 < 1.95 * np.sqrt(2 / 3000)  # Kolmogorov and Smirnov's bound at a level of 0.001
+    assert abs(np.mean(places[:, 1] > places[:, 0]) - np.mean(again[:, 1] > again[:, 0])) < 0.05
 
 
 def test_hashed_sample_is_exact(spark):

@@ -451,34 +451,45 @@ def _(spark, sf_dir):
     return _shown_test(stats.mann_whitney(two_years, "invoice_value", F.year("invoice_date") == 2000))
 
 
-_POISSON = " + ".join(
-    f"CAST(u >= {total!r}e0 AS INTEGER)"
-    for total in [sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1)) for k in range(stats.POISSON_LEVELS)]
-)
+def _bootstrap_uniform(rest: str) -> str:
+    digest = f"md5('42|' || b || '|' || has_returned || '|' || {rest})"
+    return f"(CAST(CAST('0x' || substr({digest}, 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 + 0.5e0 / 4294967296e0)"
 
 
 @query(
     "t7_bootstrap_median_difference",
     cs.using("tx_c")
     + f""", spend AS ({_SPEND}),
-drawn AS (SELECT b, has_returned, monetary, {_POISSON} AS w FROM (SELECT b, has_returned, monetary,
-    CAST(CAST('0x' || substr(md5('42|' || b || '|' || customer_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296e0 AS u
-  FROM spend, range(1, {BOOTSTRAP_REPLICATES + 1}) r(b))),
-placed AS (SELECT *, SUM(w) OVER (PARTITION BY b, has_returned ORDER BY monetary) AS upto,
-    SUM(w) OVER (PARTITION BY b, has_returned) AS total FROM drawn WHERE w > 0),
-med AS (SELECT b, has_returned, (MIN(CASE WHEN upto > (total - 1) // 2 THEN monetary END)
-    + MIN(CASE WHEN upto > total // 2 THEN monetary END)) / 2 AS m FROM placed GROUP BY b, has_returned),
+sizes AS (SELECT has_returned, COUNT(monetary) AS n FROM spend GROUP BY has_returned),
+draws AS (SELECT has_returned, b, n, (n - 1) // 2 + 1 AS lower FROM sizes, range(1, {BOOTSTRAP_REPLICATES + 1}) r(b)),
+tries AS (SELECT has_returned, b, side, t, CASE side WHEN 1 THEN lower ELSE n - lower + 1 END - 1e0 / 3e0 AS d,
+    {_bootstrap_uniform("side || '|' || t || '|1'")} AS u1, {_bootstrap_uniform("side || '|' || t || '|2'")} AS u2,
+    {_bootstrap_uniform("side || '|' || t || '|3'")} AS u3
+  FROM draws, range(1, 3) s(side), range(1, {stats.GAMMA_TRIES + 1}) c(t)),
+normals AS (SELECT *, sqrt(-2e0 * ln(u1)) * cos(2e0 * pi() * u2) AS x FROM tries),
+cubes AS (SELECT *, 1e0 + 1e0 / sqrt(9e0 * d) * x AS w FROM normals),
+gammas AS (SELECT has_returned, b, side, min_by(d * w * w * w, t) AS g FROM cubes
+  WHERE w > 0 AND ln(u3) < 0.5e0 * x * x + d - d * (w * w * w) + d * ln(w * w * w) GROUP BY has_returned, b, side),
+lows AS (SELECT has_returned, b, MAX(CASE WHEN side = 1 THEN g END) / SUM(g) AS low FROM gammas GROUP BY has_returned, b),
+ends AS (SELECT has_returned, b, n, low, CASE WHEN n % 2 = 1 THEN low
+    ELSE low + (1e0 - low) * (1e0 - exp(ln({_bootstrap_uniform("'3'")}) / (n - lower))) END AS high
+  FROM draws JOIN lows USING (has_returned, b)),
+places AS (SELECT has_returned, b, least(CAST(floor(u * n) AS BIGINT) + 1, n) AS r
+  FROM (SELECT has_returned, b, n, unnest([low, high]) AS u FROM ends)),
+ordered AS (SELECT has_returned, monetary, row_number() OVER (PARTITION BY has_returned ORDER BY monetary) AS r FROM spend
+  WHERE monetary IS NOT NULL),
+med AS (SELECT b, has_returned, SUM(monetary) / 2 AS m FROM places JOIN ordered USING (has_returned, r) GROUP BY b, has_returned),
 d AS (SELECT b, MAX(CASE WHEN has_returned THEN m END) - MAX(CASE WHEN NOT has_returned THEN m END) AS diff
   FROM med GROUP BY b)
-SELECT COUNT(*) AS replicates, ROUND(quantile_cont(diff, 0.025), 2) AS ci_low,
-  ROUND(quantile_cont(diff, 0.5), 2) AS median_diff, ROUND(quantile_cont(diff, 0.975), 2) AS ci_high FROM d""",
+SELECT COUNT(*) AS replicates, ROUND(quantile_cont(diff, 0.025), 6) AS ci_low,
+  ROUND(quantile_cont(diff, 0.5), 6) AS median_diff, ROUND(quantile_cont(diff, 0.975), 6) AS ci_high FROM d""",
 )
 def _(spark, sf_dir):
     spend = customers.customer_spend(customer_lines(spark, sf_dir))
     found = stats.bootstrap_median_difference(
-        spend, "customer_id", "monetary", "has_returned", replicates=BOOTSTRAP_REPLICATES
+        spend, "monetary", "has_returned", replicates=BOOTSTRAP_REPLICATES
     )
-    return found.select("replicates", *[F.round(c, 2).alias(c) for c in ("ci_low", "median_diff", "ci_high")])
+    return found.select("replicates", *[F.round(c, 6).alias(c) for c in ("ci_low", "median_diff", "ci_high")])
 
 
 # --- profiles -----------------------------------------------------------------
