@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tillsight.operators import attribution, clv, keyphrases, metrics, models, quality, reviews, topics
+from tillsight.operators import attribution, clv, density, keyphrases, metrics, models, quality, reviews, topics
 from tillsight.plans import canonical as cn
 from tillsight.plans import check_sql as cs
 from tillsight.plans.registry import query
@@ -225,6 +225,31 @@ def _(spark, sf_dir):
     return topics.cluster(vectors, "review_id", "embedding", k=10)
 
 
+DENSITY_SIMILARITY, DENSITY_POINTS = 0.3, 6
+
+
+@query(
+    "n8_density_topics",
+    f"""WITH RECURSIVE u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+v AS (SELECT vec_id, list_transform(x, lambda c: c / sqrt(list_dot_product(x, x))) AS v FROM u),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, ROUND(list_dot_product(a.v, b.v), 9) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE ROUND(list_dot_product(a.v, b.v), 9) >= {DENSITY_SIMILARITY}e0),
+dense AS (SELECT a FROM p GROUP BY a HAVING COUNT(*) + 1 >= {DENSITY_POINTS}),
+e AS (SELECT a, b FROM p SEMI JOIN dense USING (a) WHERE b IN (SELECT a FROM dense)),
+reach AS (SELECT a, a AS b FROM dense UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+core AS (SELECT a, MIN(b) AS label FROM reach GROUP BY a),
+border AS (SELECT p.a, arg_min(label, (-s, b)) AS label FROM p JOIN core ON p.b = core.a
+  WHERE p.a NOT IN (SELECT a FROM dense) GROUP BY p.a),
+placed AS (SELECT * FROM core UNION ALL SELECT * FROM border),
+named AS (SELECT label, row_number() OVER (ORDER BY COUNT(*) DESC, MIN(a)) - 1 AS topic FROM placed GROUP BY label)
+SELECT vec_id AS review_id, CAST(coalesce(topic, -1) AS INTEGER) AS topic
+FROM v LEFT JOIN placed ON vec_id = a LEFT JOIN named USING (label)""",
+)
+def _(spark, sf_dir):
+    vectors = cn.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("review_id"), "embedding")
+    return density.density_topics(vectors, "review_id", "embedding", DENSITY_SIMILARITY, DENSITY_POINTS)
+
+
 @query("n11_keyphrases")
 def _(spark, sf_dir):
     rows = cn.reviews_text(spark, sf_dir).select("review_id", "full_text")
