@@ -107,7 +107,7 @@ def test_forest_connects_the_same_without_circles():
 
 @pytest.mark.parametrize("held", [1 << 20, 3])
 def test_components_of_odd_shapes(spark, monkeypatch, held):
-    monkeypatch.setattr("tillsight.llm.components.HELD_EDGES", held)
+    monkeypatch.setattr("tillsight.operators.components.HELD_EDGES", held)
     rng = random.Random(8)
     chain = [(i, i + 1) for i in range(100)]
     star = [(1000, 1000 + i) for i in range(60)]
