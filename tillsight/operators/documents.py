@@ -11,33 +11,37 @@ from tillsight.functions import text as tx
 OUTLIER_LABEL = "no_coherent_topic (outlier)"
 
 
-def nest_aspects(aspects: DataFrame) -> DataFrame:
-    """All aspect mentions of a review as one sorted array."""
-    item = F.struct("aspect", "sentence", "predicted_stars")
-    return aspects.groupBy("review_id").agg(F.array_sort(F.collect_list(item)).alias("aspects"))
-
-
 def build_documents(
     reviews: DataFrame, sentiment: DataFrame, aspects: DataFrame, topics: DataFrame, labels: DataFrame, keywords: DataFrame
 ) -> DataFrame:
-    """One nested record per review; whatever is missing gets its default."""
-    no_aspects = F.array().cast("array<struct<aspect:string,sentence:string,predicted_stars:int>>")
-    joined = (
-        reviews.join(sentiment.select("review_id", F.struct(*_sentiment_fields()).alias("sentiment")), "review_id", "left")
-        .join(nest_aspects(aspects), "review_id", "left")
-        .join(topics.select("review_id", "topic"), "review_id", "left")
+    """One nested record per review; whatever is missing gets its default.
+
+    All parts stand below each other, each in a column of its own, and one
+    aggregation by review gathers them: a review's parts meet in one shuffle.
+    """
+    parts = {
+        "fact": reviews.select("review_id", F.struct("company_id", "title", "review", "stars").alias("fact")),
+        "sentiment": sentiment.select("review_id", F.struct(*_sentiment_fields()).alias("sentiment")),
+        "aspect": aspects.select("review_id", F.struct("aspect", "sentence", "predicted_stars").alias("aspect")),
+        "topic": topics.select("review_id", "topic"),
+        "keywords": keywords.select("review_id", "keywords"),
+    }
+    stacked = None
+    for part in parts.values():
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("fact", "sentiment", "topic", "keywords")]
+    gathered = (
+        stacked.groupBy("review_id")
+        .agg(*first, F.array_sort(F.collect_list("aspect")).alias("aspects"))
+        .where("fact is not null")
         .withColumn("topic", F.coalesce("topic", F.lit(-1)))
-        .join(labels.select("topic", F.col("name").alias("topic_label")), "topic", "left")
-        .join(keywords.select("review_id", "keywords"), "review_id", "left")
     )
+    joined = gathered.join(labels.select("topic", F.col("name").alias("topic_label")), "topic", "left")
     return joined.select(
         F.col("review_id").alias("_id"),
-        "company_id",
-        "title",
-        "review",
-        "stars",
+        "fact.*",
         "sentiment",
-        F.coalesce("aspects", no_aspects).alias("aspects"),
+        "aspects",
         F.struct(
             F.col("topic").alias("topic_id"), F.coalesce("topic_label", F.lit("unknown")).alias("topic_label")
         ).alias("topic"),

@@ -301,7 +301,7 @@ def topic_labels(rows, given):
 
 
 def all_topic_labels(spark, sf_dir):
-    return topic_labels(cn.reviews_text(spark, sf_dir), given_topics(spark, sf_dir))
+    return topic_labels(staged_reviews(spark, sf_dir), materialize(given_topics(spark, sf_dir)))
 
 
 @query("n9_topic_summary", cs.using("topic_labels") + "SELECT * FROM topic_labels")
@@ -354,9 +354,9 @@ def review_documents(spark, sf_dir, only=None):
     every = staged_reviews(spark, sf_dir)
     rows = every if only is None else materialize(every.where(only))
     given = materialize(given_topics(spark, sf_dir))
-    labels = topic_labels(every, given)
+    labels = materialize(topic_labels(every, given))
     topic = given if only is None else given.join(rows.select("review_id"), "review_id", "left_semi")
-    facts = reviews.review_facts(rows, reviews.company_dimension(every))
+    facts = reviews.review_facts(rows, materialize(reviews.company_dimension(every)))
     return documents.build_documents(
         facts, sentiment_table(spark, rows), scored_mentions(spark, rows), topic, labels, cn.keywords_of(rows)
     )
