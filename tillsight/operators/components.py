@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 
 from tillsight.sources.staging import discard, materialize
 
-#: Edges a task holds while it looks for those that close a circle.
+#: Edges a task holds while it looks for those that close a circle; so many are contracted in one task.
 HELD_EDGES = 1 << 20
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Positions of edges that connect what all edges connect, without circles."""
+    return _contracted(a, b)[2]
+
+
+def _contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, the smallest node of each one's component, and the positions of edges that connect them."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     a, b = ends[: len(a)], ends[len(a) :]
     label = np.arange(len(nodes))
@@ -30,7 +35,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         while not np.array_equal(label[label], label):
             label = label[label]
         left = left[label[a[left]] != label[b[left]]]
-    return np.concatenate(kept) if kept else np.empty(0, np.int64)
+    return nodes, nodes[label], np.concatenate(kept) if kept else np.empty(0, np.int64)
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a graph of at most HELD_EDGES -> node, label."""
+    a, b = (np.concatenate(x) for x in zip(*([c.to_numpy() for c in batch.columns] for batch in batches)))
+    nodes, label, _ = _contracted(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(label)], ["node", "label"])
 
 
 def _without_circles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,15 +75,16 @@ def fewer_edges(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """`a, b` (longs) -> `node, label`: the smallest node of each node's component.
 
-    A round hooks every node to the first of its neighbours in an order by a
-    digest that is new in each round, and replaces edges by those between the
+    Edges that close circles go inside tasks. While more than HELD_EDGES are
+    left, a round hooks every node to the first of its neighbours in an order by
+    a digest that is new in each round, and replaces edges by those between the
     nodes hooked to. A fixed share of the nodes goes in each round, whatever the
-    shape; finished components leave at once. Edges that close circles go
-    inside tasks before each round. Loops, nulls and repeated edges do no harm.
+    shape; finished components leave at once. The last HELD_EDGES edges are
+    contracted in one task. Loops, nulls and repeated edges do no harm.
     """
     now = materialize(fewer_edges(edges))
     hooks: list[DataFrame] = []
-    while not now.isEmpty():
+    while (left := now.count()) > HELD_EDGES:
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(hooks))).alias("d"), F.col(c).alias("n"))
         both = now.select("a", "b").union(now.select("b", "a"))
         nearest = both.groupBy("a").agg(F.min(order("b")).alias("near"))
@@ -82,10 +95,11 @@ def components(edges: DataFrame) -> DataFrame:
         discard(now)
         now = after
         hooks.append(hook)
+    last = now.coalesce(1).mapInArrow(_labelled, "node long, label long")
+    found = materialize(last) if left else now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     if not hooks:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    found = hooks[-1].select("node", F.col("up").alias("label"))
-    for hook in hooks[-2::-1]:
+        return found
+    for hook in hooks[::-1]:
         later = found.select(F.col("node").alias("up"), "label")
         found = hook.join(later, "up", "left").select("node", F.coalesce("label", "up").alias("label"))
     found = materialize(found)
