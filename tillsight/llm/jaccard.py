@@ -46,6 +46,9 @@ OFTEN, FREQUENT = 6, 250_000
 #: Sets and members per chunk of a cluster, and typical sets a chunk sends on (one, or as many as half a chunk's members).
 CHUNK_SETS, CHUNK_MEMBERS, TYPICAL = 256, 1 << 20, 8
 
+#: Texts handled together.
+SLICE_ROWS = 512
+
 #: Narrow rows (a few numbers each) that are sent to every task rather than shuffling the texts.
 LOOKUP_ROWS = 500_000
 
@@ -122,6 +125,13 @@ def run_sets(texts: list[str | None], run: int) -> Iterator[np.ndarray]:
             yield np.unique(words.window_digests(digests[a:b], n)) if n else np.empty(0, _U)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in small batches, so that a task holds few texts and sets at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def set_digest(members: np.ndarray) -> int:
     """A number for the set; equal sets have equal numbers."""
     total = words.mix(members * _U(3) + _U(1)).sum(dtype=_U) + _U(len(members))
@@ -163,7 +173,7 @@ def frequent_members(docs: DataFrame, text_col: str, plan: Plan) -> np.ndarray:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             small = [s for s in run_sets(batch.column(0).to_pylist(), plan.run) if plan.is_small(len(s))]
             if small:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(small).view(np.int64))], ["member"])
@@ -178,7 +188,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [(len(s), set_digest(s)) for s in run_sets(batch.column(2).to_pylist(), run)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], *(pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))],
@@ -195,7 +205,7 @@ def common_roots(docs: DataFrame, text_col: str, plan: Plan) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             roots, nodes = [], []
             for s in run_sets(batch.column(0).to_pylist(), plan.run):
                 node = set_digest(s)
@@ -489,12 +499,14 @@ def linked_sets(docs: DataFrame, described: DataFrame, id_col: str, text_col: st
     )
     run = plan.run
 
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [s.view(np.int64) for s in run_sets(frame.text.tolist(), run)]
-            yield pd.DataFrame({"cluster": frame.cluster, "node": frame.node, "members": sets})
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sets = [s.view(np.int64) for s in run_sets(batch.column(2).to_pylist(), run)]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists], ["cluster", "node", "members"])
 
-    sets = materialize(wanted.mapInPandas(members, "cluster long, node long, members array<long>"))
+    sets = materialize(wanted.mapInArrow(members, "cluster long, node long, members array<long>"))
     first = level = materialize(_chunked(sets.withColumn("grp", F.col("node"))))
     discard(sets)
     found, used = [], []
