@@ -26,6 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file:{scratch}/tillsight-{os.getuid()}"
 
 
+#: Bytes of a batch that a staged step hands to Python, so that a worker holds few long texts at a time.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a reduced table once and read it back.
 
@@ -36,7 +40,12 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tillsight-stage-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
