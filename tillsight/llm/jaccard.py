@@ -385,6 +385,22 @@ def _grouped(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
 
 LINKED = "kind string, cluster long, a long, b long, members array<long>, chunk long, chunks long"
 LINKED_COLUMNS = ["kind", "cluster", "a", "b", "members", "chunk", "chunks"]
+LINKED_KINDS = pa.schema(
+    [
+        (c, pa.string() if c == "kind" else pa.list_(pa.int64()) if c == "members" else pa.int64())
+        for c in LINKED_COLUMNS
+    ]
+)
+
+
+def _by_slices(fn, kinds: pa.Schema):
+    """A function of pandas frames that gets few rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(batch.to_pandas() for batch in _slices(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=kinds, preserve_index=False)
+
+    return run
 
 
 def _chunks_needed():
@@ -439,7 +455,7 @@ def _link_chunks(chunked: DataFrame, plan: Plan) -> DataFrame:
         chunked.select("cluster", "chunk", "node", "grp", "members", "chunks", F.lit(False).alias("probe"))
         .repartition("cluster", "chunk")
         .sortWithinPartitions("cluster", "chunk")
-        .mapInPandas(link, LINKED)
+        .mapInArrow(_by_slices(link, LINKED_KINDS), LINKED)
     )
 
 
@@ -474,7 +490,7 @@ def _link_rest(chunked: DataFrame, groups: DataFrame, plan: Plan) -> DataFrame:
         .unionByName(probing.select(columns))
         .repartition("cluster", "chunk", "block")
         .sortWithinPartitions("cluster", "chunk", "block")
-        .mapInPandas(link, "a long, b long")
+        .mapInArrow(_by_slices(link, pa.schema([("a", pa.int64()), ("b", pa.int64())])), "a long, b long")
     )
 
 
