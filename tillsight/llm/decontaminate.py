@@ -7,7 +7,11 @@ retrieved. Retrieval works with bounds, as block-max WAND does: a passage whose
 terms' largest impacts stay below the threshold together is passed over; of the
 others, only blocks of items whose block maxima reach it are looked at; in those
 the exact scores are summed. A retrieved item counts if enough of its question's
-and of its answer's word runs stand in the passage.
+and of its answer's word runs stand in the passage, or enough of the runs of the
+whole item and half the words of either part (one word changed in a short answer).
+
+Items are indexed by length class, each with passages of its own length, so what
+is found of an item depends neither on other items' lengths nor on shards.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm import words
+from tillsight.sources.staging import discard, materialize
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 weight that a passage must hold to be looked at.
@@ -31,8 +36,13 @@ RUN_WORDS, OVERLAP = 5, 0.8
 BLOCK = 4
 #: Text of one index shard; items beyond it form further shards, searched in turn.
 SHARD_BYTES = 32 << 20
-#: Passages hold at least so many words; two of them overlap by half, and by the longest item.
-LEAST_PASSAGE = 64
+#: Items of up to so many words form the first length class; each further class is four times as long. Passages are
+#: twice as long as the longest item of the class may be, and overlap by half.
+SHORT_ITEM, CLASS_STEP = 32, 4
+#: Share of the words of either part that a near-verbatim item must hold.
+PART_WORDS = 0.5
+#: Bounds are sums in another order than the scores; they may differ by so much.
+SLACK = 1e-9
 
 IN_WORD = words.byte_class(rb"[0-9a-z\x80-\xff]")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -48,20 +58,45 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
-def _runs(digests: np.ndarray) -> tuple[int, np.ndarray]:
-    n = min(RUN_WORDS, len(digests))
+def _runs(digests: np.ndarray, most: int = RUN_WORDS) -> tuple[int, np.ndarray]:
+    n = min(most, len(digests))
     return n, np.unique(words.window_digests(digests, n)) if n else np.empty(0, np.uint64)
 
 
+def _share(runs: tuple[int, np.ndarray], passage: np.ndarray) -> float:
+    n, own = runs
+    return float(np.isin(own, words.window_digests(passage, n)).mean()) if n else 1.0
+
+
+def length_class(n_words: int) -> int:
+    """Largest number of words of the item's length class."""
+    most = SHORT_ITEM
+    while most < n_words:
+        most *= CLASS_STEP
+    return most
+
+
+def indexes(ids: list, texts: list[str], n_items: int, mean_words: float, frequency: dict[int, int]) -> list[Index]:
+    """One index per length class of the items."""
+    classes: dict[int, list[int]] = {}
+    for i, text in enumerate(texts):
+        n = len(words.word_digests([plain(text)], IN_WORD)[0])
+        classes.setdefault(length_class(n), []).append(i)
+    return [
+        Index([ids[i] for i in at], [texts[i] for i in at], n_items, mean_words, frequency, most)
+        for most, at in sorted(classes.items())
+    ]
+
+
 class Index:
-    """Items of one shard. `frequency` gives the number of items, over all shards, that hold a word."""
+    """Items of one shard and length class. `frequency` gives the number of items, over all, that hold a word."""
 
-    def __init__(self, ids: list, texts: list[str], n_items: int, mean_words: float, frequency: dict[int, int]):
+    def __init__(self, ids: list, texts: list[str], n_items: int, mean_words: float, frequency: dict[int, int], most: int):
         parsed, bounds = words.word_digests([plain(t) for t in texts], IN_WORD)
         own = [parsed[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
         order = sorted((i for i in range(len(texts)) if len(own[i])), key=lambda i: (len(own[i]), i))
         self.ids = [ids[i] for i in order]
-        self.longest = max((len(own[i]) for i in order), default=0)
+        self.longest = most
         terms, items, weights = [], [], []
         self.parts = []
         for k, i in enumerate(order):
@@ -73,7 +108,8 @@ class Index:
             items.append(np.full(len(t), k))
             weights.append(w / w.sum())
             halves = words.word_digests([plain(p) for p in question_and_answer(texts[i])], IN_WORD)
-            self.parts.append([_runs(halves[0][halves[1][h] : halves[1][h + 1]]) for h in (0, 1)])
+            parts = [halves[0][halves[1][h] : halves[1][h + 1]] for h in (0, 1)]
+            self.parts.append([*map(_runs, parts), _runs(own[i]), *[_runs(part, 1) for part in parts]])
         self.blocks = -(-len(order) // BLOCK)
         if not order:
             self.terms = np.empty(0, np.uint64)
@@ -99,10 +135,10 @@ class Index:
     def retrieve(self, terms: np.ndarray, passage: np.ndarray, threshold: float):
         """(passage, item, score) of all pairs at or above the threshold; `terms` are distinct in a passage."""
         bound = np.bincount(passage, self.top[terms])
-        keep = bound[passage] >= threshold
+        keep = bound[passage] >= threshold - SLACK
         terms, passage = terms[keep], passage[keep]
         key, total = _sum_lists(passage, terms, self.block_first, self.block, self.block_top, self.blocks)
-        live = key[total >= threshold]
+        live = key[total >= threshold - SLACK]
         if not len(live):
             return np.empty(0, int), np.empty(0, int), np.empty(0)
         keep = np.isin(passage, live // self.blocks)
@@ -135,56 +171,54 @@ def _sum_lists(passage, terms, first, target, value, n: int):
 STEP = 2048
 
 
-def leaks_of(texts: list[str | None], index: Index, threshold: float, overlap: float) -> list[list[dict]]:
+def leaks_of(texts: list[str | None], parts: list[Index], threshold: float, overlap: float) -> list[list[dict]]:
     """For each text the items it holds, each with its best passage."""
-    out: list[list[dict]] = [[] for _ in texts]
-    if not len(index.terms):
-        return out
-    size = max(LEAST_PASSAGE, 2 * index.longest)
-    stride = size - max(index.longest, LEAST_PASSAGE // 2)
+    out: list[dict] = [{} for _ in texts]
     for base, group in words.groups(texts, plain):
         digests, bounds = words.word_digests(group, IN_WORD)
-        numbers = index.numbers(digests)
-        counts = np.diff(bounds)
-        passages = np.maximum(1, -(-(counts - size) // stride) + 1)
-        doc = np.repeat(np.arange(len(group)), passages)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(passages) - passages, passages)
-        start = bounds[doc] + nth * stride
-        end = np.minimum(start + size, bounds[doc + 1])
-        for p in range(0, len(doc), STEP):
-            lo, hi = start[p : p + STEP], end[p : p + STEP]
-            width = hi - lo
-            rows = np.repeat(np.arange(len(lo)), width)
-            at = np.repeat(lo, width) + np.arange(len(rows)) - np.repeat(np.cumsum(width) - width, width)
-            known = numbers[at] >= 0
-            pairs = np.unique(rows[known] * len(index.terms) + numbers[at][known])
-            if not len(pairs):
+        for index in parts:
+            if len(index.terms):
+                _search(digests, bounds, index, threshold, overlap, out[base : base + len(group)])
+    return [[best[k] for k in sorted(best, key=lambda k: (k is None, k))] for best in out]
+
+
+def _search(digests, bounds, index: Index, threshold: float, overlap: float, out: list[dict]) -> None:
+    """Enter into `out`, one dictionary a text, the best passage of each item of the index."""
+    numbers = index.numbers(digests)
+    stride, size = index.longest, 2 * index.longest
+    passages = np.maximum(1, -(-(np.diff(bounds) - size) // stride) + 1)
+    doc = np.repeat(np.arange(len(out)), passages)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(passages) - passages, passages)
+    start = bounds[doc] + nth * stride
+    end = np.minimum(start + size, bounds[doc + 1])
+    step = max(1, STEP * SHORT_ITEM // index.longest)
+    for p in range(0, len(doc), step):
+        lo, hi = start[p : p + step], end[p : p + step]
+        width = hi - lo
+        rows = np.repeat(np.arange(len(lo)), width)
+        at = np.repeat(lo, width) + np.arange(len(rows)) - np.repeat(np.cumsum(width) - width, width)
+        known = numbers[at] >= 0
+        pairs = np.unique(rows[known] * len(index.terms) + numbers[at][known])
+        if not len(pairs):
+            continue
+        row, term = pairs // len(index.terms), pairs % len(index.terms)
+        for r, i, score in zip(*(x.tolist() for x in index.retrieve(term, row, threshold))):
+            passage = digests[lo[r] : hi[r]]
+            question, answer, whole, *either = index.parts[i]
+            shares = _share(question, passage), _share(answer, passage)
+            if min(shares) < overlap and (
+                _share(whole, passage) < overlap or min(_share(part, passage) for part in either) < PART_WORDS
+            ):
                 continue
-            row, term = pairs // len(index.terms), pairs % len(index.terms)
-            for r, i, score in zip(*(x.tolist() for x in index.retrieve(term, row, threshold))):
-                passage = digests[lo[r] : hi[r]]
-                shares = [
-                    float(np.isin(runs, words.window_digests(passage, n)).mean()) if n else 1.0
-                    for n, runs in index.parts[i]
-                ]
-                if min(shares) >= overlap:
-                    d = doc[p + r]
-                    out[base + d].append(
-                        {
-                            "item_id": index.ids[i],
-                            "score": score,
-                            "question_overlap": shares[0],
-                            "answer_overlap": shares[1],
-                            "first_word": int(lo[r] - bounds[d]),
-                        }
-                    )
-    for found in out:
-        best: dict = {}
-        for x in found:
-            if x["item_id"] not in best or x["score"] > best[x["item_id"]]["score"]:
-                best[x["item_id"]] = x
-        found[:] = [best[k] for k in sorted(best, key=lambda k: (k is None, k))]
-    return out
+            d, key = doc[p + r], index.ids[i]
+            if key not in out[d] or score > out[d][key]["score"]:
+                out[d][key] = {
+                    "item_id": key,
+                    "score": score,
+                    "question_overlap": shares[0],
+                    "answer_overlap": shares[1],
+                    "first_word": int(lo[r] - bounds[d]),
+                }
 
 
 def _word_sets(texts: Column) -> Column:
@@ -196,10 +230,10 @@ def _word_sets(texts: Column) -> Column:
     return F.pandas_udf(split, "array<long>")(texts)
 
 
-def _searcher(index: Index, threshold: float, overlap: float):
+def _searcher(parts: list[Index], threshold: float, overlap: float):
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(leaks_of(batch.tolist(), index, threshold, overlap))
+            yield pd.Series(leaks_of(batch.tolist(), parts, threshold, overlap))
 
     return search
 
@@ -219,9 +253,11 @@ def find_leaks(
     question_overlap and answer_overlap (shares of their runs of RUN_WORDS words,
     or of the whole if shorter), first_word of that passage. Null or empty texts
     and items have no leaks. Items that share an id count as one. Statistics
-    cover all items; at most SHARD_BYTES of item text are in memory at a time,
-    more items are searched shard after shard. Passages overlap by the longest
-    item, so an item is never cut. No shuffle of documents.
+    cover all items. The driver and the workers hold the index of about
+    SHARD_BYTES of item text at a time; more items are searched shard after
+    shard, each over the documents staged by the one before. Passages overlap by
+    the longest item of a length class, so an item is never cut, and what is
+    found does not depend on shards. No shuffle of documents.
     """
     usable = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("t")).where(F.length("t") > 0)
     counted = usable.withColumn("w", _word_sets(F.col("t")))
@@ -235,13 +271,18 @@ def find_leaks(
         f"array<struct<item_id: {id_type}, score: double, question_overlap: double, "
         "answer_overlap: double, first_word: long>>"
     )
-    leaks = []
+    found, before = docs.withColumn("leaks", F.array().cast(kind)), None
     for shard in range(shards):
-        mine = counted.where(F.pmod(F.xxhash64("item", "t"), F.lit(shards)) == shard)
+        mine = counted.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard)
         own_words = mine.select(F.explode(F.array_distinct("w")).alias("w")).distinct()
         known = {r.w & 0xFFFFFFFFFFFFFFFF: r.n for r in own_words.join(frequency, "w").collect()}
         rows = sorted(mine.select("item", "t").collect(), key=lambda r: (r.item is None, r.item, r.t))
-        index = Index([r.item for r in rows], [r.t for r in rows], n_items, mean, known)
-
-        leaks.append(F.pandas_udf(_searcher(index, threshold, overlap), kind)(F.col(text_col)))
-    return docs.withColumn("leaks", F.array_sort(F.concat(*leaks)))
+        parts = indexes([r.item for r in rows], [r.t for r in rows], n_items, mean, known)
+        searched = F.pandas_udf(_searcher(parts, threshold, overlap), kind)(F.col(text_col))
+        found = found.withColumn("leaks", F.concat("leaks", searched))
+        if shard + 1 < shards:
+            found = materialize(found)
+            if before is not None:
+                discard(before)
+            before = found
+    return found.withColumn("leaks", F.array_sort("leaks"))
