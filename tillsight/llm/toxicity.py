@@ -5,8 +5,9 @@ words of a text and the probabilities of the categories before it. While
 training, these come from models that have not seen the text (out of fold), so
 that later models learn from probabilities as wrong as they will be in use.
 
-Words count by their first bytes, at two lengths, so forms of a stem share a feature.
-The features are those of the labelled sample that tell a category best apart.
+Words count whole and by their first bytes, at two lengths, so forms of a stem
+share a feature. The features are those of the labelled rows a model is fitted on
+that tell a category best apart: the models of a fold choose theirs without it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from tillsight.sources.staging import materialize
 
 #: The models are fitted on at most so many labelled rows, those with the smallest digests of their ids.
 LABELLED = 20_000
-#: Features per category, first bytes of a word that count (both lengths), rows a feature must occur in.
+#: Features per category, first bytes of a word that count beside the whole word, rows a feature must occur in.
 FEATURES, STEMS, LEAST_ROWS = 300, (4, 6), 5
 FOLDS = 3
 THRESHOLD = 0.5
@@ -40,7 +41,7 @@ IN_WORD = words.byte_class(rb"[0-9a-z\x80-\xff]")
 def text_features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(text number, word stem digest) pairs without repeats, by groups of texts, and the group's size."""
     for base, group in words.groups(texts, lambda t: t.lower().encode()):
-        parsed = [words.word_digests(group, IN_WORD, most) for most in STEMS]
+        parsed = [words.word_digests(group, IN_WORD, most) for most in (None, *STEMS)]
         digests = np.concatenate([d for d, _ in parsed])
         owner = np.concatenate([np.repeat(np.arange(len(group)), np.diff(bounds)) for _, bounds in parsed])
         order = np.lexsort((digests, owner))
@@ -80,6 +81,7 @@ class Chain:
 
 def _fit(rows: DataFrame, label: str, inputs: Column, size: int) -> tuple[np.ndarray, float]:
     """Weights and intercept of one linear model; rows of one class give that class for certain."""
+    rows = rows.where(F.col(label).isNotNull())
     low, high = rows.agg(F.min(label), F.max(label)).first()
     if low is None or low == high:
         return np.zeros(size), 20.0 if low == 1.0 else -20.0
@@ -95,6 +97,29 @@ def _probability(weights: np.ndarray, intercept: float, inputs: Column) -> Colum
     return 1 / (1 + F.exp(-z))
 
 
+def _label_sums(names: list[str]) -> list[Column]:
+    """For each category the sum of its labels and the number of rows where it is known."""
+    return [e for c in names for e in (F.sum(c).alias(c), F.count(c).alias(f"known_{c}"))]
+
+
+def _tell_apart(counted: DataFrame, names: list[str], features: int) -> np.ndarray:
+    """The `features` word digests per category that tell it best apart, from counts by word and fold.
+
+    The row whose word is null counts the labelled rows themselves.
+    """
+    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for c in names for x in (c, f"known_{c}")]
+    total = counted.where(F.col("stem").isNull()).agg(*sums).first()
+    by_word = counted.where(F.col("stem").isNotNull()).groupBy("stem").agg(F.sum("n").alias("n"), *sums)
+    found: set[int] = set()
+    for c in names:
+        known, all_known = F.col(f"known_{c}"), total[f"known_{c}"]
+        expected = known * total[c] / max(all_known, 1)
+        apart = F.pow(F.col(c) - expected, 2) / (expected * (1 - known / (all_known + 1)) + 1e-9)
+        best = by_word.where(known >= LEAST_ROWS).orderBy(apart.desc(), "stem").limit(features)
+        found |= {r.stem for r in best.select("stem").collect()}
+    return np.sort(np.array(sorted(found), np.int64).view(np.uint64))
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -106,13 +131,14 @@ def train(
 ) -> Chain:
     """Fit the chain on at most `labelled` labelled documents (see LABELLED).
 
-    Rows whose label is null for a category are no use and left out, as are
-    labels without a document. Repeated labels count as often as they occur.
+    A category is fitted on the rows where its own label is known; rows without
+    any label and labels without a document are left out. Repeated labels count
+    as often as they occur.
     """
     names = list(categories)
     usable = labels.select(
         F.col(id_col).alias("_id"), *[F.expr(c).cast("double").alias(n) for n, c in categories.items()]
-    ).na.drop()
+    ).na.drop("all", subset=names)
     chosen = usable.orderBy(F.xxhash64("_id"), "_id", *names).limit(labelled)
     # At most `labelled` short rows: a bounded side.
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
@@ -131,20 +157,17 @@ def train(
     id_type = docs.schema[id_col].dataType.simpleString()
     kinds = ", ".join(f"{n} double" for n in names)
     rows = materialize(sample.mapInPandas(stems, f"_id {id_type}, {kinds}, stems array<long>"))
-    n = rows.count()
-    totals = rows.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names]).first()
+    fold = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(FOLDS))
     counted = materialize(
-        rows.select(F.explode("stems").alias("stem"), *names)
-        .groupBy("stem")
-        .agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in names])
-        .where(F.col("n") >= LEAST_ROWS)
+        rows.select(F.explode(F.concat("stems", F.array(F.lit(None)))).alias("stem"), fold.alias("fold"), *names)
+        .groupBy("stem", "fold")
+        .agg(F.count("*").alias("n"), *_label_sums(names))
     )
-    vocabulary: set[int] = set()
-    for c in names:
-        expected = F.col("n") * totals[c] / max(n, 1)
-        apart = F.pow(F.col(c) - expected, 2) / (expected * (1 - F.col("n") / (n + 1)) + 1e-9)
-        vocabulary |= {r.stem for r in counted.orderBy(apart.desc(), "stem").limit(features).select("stem").collect()}
-    chain = Chain(np.sort(np.array(sorted(vocabulary), np.int64).view(np.uint64)))
+    # The features of the models fitted on all rows, and of those that leave a fold out.
+    own = [_tell_apart(counted, names, features)]
+    own += [_tell_apart(counted.where(F.col("fold") != f), names, features) for f in range(FOLDS)]
+    chain = Chain(np.unique(np.concatenate(own)))
+    used = [np.flatnonzero(np.isin(chain.vocabulary, v)) for v in own]
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
@@ -156,20 +179,26 @@ def train(
                     held[i, at[hit]] = 1.0
                 yield frame.drop(columns="stems").assign(x=list(held))
 
-    wide = materialize(rows.mapInPandas(vectors, f"_id {id_type}, {kinds}, x array<double>")).withColumn(
-        "_fold", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(FOLDS))
-    )
+    wide = materialize(rows.mapInPandas(vectors, f"_id {id_type}, {kinds}, x array<double>")).withColumn("_fold", fold)
+    every = len(chain.vocabulary)
     for k, c in enumerate(names):
-        size = len(chain.vocabulary) + k
-        weights, intercept = _fit(wide, c, F.col("x"), size)
+
+        def fitted(some: DataFrame, features: np.ndarray) -> tuple[np.ndarray, float]:
+            at = np.append(features, np.arange(every, every + k))
+            inputs = F.transform(F.lit(at.tolist()) if len(at) else F.array().cast("array<int>"), lambda i: F.get("x", i))
+            weights = np.zeros(every + k)
+            weights[at], intercept = _fit(some, c, inputs, len(at))
+            return weights, intercept
+
+        weights, intercept = fitted(wide, used[0])
         chain.categories.append(c)
         chain.weights.append(weights)
         chain.intercepts.append(intercept)
         if k + 1 < len(names):
             unseen = F.lit(None).cast("double")
             for f in range(FOLDS):
-                own = _fit(wide.where(F.col("_fold") != f), c, F.col("x"), size)
-                unseen = F.when(F.col("_fold") == f, _probability(*own, F.col("x"))).otherwise(unseen)
+                model = fitted(wide.where(F.col("_fold") != f), used[1 + f])
+                unseen = F.when(F.col("_fold") == f, _probability(*model, F.col("x"))).otherwise(unseen)
             wide = materialize(wide.withColumn("x", F.concat("x", F.array(unseen))))
     return chain
 
