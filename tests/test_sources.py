@@ -1,6 +1,6 @@
 import pytest
 
-from tillsight.operators import documents
+from tillsight.operators import documents, quality
 from tillsight.sources import readers, writers
 
 
@@ -69,3 +69,44 @@ def test_jdbc_options_and_tables(spark):
     assert options == {"url": "jdbc:x", "dbtable": "t", "batchsize": "500", "user": "u"}
     spark.range(1).createOrReplaceTempView("some_rows")
     assert ("some_rows", True) in [tuple(r) for r in readers.list_tables(spark).collect()]
+
+
+def test_a_rejected_reload_leaves_the_old_table(spark, tmp_path):
+    path = f"file:{tmp_path}/orders"
+    parents = spark.createDataFrame([(1,), (2,)], "customer int")
+    rules = [
+        lambda t: quality.unique_key(t, ["id"], "order key"),
+        lambda t: quality.references(t, parents, "customer", "customer of an order"),
+    ]
+    kind = "id int, customer int"
+    rows = lambda: sorted(map(tuple, writers.read_published(spark, path).collect()))
+    with pytest.raises(FileNotFoundError):
+        writers.read_published(spark, path)
+    first = writers.publish_table(spark.createDataFrame([(1, 1), (2, None)], kind), path, rules)
+    assert rows() == [(1, 1), (2, None)]
+    with pytest.raises(writers.RulesBroken) as broken:
+        writers.publish_table(spark.createDataFrame([(1, 1), (1, 7), (2, 8)], kind), path, rules)
+    assert broken.value.violations == {"order key": 1, "customer of an order": 2}
+    assert rows() == [(1, 1), (2, None)]
+    assert sorted(p.name for p in (tmp_path / "orders").iterdir()) == ["current", first]
+
+
+def test_a_reload_that_fails_half_way_leaves_the_old_table(spark, tmp_path):
+    path = f"file:{tmp_path}/t"
+    kind = "id int, customer int"
+    writers.publish_table(spark.createDataFrame([(1, 1)], kind), path)
+    failing = spark.range(50, numPartitions=5).selectExpr("CAST(id AS int) id", "IF(id = 49, raise_error('lost'), 1) customer")
+    with pytest.raises(Exception, match="lost"):
+        writers.publish_table(failing, path)
+    assert writers.read_published(spark, path).count() == 1
+
+
+def test_older_versions_go_when_new_ones_are_published(spark, tmp_path):
+    path = f"file:{tmp_path}/t"
+    made = [writers.publish_table(spark.range(n), path, keep=1) for n in (1, 2, 3)]
+    assert writers.read_published(spark, path).count() == 3
+    left = {p.name for p in (tmp_path / "t").iterdir()}
+    assert left == {"current", made[1], made[2]}
+    again = writers.read_published(spark, path)
+    writers.publish_table(again.where("id > 0"), path)
+    assert writers.read_published(spark, path).count() == 2 and again.count() == 3

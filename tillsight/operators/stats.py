@@ -55,17 +55,11 @@ def mann_whitney(df: DataFrame, value: str, is_first: Column, continuity: bool =
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation and its two-sided p-value in one row.
 
-    The t statistic is turned into a normal deviate with Wallace's formula,
-    which keeps the whole computation a Column expression.
+    The p-value is that of the t distribution, see `with_correlation_p`.
     """
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     folded = both.agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
-    nu, r = (F.col("n") - 2).cast("double"), F.col("r")
-    deviate = (8.0 * nu + 1.0) / (8.0 * nu + 3.0) * F.sqrt(-nu * F.log(1.0 - r * r))
-    scored = folded.withColumn("z", F.when((F.abs(r) < 1.0) & (nu > 0), deviate))
-    return nx.with_two_sided_p(scored, "z").select(
-        "n", "r", F.when(F.abs(r) >= 1.0, 0.0).otherwise(F.col("p_value")).alias("p_value")
-    )
+    return nx.with_correlation_p(folded, "r", "n").select("n", "r", "p_value")
 
 
 #: Candidates per gamma draw; each is taken with a probability above 0.95, so that none is taken once in 10**15 draws.

@@ -8,6 +8,7 @@ from tillsight.operators import cleaning, customers, quality
 from tillsight.plans import canonical as cn
 from tillsight.plans import check_sql as cs
 from tillsight.plans.registry import query
+from tillsight.sources import staging, writers
 from tillsight.sources.staging import materialize
 
 CUT = f"DATE '{cn.CUTOFF}'"
@@ -411,3 +412,27 @@ def _(spark, sf_dir):
         customer_lines(spark, sf_dir),
         {"customers": "customer_id", "products": "stock_code", "invoices": "invoice"},
     )
+
+
+@query(
+    "s8_published_reload",
+    "SELECT o_custkey, COUNT(*) AS orders FROM orders "
+    "WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey",
+)
+def _(spark, sf_dir):
+    """A table that is published, then reloaded with repeated keys: the reload is rejected, the first version read."""
+    known = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"))
+    placed = spark.read.parquet(f"{sf_dir}/orders.parquet").join(known, "o_custkey", "left_semi")
+    counts = placed.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
+    rules = [
+        lambda t: quality.unique_key(t, ["o_custkey"], "one row a customer"),
+        lambda t: quality.references(t, known, "o_custkey", "customer exists"),
+    ]
+    path = staging.new_folder(spark)
+    writers.publish_table(counts, path, rules)
+    repeated = writers.read_published(spark, path)
+    try:
+        writers.publish_table(repeated.unionByName(repeated), path, rules)
+    except writers.RulesBroken:
+        pass
+    return writers.read_published(spark, path)

@@ -101,12 +101,24 @@ def _(spark, sf_dir):
     return _money(clv.repeat_buyers(purchase_summary(spark, sf_dir)), "monetary_value")
 
 
+def _correlation_p_sql(table: str, kept: str) -> str:
+    """p-values of correlations r of n pairs: r = sin(u) has a density like cos(u)**(n - 3), summed by Simpson's rule."""
+    steps = 20000
+    weight = f"CASE WHEN k IN (0, {steps}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    area = lambda top: f"{top} * SUM({weight} * pow(cos({top} * k / {steps}e0), n - 3))"
+    inside, all_of_it = area("asin(abs(r))"), area("(pi() / 2)")
+    return (
+        f"p AS (SELECT {kept}, 1 - {inside.replace('asin(abs(r)) * SUM', 'any_value(asin(abs(r))) * SUM')} / ({all_of_it}) "
+        f"AS p_value FROM {table}, range({steps + 1}) t(k) GROUP BY {kept})"
+    )
+
+
 @query(
     "a12_spend_independence",
     _BASE
     + f""", {_CAL}, f AS (SELECT COUNT(*) AS n, corr(frequency_cal, monetary_value_cal) AS r FROM ch WHERE frequency_cal > 0),
-z AS (SELECT *, (8e0 * (n - 2) + 1) / (8e0 * (n - 2) + 3) * sqrt(-(n - 2) * ln(1 - r * r)) AS z FROM f)
-SELECT n, ROUND(r, 6) AS r, ROUND({cs.two_sided_p("z")}, 6) AS p_value FROM z""",
+{_correlation_p_sql("f", "n, r")}
+SELECT n, ROUND(r, 6) AS r, ROUND(p_value, 6) AS p_value FROM p""",
 )
 def _(spark, sf_dir):
     repeat = clv.repeat_buyers(calibration_holdout(spark, sf_dir), "frequency_cal")
@@ -151,6 +163,25 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "a13_fixed_comparison",
+    _BASE
+    + f""", {_CAL}, e AS (SELECT CAST(frequency_holdout AS DOUBLE) AS actual,
+  {_series_sql("CAST(duration_holdout AS DOUBLE)", "CAST(frequency_cal AS DOUBLE)", "recency_cal", "T_cal", _TERMS)} AS predicted
+  FROM ch), f AS (SELECT SUM(predicted) AS predicted, SUM(actual) AS actual, COUNT(*) AS n, corr(predicted, actual) AS r FROM e),
+{_correlation_p_sql("f", "predicted, actual, n, r")}
+SELECT 'BG/NBD' AS model, ROUND(predicted, 4) AS predicted, actual, ROUND(r, 6) AS correlation,
+  ROUND(p_value, 6) AS p_value FROM p""",
+)
+def _(spark, sf_dir):
+    cols = [F.col(c).cast("double") for c in ("duration_holdout", "frequency_cal", "recency_cal", "T_cal")]
+    expected = clv.bgnbd_expected(FIXED_PURCHASES, *cols, terms=_TERMS)
+    table = materialize(calibration_holdout(spark, sf_dir).withColumn("expected", expected))
+    compared = clv.holdout_comparison(table, {"BG/NBD": "expected"})
+    digits = {"predicted": 4, "correlation": 6, "p_value": 6}
+    return compared.withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
 _SPEND = (
     f"{FIXED_SPEND['p']}e0 * ({FIXED_SPEND['v']}e0 + frequency * monetary_value) / "
     f"({FIXED_SPEND['p']}e0 * frequency + {FIXED_SPEND['q']}e0 - 1)"

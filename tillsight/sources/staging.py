@@ -30,6 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path for a table of this application in the shared folder, removed by `clear_staged`."""
+    return f"{shared_folder(spark)}/tillsight-stage-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a reduced table once and read it back.
 
@@ -39,7 +44,7 @@ def materialize(df: DataFrame) -> DataFrame:
     the shared checkpoint folder (see `clear_staged`).
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tillsight-stage-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     before = spark.conf.get(BATCH_SETTING)
     spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     try:
