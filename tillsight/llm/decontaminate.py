@@ -234,6 +234,7 @@ def _searcher(parts: list[Index], threshold: float, overlap: float):
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(leaks_of(batch.tolist(), parts, threshold, overlap))
+        words.release_memory()
 
     return search
 

@@ -130,7 +130,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
-    pa.default_memory_pool().release_unused()  # workers stay for later tasks
+    words.release_memory()
 
 
 def set_digest(members: np.ndarray) -> int:

@@ -213,6 +213,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: floa
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame(chain(batch.tolist()), columns=chain.categories)
+        words.release_memory()
 
     kinds = ", ".join(f"{c} double" for c in chain.categories)
     scored = docs.withColumn("toxicity", F.pandas_udf(predict, kinds)(F.col(text_col)))

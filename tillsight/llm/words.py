@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 #: Texts are handled in groups of about so many bytes, which bounds the arrays.
 GROUP_BYTES = 1 << 19
@@ -47,6 +49,14 @@ def run_digest(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(_U) * _U(_ODD))
 
 
+def release_memory() -> None:
+    """Give memory that Arrow and the C library hold unused back to the system, as workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only GNU's library has it
+    if trim is not None:
+        trim(0)
+
+
 def groups(texts: Sequence[str | None], encode: Callable[[str], bytes], most: int = GROUP_BYTES):
     """(index of the first, encoded texts) of runs of texts that hold about `most` characters together.
 
