@@ -14,10 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,15 +81,21 @@ class Chain:
         return out
 
 
-def _fit(rows: DataFrame, label: str, inputs: Column, size: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept of one linear model; rows of one class give that class for certain."""
+def _fit(rows: DataFrame, label: str, inputs: Column, at: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the inputs at the places `at`, and intercept, of one linear model.
+
+    Rows of one class give that class for certain.
+    """
     rows = rows.where(F.col(label).isNotNull())
     low, high = rows.agg(F.min(label), F.max(label)).first()
     if low is None or low == high:
-        return np.zeros(size), 20.0 if low == 1.0 else -20.0
-    model = LogisticRegression(regParam=1e-5, maxIter=60, standardization=False).fit(
-        rows.select(array_to_vector(inputs).alias("features"), F.col(label).alias("label"))
-    )
+        return np.zeros(len(at)), 20.0 if low == 1.0 else -20.0
+    if not len(at):
+        share = rows.agg(F.avg(label)).first()[0]
+        return np.zeros(0), float(np.log(share / (1 - share)))
+    whole = rows.select(array_to_vector(inputs).alias("whole"), F.col(label).alias("label"))
+    sliced = VectorSlicer(inputCol="whole", outputCol="features", indices=at.tolist()).transform(whole)
+    model = LogisticRegression(regParam=1e-5, maxIter=60, standardization=False).fit(sliced.drop("whole"))
     return model.coefficients.toArray(), float(model.intercept)
 
 
@@ -102,22 +110,30 @@ def _label_sums(names: list[str]) -> list[Column]:
     return [e for c in names for e in (F.sum(c).alias(c), F.count(c).alias(f"known_{c}"))]
 
 
-def _tell_apart(counted: DataFrame, names: list[str], features: int) -> np.ndarray:
+def _tell_apart(counted: DataFrame, names: list[str], features: int, folds: int = FOLDS) -> list[np.ndarray]:
     """The `features` word digests per category that tell it best apart, from counts by word and fold.
 
-    The row whose word is null counts the labelled rows themselves.
+    First of all rows, then of all but each fold. The row whose word is null
+    counts the labelled rows themselves.
     """
-    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for c in names for x in (c, f"known_{c}")]
-    total = counted.where(F.col("stem").isNull()).agg(*sums).first()
-    by_word = counted.where(F.col("stem").isNotNull()).groupBy("stem").agg(F.sum("n").alias("n"), *sums)
-    found: set[int] = set()
-    for c in names:
-        known, all_known = F.col(f"known_{c}"), total[f"known_{c}"]
-        expected = known * total[c] / max(all_known, 1)
-        apart = F.pow(F.col(c) - expected, 2) / (expected * (1 - known / (all_known + 1)) + 1e-9)
-        best = by_word.where(known >= LEAST_ROWS).orderBy(apart.desc(), "stem").limit(features)
-        found |= {r.stem for r in best.select("stem").collect()}
-    return np.sort(np.array(sorted(found), np.int64).view(np.uint64))
+    columns = [x for c in names for x in (c, f"known_{c}")]
+    totals = counted.where(F.col("stem").isNull()).select("fold", *columns).collect()
+    best = []
+    for left_out in [None, *range(folds)]:
+        within = F.lit(True) if left_out is None else F.col("fold") != left_out
+        total = {x: sum(r[x] or 0 for r in totals if left_out is None or r.fold != left_out) for x in columns}
+        sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in columns]
+        by_word = counted.where(F.col("stem").isNotNull() & within).groupBy("stem").agg(*sums)
+        for c in names:
+            known, all_known = F.col(f"known_{c}"), total[f"known_{c}"]
+            expected = known * total[c] / max(all_known, 1)
+            apart = F.pow(F.col(c) - expected, 2) / (expected * (1 - known / (all_known + 1)) + 1e-9)
+            top = by_word.where(known >= LEAST_ROWS).orderBy(apart.desc(), "stem").limit(features)
+            best.append(top.select(F.lit(-1 if left_out is None else left_out).alias("model"), "stem"))
+    found: list[set[int]] = [set() for _ in range(folds + 1)]
+    for r in reduce(DataFrame.unionByName, best).collect():
+        found[r.model + 1].add(r.stem)
+    return [np.sort(np.array(sorted(f), np.int64).view(np.uint64)) for f in found]
 
 
 def train(
@@ -164,8 +180,7 @@ def train(
         .agg(F.count("*").alias("n"), *_label_sums(names))
     )
     # The features of the models fitted on all rows, and of those that leave a fold out.
-    own = [_tell_apart(counted, names, features)]
-    own += [_tell_apart(counted.where(F.col("fold") != f), names, features) for f in range(FOLDS)]
+    own = _tell_apart(counted, names, features)
     chain = Chain(np.unique(np.concatenate(own)))
     used = [np.flatnonzero(np.isin(chain.vocabulary, v)) for v in own]
 
@@ -185,9 +200,8 @@ def train(
 
         def fitted(some: DataFrame, features: np.ndarray) -> tuple[np.ndarray, float]:
             at = np.append(features, np.arange(every, every + k))
-            inputs = F.transform(F.lit(at.tolist()) if len(at) else F.array().cast("array<int>"), lambda i: F.get("x", i))
             weights = np.zeros(every + k)
-            weights[at], intercept = _fit(some, c, inputs, len(at))
+            weights[at], intercept = _fit(some, c, F.col("x"), at)
             return weights, intercept
 
         weights, intercept = fitted(wide, used[0])
