@@ -91,3 +91,23 @@ def test_features_of_a_fold_do_not_see_it(spark):
     counted = spark.createDataFrame(counts, "stem long, fold int, n long, toxic double, known_toxic long")
     chosen = [v.tolist() for v in toxicity._tell_apart(counted, ["toxic"], 10)]
     assert chosen == [[1, 2], [2], [1], [1, 2]]
+
+
+def test_linear_fit_reaches_the_least_loss(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    held, dense = rng.random((400, 12)) < 0.3, rng.random((400, 1))
+    label = (rng.random(400) < 1 / (1 + np.exp(2 - held[:, 0] * 3 - held[:, 1] + held[:, 2] - dense[:, 0]))) * 1.0
+    owner, at = np.nonzero(held)
+    weights, intercept = toxicity.fit_linear(owner, at, dense, label, 12, steps=500)
+    rows = [(float(y), Vectors.dense([*x, *d])) for y, x, d in zip(label, held * 1.0, dense)]
+    table = spark.createDataFrame(rows, ["label", "features"])
+    plain = LogisticRegression(regParam=toxicity.PENALTY, standardization=False, maxIter=500, tol=1e-12).fit(table)
+    assert weights == pytest.approx(plain.coefficients.toArray(), abs=2e-2)
+    assert intercept == pytest.approx(plain.intercept, abs=2e-2)
+    for y, sure in ((np.ones(2), 20.0), (np.zeros(2), -20.0), (np.zeros(0), -20.0)):
+        none = np.zeros(0, np.int64)
+        weights, intercept = toxicity.fit_linear(none, none, np.zeros((len(y), 1)), y, 3)
+        assert intercept == sure and not weights.any() and len(weights) == 4

@@ -7,7 +7,9 @@ that later models learn from probabilities as wrong as they will be in use.
 
 Words count whole and by their first bytes, at two lengths, so forms of a stem
 share a feature. The features are those of the labelled rows a model is fitted on
-that tell a category best apart: the models of a fold choose theirs without it.
+that tell a category best apart: the models of a fold choose theirs without it. A
+category's models are fitted side by side, each in a task of its own, as the
+labelled rows are bounded.
 """
 
 from __future__ import annotations
@@ -18,9 +20,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +31,8 @@ LABELLED = 20_000
 #: Features per category, first bytes of a word that count beside the whole word, rows a feature must occur in.
 FEATURES, STEMS, LEAST_ROWS = 300, (4, 6), 5
 FOLDS = 3
+#: Weight of half the squared weights beside the mean loss of a model, and its largest number of steps.
+PENALTY, STEPS = 1e-5, 100
 THRESHOLD = 0.5
 
 #: Category -> condition on the labels, in the order of the chain.
@@ -81,28 +82,53 @@ class Chain:
         return out
 
 
-def _fit(rows: DataFrame, label: str, inputs: Column, at: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the inputs at the places `at`, and intercept, of one linear model.
+def fit_linear(
+    owner: np.ndarray, at: np.ndarray, dense: np.ndarray, label: np.ndarray, width: int, steps: int = STEPS
+) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic model by limited-memory quasi-Newton steps.
 
-    Rows of one class give that class for certain.
+    Row `owner[i]` has feature `at[i]` (below `width`) with value 1, and the row
+    of `dense` beside them. Weights are held back by PENALTY, the intercept is
+    not. Rows of one class, or none, give that class, or 0, for certain.
     """
-    rows = rows.where(F.col(label).isNotNull())
-    low, high = rows.agg(F.min(label), F.max(label)).first()
-    if low is None or low == high:
-        return np.zeros(len(at)), 20.0 if low == 1.0 else -20.0
-    if not len(at):
-        share = rows.agg(F.avg(label)).first()[0]
-        return np.zeros(0), float(np.log(share / (1 - share)))
-    whole = rows.select(array_to_vector(inputs).alias("whole"), F.col(label).alias("label"))
-    sliced = VectorSlicer(inputCol="whole", outputCol="features", indices=at.tolist()).transform(whole)
-    model = LogisticRegression(regParam=1e-5, maxIter=60, standardization=False).fit(sliced.drop("whole"))
-    return model.coefficients.toArray(), float(model.intercept)
-
-
-def _probability(weights: np.ndarray, intercept: float, inputs: Column) -> Column:
-    pairs = F.zip_with(inputs, F.lit(weights.tolist()), lambda x, w: x * w)
-    z = F.aggregate(pairs, F.lit(intercept), lambda a, b: a + b)
-    return 1 / (1 + F.exp(-z))
+    n, k = dense.shape
+    if not n or label.min() == label.max():
+        return np.zeros(width + k), 20.0 if n and label[0] == 1.0 else -20.0
+
+    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(owner, p[at], n) + dense @ p[width:-1] + p[-1]
+        rest = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label) / n
+        slope = np.concatenate([np.bincount(at, rest[owner], width), dense.T @ rest, [rest.sum()]])
+        slope[:-1] += PENALTY * p[:-1]
+        return float(np.mean(np.logaddexp(0, z) - label * z) + PENALTY / 2 * (p[:-1] @ p[:-1])), slope
+
+    point = np.zeros(width + k + 1)
+    point[-1] = np.log(label.mean() / (1 - label.mean()))
+    value, slope = loss(point)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        way, shares = -slope, []
+        for moved, turned in reversed(past):
+            shares.append((moved @ way) / (moved @ turned))
+            way = way - shares[-1] * turned
+        if past:
+            way = way * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]))
+        for (moved, turned), share in zip(past, reversed(shares)):
+            way = way + (share - (turned @ way) / (moved @ turned)) * moved
+        falls, length = slope @ way, 1.0
+        lower, there = loss(point + way)
+        while lower > value + 1e-4 * length * falls and length > 1e-8:
+            length /= 2
+            lower, there = loss(point + length * way)
+        if not lower < value:
+            break
+        moved, turned = length * way, there - slope
+        if moved @ turned > 0:
+            past = [*past[-9:], (moved, turned)]
+        gain, point, value, slope = value - lower, point + moved, lower, there
+        if gain <= 1e-7 * value:
+            break
+    return point[:-1], float(point[-1])
 
 
 def _label_sums(names: list[str]) -> list[Column]:
@@ -182,38 +208,54 @@ def train(
     # The features of the models fitted on all rows, and of those that leave a fold out.
     own = _tell_apart(counted, names, features)
     chain = Chain(np.unique(np.concatenate(own)))
-    used = [np.flatnonzero(np.isin(chain.vocabulary, v)) for v in own]
-
-    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in frames:
-            for start in range(0, len(whole), 500):  # the dense rows are much longer than what they come from
-                frame = whole.iloc[start : start + 500]
-                held = np.zeros((len(frame), len(chain.vocabulary)))
-                for i, s in enumerate(frame.stems):
-                    hit, at = chain.known(np.asarray(s, np.int64).view(np.uint64))
-                    held[i, at[hit]] = 1.0
-                yield frame.drop(columns="stems").assign(x=list(held))
-
-    wide = materialize(rows.mapInPandas(vectors, f"_id {id_type}, {kinds}, x array<double>")).withColumn("_fold", fold)
+    used = [np.isin(chain.vocabulary, v) for v in own]
     every = len(chain.vocabulary)
+    models = F.concat(F.array(F.lit(-1)), F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold")))
+
+    def placed(unseen: list[list[tuple[np.ndarray, float]]]) -> DataFrame:
+        """The rows' features by their places, and the probabilities of the categories fitted so far, out of fold."""
+
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                places, before = [], []
+                for stems, fold in zip(frame.stems, frame.fold):
+                    hit, at = chain.known(np.asarray(stems, np.int64).view(np.uint64))
+                    places.append(np.sort(at[hit]).astype(np.int32))
+                    earlier = np.empty(0)
+                    for fitted in unseen:
+                        weights, intercept = fitted[fold]
+                        z = intercept + weights[places[-1]].sum() + earlier @ weights[every:]
+                        earlier = np.append(earlier, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
+                    before.append(earlier)
+                yield frame.drop(columns="stems").assign(places=places, earlier=before)
+
+        kept = rows.withColumn("fold", fold.cast("int"))
+        return kept.mapInPandas(place, f"_id {id_type}, {kinds}, fold int, places array<int>, earlier array<double>")
+
+    unseen: list[list[tuple[np.ndarray, float]]] = []
     for k, c in enumerate(names):
 
-        def fitted(some: DataFrame, features: np.ndarray) -> tuple[np.ndarray, float]:
-            at = np.append(features, np.arange(every, every + k))
-            weights = np.zeros(every + k)
-            weights[at], intercept = _fit(some, c, F.col("x"), at)
-            return weights, intercept
-
-        weights, intercept = fitted(wide, used[0])
+        def fit(key: tuple[int], frame: pd.DataFrame) -> pd.DataFrame:
+            """One model in one task: at most the labelled rows, each with at most the vocabulary."""
+            frame = frame.sort_values("_id", kind="stable")
+            owner = np.repeat(np.arange(len(frame)), [len(p) for p in frame.places])
+            at = np.concatenate([np.empty(0, np.int32), *frame.places]).astype(np.int64)
+            keep = used[1 + key[0]][at] if len(at) else np.zeros(0, bool)
+            dense = np.array([np.asarray(e, float) for e in frame.earlier]).reshape(len(frame), k)
+            weights, intercept = fit_linear(owner[keep], at[keep], dense, frame.label.to_numpy(float), every)
+            return pd.DataFrame({"model": [key[0]], "weights": [weights], "intercept": [intercept]})
+
+        known = placed(unseen).where(F.col(c).isNotNull())
+        which = F.explode(models) if k + 1 < len(names) else F.lit(-1)
+        dealt = known.select(which.alias("model"), "_id", F.col(c).alias("label"), "places", "earlier")
+        fits = dealt.groupBy("model").applyInPandas(fit, "model int, weights array<double>, intercept double")
+        # 1 + FOLDS rows, as long as the vocabulary.
+        got = {r.model: (np.array(r.weights, float), r.intercept) for r in fits.collect()}
+        fitted = [got.get(m, (np.zeros(every + k), -20.0)) for m in range(-1, FOLDS)]
         chain.categories.append(c)
-        chain.weights.append(weights)
-        chain.intercepts.append(intercept)
-        if k + 1 < len(names):
-            unseen = F.lit(None).cast("double")
-            for f in range(FOLDS):
-                model = fitted(wide.where(F.col("_fold") != f), used[1 + f])
-                unseen = F.when(F.col("_fold") == f, _probability(*model, F.col("x"))).otherwise(unseen)
-            wide = materialize(wide.withColumn("x", F.concat("x", F.array(unseen))))
+        chain.weights.append(fitted[0][0])
+        chain.intercepts.append(fitted[0][1])
+        unseen.append(fitted[1:])
     return chain
 
 
