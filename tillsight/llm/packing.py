@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.llm.words import release_memory
 from tillsight.operators import ranking
 
 ROW_TOKENS = 2048
@@ -220,5 +221,6 @@ def packed_rows(
                 held.append((int(digest), None if pd.isna(i) else i, np.concatenate([encoder(text), last])))
         if held:
             yield from flush()
+        release_memory()
 
     return dealt.mapInPandas(pack, schema).withColumn("doc_ids", F.col("doc_ids").cast(f"array<{id_type}>"))
