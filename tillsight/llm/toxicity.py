@@ -144,16 +144,22 @@ def _tell_apart(counted: DataFrame, names: list[str], features: int, folds: int
     """
     columns = [x for c in names for x in (c, f"known_{c}")]
     totals = counted.where(F.col("stem").isNull()).select("fold", *columns).collect()
+    by_fold = [F.sum(F.when(F.col("fold") == f, F.col(x))).alias(f"{x}_{f}") for f in range(folds) for x in columns]
+    by_word = counted.where(F.col("stem").isNotNull()).groupBy("stem").agg(*by_fold)
+
+    def count(x: str, left_out: int | None) -> Column:
+        return reduce(Column.__add__, [F.coalesce(f"{x}_{f}", F.lit(0)) for f in range(folds) if f != left_out])
+
+    # Read once per model and category; words too rare for any of them are gone.
+    frequent = reduce(Column.__or__, [count(f"known_{c}", None) >= LEAST_ROWS for c in names])
+    by_word = materialize(by_word.where(frequent))
     best = []
     for left_out in [None, *range(folds)]:
-        within = F.lit(True) if left_out is None else F.col("fold") != left_out
         total = {x: sum(r[x] or 0 for r in totals if left_out is None or r.fold != left_out) for x in columns}
-        sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in columns]
-        by_word = counted.where(F.col("stem").isNotNull() & within).groupBy("stem").agg(*sums)
         for c in names:
-            known, all_known = F.col(f"known_{c}"), total[f"known_{c}"]
+            known, all_known = count(f"known_{c}", left_out), total[f"known_{c}"]
             expected = known * total[c] / max(all_known, 1)
-            apart = F.pow(F.col(c) - expected, 2) / (expected * (1 - known / (all_known + 1)) + 1e-9)
+            apart = F.pow(count(c, left_out) - expected, 2) / (expected * (1 - known / (all_known + 1)) + 1e-9)
             top = by_word.where(known >= LEAST_ROWS).orderBy(apart.desc(), "stem").limit(features)
             best.append(top.select(F.lit(-1 if left_out is None else left_out).alias("model"), "stem"))
     found: list[set[int]] = [set() for _ in range(folds + 1)]
