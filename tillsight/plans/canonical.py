@@ -63,28 +63,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
+#: Rows of order lines or events that one task sorts or groups at once.
+ROWS_PER_TASK = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, per_task: int | None = None) -> DataFrame:
+    """`df`, of about `rows` rows, dealt by its keys over tasks whose number grows with the rows.
+
+    A small table is left to adaptive execution. A larger one is not, as that
+    joins compressed pieces into one for each core, whatever the rows need in memory.
+    """
+    n = -(-rows // (per_task or ROWS_PER_TASK))
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
+
+
 def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
     """The columns of a source, dealt by key over all tasks.
 
     A file with few row groups would keep all later work in as many tasks.
     """
-    return table(spark, sf_dir, name).select(*columns).repartition(key)
+    source = table(spark, sf_dir, name)
+    return dealt(source.select(*columns), source.count(), key)
 
 
 def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spread_table(
-        spark, sf_dir, "lineitem", "l_orderkey", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag"
-    )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    """Raw order lines, dealt by invoice."""
+    source = table(spark, sf_dir, "lineitem")
+    rows = source.count()
+    lines = source.select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
+    orders = spread_table(spark, sf_dir, "orders", "o_custkey", "o_orderkey", "o_custkey", "o_orderdate")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     buyers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    joined = (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    headers = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).join(
+        nations, F.col("c_nationkey") == F.col("n_nationkey")
     )
+    joined = dealt(
+        dealt(lines, rows, "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey")), rows, "l_orderkey"
+    ).join(headers, F.col("l_orderkey") == F.col("o_orderkey"))
     key, part = F.col("l_orderkey"), F.col("l_partkey")
     repeated, reversed_later = key % 31 == 0, key % 40 == 0
 
@@ -100,7 +116,7 @@ def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     returned = (F.col("l_returnflag") == "R") & (key % 20 == 7)
     mirrored = F.col("copy") == 2
     quantity = F.col("l_quantity").cast("int")
-    return joined.withColumn("copy", F.explode(copies)).select(
+    raw = joined.withColumn("copy", F.explode(copies)).select(
         F.concat(F.when(mirrored, "C9").when(returned, "C").otherwise(""), key.cast("string")).alias("invoice"),
         F.when(part % 97 == 0, "POST")
         .when(part % 499 == 1, "TEST001")
@@ -113,6 +129,7 @@ def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey").cast("double")).alias("customer_id"),
         F.when(key % 7 == 0, "NATION_0").otherwise(F.col("n_name")).alias("country"),
     )
+    return dealt(raw, rows, "invoice")
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
