@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tillsight.operators import cleaning
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+from tillsight.operators import cleaning, stats
 from tillsight.plans import canonical as cn
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,3 +23,17 @@ def test_order_lines_are_dealt_over_more_tasks_as_they_grow(spark, monkeypatch):
     # Copies meet in the tasks the lines are dealt over already: no shuffle by all columns into a fixed number.
     assert distinct.rdd.getNumPartitions() == -(-lines // 100)
     assert sorted(map(str, distinct.collect())) == expected
+
+
+def test_every_row_is_drawn_in_every_replicate(spark):
+    rows = [(i, float((i * 37) % 101), i % 3 == 0) for i in range(150)]
+    df = spark.createDataFrame(rows, "k int, v double, f boolean")
+    got = {r.b: r["diff"] for r in stats.resampled_median_differences(df, "k", "v", "f", 43, 5).collect()}
+    assert set(got) == set(range(1, 44))
+    cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(14)])
+    for b in got:
+        sides = {True: [], False: []}
+        for k, v, f in rows:
+            u = int(hashlib.md5(f"5|{b}|{k}".encode()).hexdigest()[:8], 16) / 2**32
+            sides[f] += [v] * int(np.sum(u >= cuts))
+        assert got[b] == pytest.approx(np.median(sides[True]) - np.median(sides[False]))

@@ -89,15 +89,110 @@ def gamma_draw(shape: Column, seed: int, *keys: Column) -> Column:
     return F.coalesce(d * first * first * first, shape)
 
 
-def bootstrap_median_difference(
-    df: DataFrame, value: str, flag: str, replicates: int = 1000, seed: int = 42, confidence: float = 0.95
+#: Poisson(1) counts beyond this have a probability below 1e-12, less than one step of the uniform numbers used.
+POISSON_LEVELS = 14
+#: Draws of one task, so that the number of tasks grows with rows times replicates.
+DRAWS_PER_TASK = 5_000_000
+
+
+def _poisson_one(u: Column) -> Column:
+    """Poisson(1) count by inversion of a uniform number."""
+    total, term, count = 0.0, math.exp(-1.0), F.lit(0)
+    for k in range(POISSON_LEVELS):
+        term = term / k if k else term
+        total += term
+        count = count + (u >= F.lit(total)).cast("int")
+    return count
+
+
+def resampled_interval(
+    df: DataFrame,
+    key: str,
+    value: str,
+    flag: str,
+    replicates: int = 1000,
+    seed: int = 42,
+    confidence: float = 0.95,
 ) -> DataFrame:
-    """Percentile interval of median(flag) - median(not flag) over bootstrap samples of each group's own size.
+    """Percentile interval of median(flag) - median(not flag), Poisson bootstrap.
 
-    See `replicate_median_differences`: the work is one sort of the values,
-    whatever the number of replicates.
+    Every row draws its weight for replicate b from md5(seed|b|key), so the
+    result is the same on any cluster. A first pass only sums weights per
+    replicate and value range (small after the map-side combine); the second
+    pass looks at rows again only in the ranges where some replicate has its
+    median. No replicate is ever sorted as a whole.
     """
-    diffs = replicate_median_differences(df, value, flag, replicates, seed)
+    return _interval(resampled_median_differences(df, key, value, flag, replicates, seed), confidence)
+
+
+def resampled_median_differences(
+    df: DataFrame, key: str, value: str, flag: str, replicates: int, seed: int
+) -> DataFrame:
+    """b, diff: the difference of the two groups' medians when every row is drawn anew for each replicate."""
+    staged = materialize(df.select(key, value, flag).where(F.col(value).isNotNull()))
+    rows = ranking.value_ranges(staged, value, at_least=64)
+    # Few rows make many draws: they are dealt out with their blocks of replicates, not by their own size.
+    size = max(1, -(-replicates // 40))
+    starts = F.sequence(F.lit(1), F.lit(replicates), F.lit(size))
+    last_of = F.least(F.col("_from") + F.lit(size - 1), F.lit(replicates))
+
+    def weighted(source: DataFrame) -> DataFrame:
+        n = max(source.sparkSession.sparkContext.defaultParallelism, -(-source.count() * replicates // DRAWS_PER_TASK))
+        blocks = source.withColumn("_from", F.explode(starts)).repartition(n, "_from", key)
+        drawn = blocks.withColumn("b", F.explode(F.sequence(F.col("_from"), last_of))).drop("_from")
+        # A column of its own, and no filter that would be pushed below it: one digest a draw instead of one a level.
+        drawn = drawn.withColumn("_u", nx.hash_uniform(seed, F.col("b"), F.col(key)))
+        return drawn.withColumn("w", _poisson_one(F.col("_u"))).drop("_u")
+
+    groups = ["b", flag]
+    ranges = weighted(rows).groupBy(*groups, "_b").agg(F.sum("w").alias("w"))
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    placed = materialize(ranges).select(
+        *groups,
+        "_b",
+        "w",
+        F.coalesce(F.sum("w").over(before), F.lit(0)).alias("before"),
+        F.sum("w").over(whole).alias("total"),
+    )
+    # 0-based ranks of the two middle draws; equal when the total is odd.
+    lo, hi = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+
+    def inside(rank: Column) -> Column:
+        return (rank >= F.col("before")) & (rank < F.col("before") + F.col("w"))
+
+    targets = materialize(
+        placed.where(inside(lo) | inside(hi)).select(*groups, "_b", "before", lo.alias("lo"), hi.alias("hi"))
+    )
+    needed = targets.select(flag, "_b").distinct()
+    again = weighted(materialize(rows.join(needed, [flag, "_b"], "left_semi")))
+    fine = (
+        again.join(targets.select(*groups, "_b"), [*groups, "_b"], "left_semi")
+        .groupBy(*groups, "_b", value)
+        .agg(F.sum("w").alias("n"))
+    )
+    up_to = (
+        Window.partitionBy(*groups, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    located = fine.withColumn("upto", F.sum("n").over(up_to)).join(targets, [*groups, "_b"])
+    last = F.col("before") + F.col("upto") - 1
+    first = last - F.col("n") + 1
+    medians = located.groupBy(*groups).agg(
+        (
+            F.max(F.when(F.col("lo").between(first, last), F.col(value)))
+            + F.max(F.when(F.col("hi").between(first, last), F.col(value)))
+        ).alias("twice")
+    )
+    per_replicate = medians.groupBy("b").agg(
+        F.max(F.when(F.col(flag), F.col("twice"))).alias("yes"),
+        F.max(F.when(~F.col(flag), F.col("twice"))).alias("no"),
+    )
+    return per_replicate.where("yes IS NOT NULL AND no IS NOT NULL").select(
+        "b", ((F.col("yes") - F.col("no")) / 2.0).alias("diff")
+    )
+
+
+def _interval(diffs: DataFrame, confidence: float) -> DataFrame:
     tail = (1.0 - confidence) / 2.0
     return diffs.agg(
         F.count(F.lit(1)).alias("replicates"),
@@ -107,6 +202,17 @@ def bootstrap_median_difference(
     )
 
 
+def bootstrap_median_difference(
+    df: DataFrame, value: str, flag: str, replicates: int = 1000, seed: int = 42, confidence: float = 0.95
+) -> DataFrame:
+    """Percentile interval of median(flag) - median(not flag) over bootstrap samples of each group's own size.
+
+    See `replicate_median_differences`: the work is one sort of the values,
+    whatever the number of replicates.
+    """
+    return _interval(replicate_median_differences(df, value, flag, replicates, seed), confidence)
+
+
 def replicate_median_differences(df: DataFrame, value: str, flag: str, replicates: int, seed: int) -> DataFrame:
     """b, diff: the difference of the two groups' medians in each bootstrap sample.
 
