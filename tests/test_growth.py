@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from tillsight.operators import cleaning, stats
+from tillsight.operators import cleaning, models, stats
 from tillsight.plans import canonical as cn
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -37,3 +38,12 @@ def test_every_row_is_drawn_in_every_replicate(spark):
             u = int(hashlib.md5(f"5|{b}|{k}".encode()).hexdigest()[:8], 16) / 2**32
             sides[f] += [v] * int(np.sum(u >= cuts))
         assert got[b] == pytest.approx(np.median(sides[True]) - np.median(sides[False]))
+
+
+def test_terms_are_counted_without_a_row_for_each_text_and_term(spark):
+    texts = [["a", "b", "a"], ["b"], ["c", "a"], [], ["d", "d", "d"]]
+    rows = spark.createDataFrame([(t,) for t in texts], "_terms array<string>")
+    found = models.term_frequencies(rows, 3)
+    assert "monotonically_increasing_id" not in found._jdf.queryExecution().toString()
+    n, n_rows = Counter(w for t in texts for w in t), Counter(w for t in texts for w in set(t))
+    assert {tuple(r) for r in found.select("term", "n", "n_rows").collect()} == {(w, n[w], n_rows[w]) for w in "abd"}

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.operators import metrics, ranking
+from tillsight.sources.staging import materialize
 
 # The columns of the churn table.
 CHURN_FEATURES = ["tenure_days", "recency_days", "frequency", "monetary", "avg_order_value", "has_returned"]
@@ -122,27 +123,52 @@ def fit_tfidf(
 
 
 def term_frequencies(rows: DataFrame, terms: int) -> DataFrame:
-    """term, n (occurrences), n_rows (rows that hold it) of the most frequent terms of the `_terms` arrays."""
-    each = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.explode("_terms").alias("term"))
-    per_row = each.groupBy("_row", "term").agg(F.count(F.lit(1)).alias("n"))
-    counted = per_row.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_rows"))
-    return counted.orderBy(F.col("n").desc(), "term").limit(terms)
+    """term, n (occurrences), n_rows (rows that hold it) of the most frequent terms of the `_terms` arrays.
 
+    Occurrences are summed by term alone; rows are only counted for the terms
+    taken, so nothing is shuffled by row and term.
+    """
+    counted = rows.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    chosen = materialize(counted.orderBy(F.col("n").desc(), "term").limit(terms))
+    held = rows.select(F.explode(F.array_distinct("_terms")).alias("term")).join(F.broadcast(chosen), "term")
+    return held.groupBy("term", "n").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def staged_features(tfidf: PipelineModel, rows: DataFrame) -> DataFrame:
+    """features and stars of the reviews, written once: a fit reads its rows more than once."""
+    return materialize(tfidf.transform(rows).select("features", "stars"))
+
+
+def on_features(tfidf: PipelineModel, model: PipelineModel) -> PipelineModel:
+    """The part of a star model that comes after the features."""
+    return PipelineModel(stages=model.stages[len(tfidf.stages) :])
 
-def fit_star_linear(tfidf: PipelineModel, train: DataFrame, iterations: int = 100) -> PipelineModel:
-    """Multinomial logistic regression on the TF-IDF features."""
-    rows = tfidf.transform(train.withColumn("label", F.col("stars").cast("double")))
+
+def fit_star_linear(
+    tfidf: PipelineModel, train: DataFrame, iterations: int = 100, features: DataFrame | None = None
+) -> PipelineModel:
+    """Multinomial logistic regression on the TF-IDF features (`features`: those of `train`, if staged already)."""
+    features = staged_features(tfidf, train) if features is None else features
+    rows = features.select("features", F.col("stars").cast("double").alias("label"))
     n = train.count()
     model = LogisticRegression(
         family="multinomial", regParam=1.0 / n, standardization=False, maxIter=iterations, predictionCol="prediction"
-    ).fit(rows.select("features", "label"))
+    ).fit(rows)
     return PipelineModel(stages=[*tfidf.stages, model])
 
 
-def fit_star_boosted(tfidf: PipelineModel, train: DataFrame, rounds: int = 20, depth: int = 4) -> PipelineModel:
-    rows = tfidf.transform(train.withColumn("label", F.col("stars").cast("double") - 1.0)).select("features", "label")
+#: Rows up to which stars are boosted side by side; a fit holds four bytes for each row and term in memory.
+ROWS_SIDE_BY_SIDE = 100_000
+
+
+def fit_star_boosted(
+    tfidf: PipelineModel, train: DataFrame, rounds: int = 20, depth: int = 4, features: DataFrame | None = None
+) -> PipelineModel:
+    features = staged_features(tfidf, train) if features is None else features
+    rows = features.select("features", (F.col("stars").cast("double") - 1.0).alias("label"))
     boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=SEED)
-    model = OneVsRest(classifier=boosted, parallelism=4).fit(rows)
+    side_by_side = 4 if features.count() <= ROWS_SIDE_BY_SIDE else 1
+    model = OneVsRest(classifier=boosted, parallelism=side_by_side).fit(rows)
     shift = SQLTransformer(statement="SELECT *, prediction + 1.0D AS stars_predicted FROM __THIS__")
     return PipelineModel(stages=[*tfidf.stages, model, shift])
 

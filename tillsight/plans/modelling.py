@@ -142,7 +142,7 @@ def star_setup(spark, sf_dir):
     train, test = models.stratified_split(rows, "review_id", "stars")
     train, test = materialize(train), materialize(test)
     tfidf = models.fit_tfidf(train, stop_words=cn.STOP_WORDS)
-    return train, test, tfidf
+    return rows, train, test, tfidf
 
 
 @query(
@@ -158,25 +158,32 @@ counted AS (SELECT term, COUNT(*) AS n, COUNT(DISTINCT review_id) AS n_rows FROM
 SELECT term, ROUND(ln(((SELECT COUNT(*) FROM words) + 1e0) / (n_rows + 1)) + 1, 9) AS idf FROM counted""",
 )
 def _(spark, sf_dir):
-    train, _, tfidf = star_setup(spark, sf_dir)
+    _, _, _, tfidf = star_setup(spark, sf_dir)
     vocabulary, scale = tfidf.stages[4].vocabulary, tfidf.stages[5].getScalingVec().toArray()
     rows = [(t, float(w)) for t, w in zip(vocabulary, scale)]
     return spark.createDataFrame(rows, "term string, idf double").withColumn("idf", F.round("idf", 9))
 
 
+def fitted_star_models(spark, sf_dir):
+    """Both star models, reading features, and the features of the held-out rows."""
+    _, train, test, tfidf = star_setup(spark, sf_dir)
+    features = models.staged_features(tfidf, train)
+    fitted = {
+        "linear": models.fit_star_linear(tfidf, train, features=features),
+        "boosted": models.fit_star_boosted(tfidf, train, features=features),
+    }
+    return {k: models.on_features(tfidf, m) for k, m in fitted.items()}, models.staged_features(tfidf, test)
+
+
 @query("n7_star_models")
 def _(spark, sf_dir):
-    train, test, tfidf = star_setup(spark, sf_dir)
-    return quality.union_all(
-        models.evaluate_stars("linear", models.fit_star_linear(tfidf, train), test),
-        models.evaluate_stars("boosted", models.fit_star_boosted(tfidf, train), test),
-    )
+    fitted, test = fitted_star_models(spark, sf_dir)
+    return quality.union_all(*[models.evaluate_stars(k, m, test) for k, m in fitted.items()])
 
 
 def chosen_star_predictions(spark, sf_dir):
     """Held-out predictions of the star model that does better there."""
-    train, test, tfidf = star_setup(spark, sf_dir)
-    fitted = {"linear": models.fit_star_linear(tfidf, train), "boosted": models.fit_star_boosted(tfidf, train)}
+    fitted, test = fitted_star_models(spark, sf_dir)
     scored = {k: materialize(models.predicted_stars(m, test, ["stars"])) for k, m in fitted.items()}
     scores = [metrics.overall_scores(s, "stars", "predicted_stars").withColumn("model", F.lit(k)) for k, s in scored.items()]
     return scored[models.better_model(quality.union_all(*scores))]
@@ -197,21 +204,22 @@ def _(spark, sf_dir):
 
 @query("n2_model_review_stars")
 def _(spark, sf_dir):
-    train, _, tfidf = star_setup(spark, sf_dir)
+    rows, train, _, tfidf = star_setup(spark, sf_dir)
     model = models.fit_star_linear(tfidf, train)
-    rows = cn.reviews_text(spark, sf_dir).select("review_id", "full_text")
-    return reviews.score_distinct(rows, "full_text", models.star_scorer(model)).select("review_id", "predicted_stars")
+    texts = rows.select("review_id", "full_text")
+    return reviews.score_distinct(texts, "full_text", models.star_scorer(model)).select("review_id", "predicted_stars")
 
 
 @query("m12_star_attribution")
 def _(spark, sf_dir):
-    train, test, tfidf = star_setup(spark, sf_dir)
-    model = models.fit_star_linear(tfidf, train)
+    _, train, test, tfidf = star_setup(spark, sf_dir)
+    features = models.staged_features(tfidf, train)
+    model = models.fit_star_linear(tfidf, train, features=features)
     linear = model.stages[-1]
     weights = linear.coefficientMatrix.toArray().tolist()[1:]
     values = attribution.linear_attribution(
-        tfidf.transform(test).select("features"),
-        tfidf.transform(train).select("features"),
+        models.staged_features(tfidf, test).select("features"),
+        features.select("features"),
         weights,
         [1, 2, 3, 4, 5],
         tfidf.stages[4].vocabulary,
