@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tillsight.operators import cleaning, models, stats
+from tillsight.operators import cleaning, keyphrases, models, stats
 from tillsight.plans import canonical as cn
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -47,3 +47,15 @@ def test_terms_are_counted_without_a_row_for_each_text_and_term(spark):
     assert "monotonically_increasing_id" not in found._jdf.queryExecution().toString()
     n, n_rows = Counter(w for t in texts for w in t), Counter(w for t in texts for w in set(t))
     assert {tuple(r) for r in found.select("term", "n", "n_rows").collect()} == {(w, n[w], n_rows[w]) for w in "abd"}
+
+
+def test_keyphrases_split_each_text_once_and_spell_out_ties_only(spark):
+    texts = ["late parcel late parcel", "great shop great price", None, "", "the of and"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    found = keyphrases.keyphrases(df, "id", "t")
+    # The texts are staged as words: whatever reads them again does not split them again.
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.keywords for r in found.where("id >= 2").collect()} == {2: "", 3: "", 4: ""}
+    names, idf = ["b", "c", "z"], np.array([1.0, 1.0, 1.0])
+    assert keyphrases.pick_phrases(np.array([2, 0, 1]), idf, names, 1, 0.5) == ["b c"]
+    assert keyphrases.pick_phrases(np.array([], np.int64), idf, names, 5, 0.5) == []

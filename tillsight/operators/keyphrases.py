@@ -2,96 +2,115 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tillsight.functions import text as tx
+from tillsight.sources.staging import materialize
 
 
 def stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def pick_phrases(words: np.ndarray, idf: np.ndarray, top: int, diversity: float) -> list[str]:
+def pick_phrases(codes: np.ndarray, idf: np.ndarray, names: list[str], top: int, diversity: float) -> list[str]:
     """Greedy maximal marginal relevance over the candidates of one document.
 
-    The document is its TF-IDF vector; a candidate is the sum of the vectors of
-    its words. Cosines between candidates only involve shared words, so no
-    candidate matrix is built.
+    `codes` are the document's words as places in `names`, which is sorted, and
+    in `idf`. The document is its TF-IDF vector; a candidate is the sum of the
+    vectors of its words. Cosines between candidates only involve shared words,
+    so no candidate matrix is built, and only tied candidates are spelled out.
     """
-    if len(words) == 0:
+    if len(codes) == 0:
         return []
-    names, code = np.unique(words, return_inverse=True)
-    weight = np.zeros(len(names))
-    weight[code] = idf
-    tf = np.bincount(code, minlength=len(names))
-    doc = tf * weight
+    own, code = np.unique(codes, return_inverse=True)
+    n, weight = len(own), idf[own]
+    doc = np.bincount(code, minlength=n) * weight
     doc_norm = np.sqrt(np.sum(doc * doc))
-    pairs = np.unique(np.stack([code[:-1], code[1:]], axis=1), axis=0) if len(code) > 1 else np.empty((0, 2), int)
-    single = np.arange(len(names))
-    first = np.concatenate([single, pairs[:, 0]])
-    second = np.concatenate([np.full(len(names), -1), pairs[:, 1]])
+    pairs = np.unique(code[:-1].astype(np.int64) * n + code[1:])
+    first = np.concatenate([np.arange(n), pairs // n])
+    second = np.concatenate([np.full(n, -1), pairs % n])
     w1 = weight[first]
     w2 = np.where(second >= 0, weight[second], 0.0)
     same = first == second
     norm = np.where(same, w1 + w2, np.sqrt(w1 * w1 + w2 * w2))
     dot = w1 * doc[first] + np.where(second >= 0, w2 * doc[second], 0.0)
     relevance = np.round(dot / (norm * doc_norm), 9)
-    phrases = np.array([names[a] if b < 0 else f"{names[a]} {names[b]}" for a, b in zip(first, second)], dtype=object)
-    closest = np.full(len(phrases), -np.inf)
+
+    def phrase(i: int) -> str:
+        word = names[own[first[i]]]
+        return word if second[i] < 0 else f"{word} {names[own[second[i]]]}"
+
+    closest = np.full(len(first), -np.inf)
     chosen: list[int] = []
-    free = np.ones(len(phrases), bool)
-    order = np.argsort(phrases.astype(str), kind="stable")
-    rank = np.empty(len(phrases), int)
-    rank[order] = np.arange(len(phrases))
-    for _ in range(min(top, len(phrases))):
+    free = np.ones(len(first), bool)
+    for _ in range(min(top, len(first))):
         score = relevance if not chosen else np.round((1 - diversity) * relevance - diversity * closest, 9)
         best_value = np.max(score[free])
-        ties = np.flatnonzero(free & (score == best_value))
-        pick = int(ties[np.argmin(rank[ties])])
+        pick = int(min(np.flatnonzero(free & (score == best_value)), key=phrase))
         chosen.append(pick)
         free[pick] = False
         vector = {first[pick]: w1[pick]}
         if second[pick] >= 0:
             vector[second[pick]] = vector.get(second[pick], 0.0) + w2[pick]
-        overlap = np.zeros(len(phrases))
+        overlap = np.zeros(len(first))
         for word, v in vector.items():
             overlap += v * (np.where(first == word, w1, 0.0) + np.where(second == word, w2, 0.0))
         closest = np.maximum(closest, overlap / (norm * norm[pick]))
-    return [str(phrases[i]) for i in chosen]
+    return [phrase(i) for i in chosen]
 
 
 def keyphrases(df: DataFrame, key: str, text: str, top: int = 5, diversity: float = 0.5) -> DataFrame:
     """The `top` phrases of every text, joined by ' | '.
 
-    Spark computes the document frequencies and brings each text's own words
-    and their weights together; only the greedy choice inside one text runs in
-    Python, on Arrow batches of whole rows.
+    Words are split once and staged. Spark computes the document frequencies
+    and brings each text's own words and their weights together; only the
+    greedy choice inside one text runs in Python, on Arrow batches of whole
+    rows whose words are numbered batch by batch.
     """
-    skip = F.array(*[F.lit(w) for w in stop_words()])
-    tokens = df.select(
-        key,
-        F.filter(tx.words(F.col(text)), lambda w: (F.length(w) >= 2) & ~F.array_contains(skip, w)).alias("_tokens"),
+    skip = stop_words()
+    tokens = materialize(
+        df.select(
+            key, F.filter(tx.words(F.col(text)), lambda w: (F.length(w) >= 2) & ~w.isin(skip)).alias("_tokens")
+        )
+    )
+    dealt = tokens.repartition(key)
+    own = dealt.select(key, F.explode(F.array_distinct("_tokens")).alias("word"))
+    rows = tokens.agg(F.count(F.lit(1)).cast("double")).scalar()
+    frequency = tokens.select(F.explode(F.array_distinct("_tokens")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("_rows", rows)
+    # Staged, so that a small vocabulary is sent to the tasks and a large one is joined by shuffle.
+    idf = materialize(
+        frequency.select("word", (F.log((F.col("_rows") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     )
-    own = tokens.select(key, F.explode(F.array_distinct("_tokens")).alias("word"))
-    rows = df.agg(F.count(F.lit(1)).cast("double")).scalar()
-    frequency = own.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("_rows", rows)
-    idf = frequency.select("word", (F.log((F.col("_rows") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     # A text holds each of its words once here, so the list is as long as its vocabulary.
-    weights = own.join(idf, "word").groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "idf"))).alias("_idf")
+    weights = own.join(idf, "word").groupBy(key).agg(F.collect_list(F.struct("word", "idf")).alias("_w"))
+    joined = dealt.join(weights, key, "left").select(
+        key, "_tokens", F.col("_w.word").alias("_words"), F.col("_w.idf").alias("_idf")
     )
 
-    @F.pandas_udf("string")
-    def choose(words: pd.Series, table: pd.Series) -> pd.Series:
-        out = []
-        for w, t in zip(words, table):
-            lookup = dict(t) if t is not None else {}
-            w = np.array([x for x in (w if w is not None else []) if x in lookup], dtype=object)
-            out.append(" | ".join(pick_phrases(w, np.array([lookup[x] for x in w]), top, diversity)))
-        return pd.Series(out)
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, words, idf = (batch.column(i) for i in (1, 2, 3))
+            coded = words.flatten().dictionary_encode()
+            order = pc.sort_indices(coded.dictionary)  # by UTF-8 bytes, which is by code point
+            names = coded.dictionary.take(order).to_pylist()
+            place = np.empty(len(names), np.int64)
+            place[order.to_numpy()] = np.arange(len(names))
+            weight = np.empty(len(names))
+            weight[place[coded.indices.to_numpy()]] = idf.flatten().to_numpy()
+            codes = place[pc.index_in(tokens.flatten(), value_set=coded.dictionary).to_numpy()]
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())
+            picked = [
+                " | ".join(pick_phrases(c, weight, names, top, diversity)) for c in np.split(codes, ends[:-1])
+            ] if len(ends) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(picked, pa.string())], [key, "keywords"])
 
-    return tokens.join(weights, key, "left").select(key, choose("_tokens", "_idf").alias("keywords"))
+    shape = StructType([tokens.schema[key], StructField("keywords", StringType())])
+    return joined.mapInArrow(choose, shape)
