@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tillsight.operators import cleaning, keyphrases, models, stats
+from tillsight.operators import cleaning, keyphrases, models, quality, stats
 from tillsight.plans import canonical as cn
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -59,3 +60,14 @@ def test_keyphrases_split_each_text_once_and_spell_out_ties_only(spark):
     names, idf = ["b", "c", "z"], np.array([1.0, 1.0, 1.0])
     assert keyphrases.pick_phrases(np.array([2, 0, 1]), idf, names, 1, 0.5) == ["b c"]
     assert keyphrases.pick_phrases(np.array([], np.int64), idf, names, 5, 0.5) == []
+
+
+def test_a_profile_compares_rows_in_more_tasks_as_they_grow(spark, monkeypatch):
+    lines = cn.transactions_raw(spark, SF_DIR)
+    expected = sorted(map(str, quality.table_profile(lines).collect()))
+    monkeypatch.setattr(cn, "ROWS_PER_TASK", 100)
+    tasks = cn.tasks_for(spark, 4321)
+    assert tasks == 44 and cn.tasks_for(spark, 100) is None
+    found = quality.table_profile(lines, tasks)
+    assert re.search(rf"hashpartitioning\(_d#\d+, {tasks}\)", found._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(str, found.collect())) == expected

@@ -36,8 +36,12 @@ def _long(one_row: DataFrame, names: Sequence[str], label: str, fields: Sequence
     return one_row.select(*keep, F.explode(items).alias("i")).select(*keep, "i.*")
 
 
-def table_profile(df: DataFrame) -> DataFrame:
-    """Rows, exact duplicates, distinct values and missing values per column."""
+def table_profile(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows, exact duplicates, distinct values and missing values per column.
+
+    `tasks`, if given, is the number of tasks that compare the rows, for tables with more
+    rows than the session's shuffle partitions can hold.
+    """
     columns = df.columns
     # Distinct counts come from (column, digest of the value) pairs grouped first, so
     # no task ever holds all values of a column, and no long text is a key.
@@ -54,7 +58,10 @@ def table_profile(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
         F.sum("n").alias("row_count"),
     )
-    repeated = df.groupBy(row_digest(columns).alias("_d")).agg((F.count(F.lit(1)) - 1).alias("extra"))
+    digests = df.select(row_digest(columns).alias("_d"))
+    if tasks is not None:
+        digests = digests.repartition(tasks, "_d")
+    repeated = digests.groupBy("_d").agg((F.count(F.lit(1)) - 1).alias("extra"))
     duplicates = repeated.agg(F.coalesce(F.sum("extra"), F.lit(0)).cast("bigint")).scalar()
     return per_column.select(
         "column_name",

@@ -67,14 +67,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_PER_TASK = 250_000
 
 
+def tasks_for(spark: SparkSession, rows: int, per_task: int | None = None) -> int | None:
+    """The number of tasks for so many rows, or None where adaptive execution may choose it."""
+    n = -(-rows // (per_task or ROWS_PER_TASK))
+    return n if n > spark.sparkContext.defaultParallelism else None
+
+
 def dealt(df: DataFrame, rows: int, *keys: str, per_task: int | None = None) -> DataFrame:
     """`df`, of about `rows` rows, dealt by its keys over tasks whose number grows with the rows.
 
     A small table is left to adaptive execution. A larger one is not, as that
     joins compressed pieces into one for each core, whatever the rows need in memory.
     """
-    n = -(-rows // (per_task or ROWS_PER_TASK))
-    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
+    n = tasks_for(df.sparkSession, rows, per_task)
+    return df.repartition(*keys) if n is None else df.repartition(n, *keys)
 
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:

@@ -319,7 +319,8 @@ _TX_COLUMNS = ["invoice", "stock_code", "description", "quantity", "invoice_date
     + ")",
 )
 def _(spark, sf_dir):
-    return quality.table_profile(cn.transactions_raw(spark, sf_dir))
+    lines = cn.table(spark, sf_dir, "lineitem").count()
+    return quality.table_profile(cn.transactions_raw(spark, sf_dir), cn.tasks_for(spark, lines))
 
 
 @query(
