@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections import Counter
@@ -10,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tillsight.operators import cleaning, keyphrases, models, quality, stats
+from tillsight.operators import boosting, cleaning, keyphrases, models, quality, stats
 from tillsight.plans import canonical as cn
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -71,3 +72,30 @@ def test_a_profile_compares_rows_in_more_tasks_as_they_grow(spark, monkeypatch):
     found = quality.table_profile(lines, tasks)
     assert re.search(rf"hashpartitioning\(_d#\d+, {tasks}\)", found._jdf.queryExecution().executedPlan().toString())
     assert sorted(map(str, found.collect())) == expected
+
+
+def test_boosted_labels_follow_the_entries_that_rows_hold(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        held = {int(f): float(rng.uniform(0.1, 1.0)) for f in rng.choice(np.arange(4, 40), 5, replace=False)}
+        held |= {i % 3: float(rng.uniform(0.3, 1.0))} | ({3: 0.9} if i % 3 == 1 else {3: 0.2} if i % 3 == 2 else {})
+        rows.append((Vectors.sparse(40, held), i % 3))
+    df = spark.createDataFrame(rows, ["features", "label"])
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    model = boosting.fit_boosted_labels(df, "label", 3, 2, 2)
+    # A step is one job for all labels, so three labels take no more jobs than one.
+    assert len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before) <= 16
+    assert model.transform(df).where("prediction = label").count() == 400
+    first = json.loads(model.getOrDefault("trees"))[0][0]
+    # The first tree of a label splits where that leaves the least variance, zero included.
+    y = np.array([1.0 if r[1] == 0 else -1.0 for r in rows])
+    x = np.array([r[0].toArray() for r in rows])
+
+    def left(f, t):
+        return sum(float(np.var(y[s]) * s.sum()) for s in (x[:, f] <= t, x[:, f] > t) if s.any())
+
+    best = min(left(f, t) for f in range(40) for t in np.unique(x[:, f]))
+    assert left(first[0][0], first[0][2]) == pytest.approx(best, abs=1e-9)

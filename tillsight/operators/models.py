@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import (
     CountVectorizerModel,
     ElementwiseProduct,
@@ -23,7 +23,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.operators import metrics, ranking
+from tillsight.operators import boosting, metrics, ranking
 from tillsight.sources.staging import materialize
 
 # The columns of the churn table.
@@ -157,18 +157,14 @@ def fit_star_linear(
     return PipelineModel(stages=[*tfidf.stages, model])
 
 
-#: Rows up to which stars are boosted side by side; a fit holds four bytes for each row and term in memory.
-ROWS_SIDE_BY_SIDE = 100_000
-
-
 def fit_star_boosted(
     tfidf: PipelineModel, train: DataFrame, rounds: int = 20, depth: int = 4, features: DataFrame | None = None
 ) -> PipelineModel:
+    """Boosted trees of each star rating against the others, grown side by side over the terms that rows hold."""
     features = staged_features(tfidf, train) if features is None else features
-    rows = features.select("features", (F.col("stars").cast("double") - 1.0).alias("label"))
-    boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=SEED)
-    side_by_side = 4 if features.count() <= ROWS_SIDE_BY_SIDE else 1
-    model = OneVsRest(classifier=boosted, parallelism=side_by_side).fit(rows)
+    rows = features.select("features", (F.col("stars") - 1).alias("label"))
+    stars = features.agg(F.max("stars")).first()[0]
+    model = boosting.fit_boosted_labels(rows, "label", stars, rounds, depth)
     shift = SQLTransformer(statement="SELECT *, prediction + 1.0D AS stars_predicted FROM __THIS__")
     return PipelineModel(stages=[*tfidf.stages, model, shift])
 
