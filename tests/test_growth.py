@@ -10,8 +10,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tillsight.operators import boosting, cleaning, keyphrases, models, quality, stats
+from tillsight.functions import text as tx
+from tillsight.operators import boosting, cleaning, keyphrases, models, quality, reviews, stats
 from tillsight.plans import canonical as cn
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -99,3 +101,39 @@ def test_boosted_labels_follow_the_entries_that_rows_hold(spark):
 
     best = min(left(f, t) for f in range(40) for t in np.unique(x[:, f]))
     assert left(first[0][0], first[0][2]) == pytest.approx(best, abs=1e-9)
+
+
+def test_words_meet_a_small_lexicon_where_they_are(spark, monkeypatch):
+    texts = ["Good, not a good day", "not good not x x x good", "... good", None, "", "x", "bad odd void good bad!", "not", "good"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(2)
+    lexicon = spark.createDataFrame(
+        [("good", 2.0), ("bad", -1.2345678), ("bad", 0.5), ("void", None), (None, 1.0), ("", 9.0)], "word string, valence double"
+    )
+    for negators in (["not", "odd", ""], []):
+        near = reviews.lexicon_sentiment(df, ["id"], "t", lexicon, negators)
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan  # no row for each word
+        with monkeypatch.context() as m:
+            m.setattr(reviews, "LEXICON_WORDS", 0)
+            joined = reviews.lexicon_sentiment(df, ["id"], "t", lexicon, negators)
+        assert "Join" in joined._jdf.queryExecution().optimizedPlan().toString()
+        got = dict(map(tuple, near.collect()))
+        assert got == dict(map(tuple, joined.collect()))
+        first = 2.0 + 2.0 * (reviews.NEGATION_FACTOR if negators else 1.0)
+        assert got[0] == first / math.sqrt(first * first + 15) and got[3] == got[4] == got[7] == 0.0
+
+
+def test_texts_are_split_once(spark):
+    df = spark.createDataFrame([(1, 5, " late parcel. rude staff!\u2003 ? \n"), (2, 4, None), (3, 3, " ")], "review_id int, stars int, full_text string")
+    found = reviews.aspect_mentions(df, {"delivery": ["parcel"], "staff": ["rude", "late"]})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("lower(") == 1
+    assert sorted((r.aspect, r.sentence) for r in found.collect()) == [
+        ("delivery", "late parcel."), ("staff", "late parcel."), ("staff", "rude staff!")
+    ]
+    assert [r[0] for r in df.orderBy("review_id").select(tx.sentences(F.col("full_text"))).collect()] == [
+        ["late parcel.", "rude staff!", "?"], None, []
+    ]
+    keywords = cn.keywords_of(df.withColumnRenamed("full_text", "review"))
+    assert keywords._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [tuple(r) for r in keywords.collect()] == [(1, 5, "late | parcel | rude | staff")]

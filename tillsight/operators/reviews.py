@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ NEGATION_FACTOR = -0.74
 NEGATION_REACH = 3
 COMPOUND_ALPHA = 15.0
 NEUTRAL_BAND = 0.05
+#: Words of a lexicon that is sent to all tasks; the words of texts meet a larger one in a join.
+LEXICON_WORDS = 100_000
+#: Valences are summed in millionths.
+UNITS = 1_000_000
 
 # A scorer takes distinct texts (with their digest) and adds integer `predicted_stars`.
 Scorer = Callable[[DataFrame, str], DataFrame]
@@ -59,27 +66,67 @@ def lexicon_sentiment(
     """key and the compound score in [-1, 1] of every row, from a word-valence table.
 
     A valence is flipped and damped when one of the three words before it is a
-    negator. Every word looks its valence up (a small table is sent to all
-    tasks; against a large one hot words can be split, as its words are unique),
-    and one aggregate per key sums up.
+    negator. A small lexicon is sent to all tasks, which look up the words of
+    a text where they are; only a text's sum leaves its task. Words meet a
+    larger lexicon in a join. One aggregate per key sums up.
     """
-    w = tx.words(F.col(text))
+    damped = F.col("valence") * NEGATION_FACTOR
+    units = lexicon.select("word", *[(x * 1.0).cast("decimal(18,6)").alias(c) for c, x in (("plain", F.col("valence")), ("negated", damped))])
+    known = units.where("word is not null").limit(LEXICON_WORDS + 1).collect()
+    if len(known) <= LEXICON_WORDS:
+        total = _summed_units(known, negators)(tx.word_pieces(F.col(text)))
+        totals = df.select(*key, total.alias("_u")).groupBy(*key).agg((F.sum("_u") / float(UNITS)).alias("_s"))
+    else:
+        totals = _joined_sums(df.select(*key, tx.words(F.col(text)).alias("_w")), key, units, negators)
+    s = F.col("_s")
+    return totals.select(*key, (s / F.sqrt(s * s + COMPOUND_ALPHA)).alias(name))
+
+
+def _summed_units(known, negators: Sequence[str]):
+    """A function of lists of `word_pieces`: the sum of the valences of their words, in millionths."""
+    found: dict[str, list[int]] = {}
+    for r in known:
+        sums = found.setdefault(r.word, [0, 0])
+        for i, x in enumerate((r.plain, r.negated)):
+            sums[i] += 0 if x is None else int(x * UNITS)
+    # Text that begins with a separator has an empty piece, which is no word.
+    found.pop("", None)
+    names, before = list(found), [n for n in negators if n != ""]
+    values = np.array([*found.values()], np.int64).reshape(-1, 2)
+
+    @F.arrow_udf("bigint")
+    def summed(lists: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        words = lists.flatten()
+        place = pc.fill_null(pc.index_in(words, value_set=pa.array(names, words.type)), -1).to_numpy()
+        stop = pc.is_in(words, value_set=pa.array(before, words.type)).to_numpy(zero_copy_only=False)
+        hits = np.flatnonzero(place >= 0)
+        starts = np.concatenate([[0], ends])[np.searchsorted(ends, hits, side="right")]
+        negated = np.zeros(len(hits), bool)
+        for back in range(1, NEGATION_REACH + 1):
+            negated |= (hits - back >= starts) & stop[hits - back]
+        running = np.concatenate([[0], np.cumsum(values[place[hits], negated.astype(int)])])
+        upto = running[np.searchsorted(hits, ends)]
+        return pa.array(np.diff(upto, prepend=0), pa.int64())
+
+    return summed
+
+
+def _joined_sums(words: DataFrame, key: Sequence[str], units: DataFrame, negators: Sequence[str]) -> DataFrame:
+    """Sums of valences by key from a row for each word, for a lexicon of any size."""
     stop = F.array(*[F.lit(n) for n in negators]) if negators else F.array().cast("array<string>")
 
     def mark(word: Column, i: Column) -> Column:
         before = F.slice(F.col("_w"), F.greatest(F.lit(1), i - (NEGATION_REACH - 1)), F.least(i, F.lit(NEGATION_REACH)))
         return F.struct(word.alias("word"), F.arrays_overlap(before, stop).alias("negated"))
 
-    marked = df.select(*key, w.alias("_w")).select(*key, F.explode_outer(F.transform("_w", mark)).alias("m"))
-    factor = F.when(F.col("m.negated"), NEGATION_FACTOR).otherwise(1.0)
-    weight = (F.col("valence") * factor).cast("decimal(18,6)")
-    totals = (
-        marked.join(lexicon, F.col("m.word") == F.col("word"), "left")
+    marked = words.select(*key, F.explode_outer(F.transform("_w", mark)).alias("m"))
+    weight = F.when(F.col("m.negated"), F.col("negated")).otherwise(F.col("plain"))
+    return (
+        marked.join(units, F.col("m.word") == F.col("word"), "left")
         .groupBy(*key)
         .agg(F.coalesce(F.sum(weight).cast("double"), F.lit(0.0)).alias("_s"))
     )
-    s = F.col("_s")
-    return totals.select(*key, (s / F.sqrt(s * s + COMPOUND_ALPHA)).alias(name))
 
 
 def score_distinct(df: DataFrame, text: str, scorer: Scorer) -> DataFrame:
@@ -89,7 +136,8 @@ def score_distinct(df: DataFrame, text: str, scorer: Scorer) -> DataFrame:
     grouped nor joined on.
     """
     keyed = df.withColumn("_digest", F.sha2(text, 256))
-    distinct = keyed.groupBy("_digest").agg(F.any_value(text).alias(text))
+    # Both as keys: rows are hashed, where picking any text of a digest would sort them.
+    distinct = keyed.select("_digest", text).distinct()
     scored = scorer(distinct, text)
     return keyed.join(scored.select("_digest", "predicted_stars"), "_digest", "left").drop("_digest")
 
@@ -105,12 +153,12 @@ def lexicon_star_scorer(lexicon: DataFrame, negators: Sequence[str]) -> Scorer:
     return score
 
 
-def aspect_mentions(df: DataFrame, aspects: dict[str, Sequence[str]], keep: Sequence[str] = ("review_id", "stars")) -> DataFrame:
-    """One row per sentence and aspect whose vocabulary the sentence contains.
+def aspect_sentences(df: DataFrame, aspects: dict[str, Sequence[str]], keep: Sequence[str] = ("review_id", "stars")) -> DataFrame:
+    """One row per sentence, with the aspects whose vocabulary occurs in it.
 
     The vocabulary is part of the expression: one flag per aspect, no join.
     """
-    lowered = F.lower(F.col("sentence"))
+    lowered = F.col("_lowered")
 
     def names(aspect: str, keywords: Sequence[str]) -> Column:
         found = F.lit(False)
@@ -118,9 +166,20 @@ def aspect_mentions(df: DataFrame, aspects: dict[str, Sequence[str]], keep: Sequ
             found = found | lowered.contains(k)
         return F.when(found, F.lit(aspect))
 
-    pieces = df.select(*keep, F.explode(tx.sentences(F.col("full_text"))).alias("sentence"))
+    pieces = tx.exploded(df, tx.sentences(F.col("full_text")), "sentence", *keep)
     hits = F.array_compact(F.array(*[names(a, k) for a, k in aspects.items()]))
-    return pieces.select(*keep, F.explode(hits).alias("aspect"), "sentence")
+    return pieces.select(*keep, "sentence", F.lower("sentence").alias("_lowered")).select(*keep, "sentence", hits.alias("aspects"))
+
+
+def by_aspect(sentences: DataFrame) -> DataFrame:
+    """Rows of `aspect_sentences`, each once for every aspect of its sentence."""
+    others = [c for c in sentences.columns if c != "aspects"]
+    return tx.exploded(sentences, F.col("aspects"), "aspect", *others)
+
+
+def aspect_mentions(df: DataFrame, aspects: dict[str, Sequence[str]], keep: Sequence[str] = ("review_id", "stars")) -> DataFrame:
+    """One row per sentence and aspect whose vocabulary the sentence contains."""
+    return by_aspect(aspect_sentences(df, aspects, keep)).select(*keep, "aspect", "sentence")
 
 
 def score_sentences(mentions: DataFrame, scorer: Scorer) -> DataFrame:

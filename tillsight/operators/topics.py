@@ -48,7 +48,7 @@ def cluster(
 
 def topic_words(df: DataFrame, topic: str, text: str, top: int = 4) -> DataFrame:
     """Highest class-TF-IDF words: tf * ln(1 + mean words per topic / word total)."""
-    words = df.select(topic, F.explode(tx.words(F.col(text))).alias("word"))
+    words = tx.exploded(df, tx.words(F.col(text)), "word", topic)
     tf = materialize(words.groupBy(topic, "word").agg(F.count(F.lit(1)).alias("tf")))
     total = tf.groupBy("word").agg(F.sum("tf").alias("f"))
     mean_words = tf.agg(F.sum("tf") / F.countDistinct(topic)).scalar()

@@ -295,10 +295,8 @@ def keyword_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keywords_of(rows: DataFrame) -> DataFrame:
     """Keyword strings in stored form: five distinct words joined by ' | '."""
-    long_words = F.filter(tx.words(F.col("review")), lambda w: F.length(w) >= 4)
+    long_words = F.filter(tx.word_pieces(F.col("review")), lambda w: F.length(w) >= 4)
     five = F.slice(F.sort_array(F.array_distinct(long_words)), 1, 5)
-    return (
-        rows.select("review_id", "stars", five.alias("five"))
-        .where(F.size("five") > 0)
-        .select("review_id", "stars", F.array_join("five", " | ").alias("keywords"))
-    )
+    # A condition on the five words would split every text twice.
+    some = F.lower("review").rlike(r"[\p{L}\p{N}]{4}")
+    return rows.where(some).select("review_id", "stars", F.array_join(five, " | ").alias("keywords"))

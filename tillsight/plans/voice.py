@@ -235,7 +235,10 @@ def mentions(rows):
 
 
 def scored_mentions(spark, rows):
-    return reviews.score_sentences(materialize(mentions(rows)), scorer(spark))
+    """Sentences are staged and scored once, whatever number of aspects they mention."""
+    found = materialize(reviews.aspect_sentences(rows, cn.ASPECTS)).where(F.size("aspects") > 0)
+    scored = reviews.by_aspect(reviews.score_sentences(found, scorer(spark)))
+    return scored.select("review_id", "stars", "aspect", "sentence", "predicted_stars")
 
 
 @query(
