@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillsight.functions import text as tx
-from tillsight.operators import boosting, cleaning, keyphrases, models, quality, reviews, stats
+from tillsight.operators import boosting, cleaning, customers, keyphrases, models, quality, reviews, stats
 from tillsight.plans import canonical as cn
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -30,6 +30,25 @@ def test_order_lines_are_dealt_over_more_tasks_as_they_grow(spark, monkeypatch):
     assert sorted(map(str, distinct.collect())) == expected
 
 
+def test_churn_features_count_invoices_where_the_lines_are(spark):
+    rows = [
+        (1, "a", "2020-01-01", 1.5, False), (1, "a", "2020-01-03", 2.25, False), (1, "b", "2020-02-01", -1.0, True),
+        (1, "c", "2020-06-01", 9.0, True), (1, None, "2020-01-02", 0.5, False), (1, "d", None, 7.0, True),
+        (2, "e", "2020-01-31", 4.0, False), (2, "e", "2020-05-01", 8.0, False), (3, "f", "2020-07-01", 1.0, False),
+        (4, "g", "2020-03-01", 3.0, None),
+    ]
+    lines = spark.createDataFrame(
+        rows, "customer_id bigint, invoice string, invoice_date string, line_value double, is_cancellation boolean"
+    )
+    found = customers.churn_features(lines.repartition(20, "invoice"), "2020-05-01")
+    # The lines stay dealt by invoice; only what is left of an invoice is shuffled by customer.
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert sorted(re.sub(r"#\d+L?", "", s) for s in shuffles) == ["customer_id, 8", "invoice, 20"]
+    assert sorted(map(tuple, found.collect())) == [
+        (1, 121, 90, 2, 3.25, 1.63, True, 0), (2, 91, 91, 1, 4.0, 4.0, False, 0), (4, 61, 61, 1, 3.0, 3.0, None, 1)
+    ]
+
+
 def test_every_row_is_drawn_in_every_replicate(spark):
     rows = [(i, float((i * 37) % 101), i % 3 == 0) for i in range(150)]
     df = spark.createDataFrame(rows, "k int, v double, f boolean")

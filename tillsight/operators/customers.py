@@ -99,15 +99,25 @@ def churn_features(customer_lines: DataFrame, cutoff: str) -> DataFrame:
     def earlier(c: Column) -> Column:
         return F.when(before, c)
 
+    # Invoices are summed up first: lines dealt by invoice stay in their tasks, as they
+    # would not for distinct values of an expression over the invoice.
+    per_invoice = customer_lines.groupBy("customer_id", "invoice").agg(
+        F.min(earlier(day())).alias("first_day"),
+        F.max(earlier(day())).alias("last_day"),
+        F.bool_or(before).alias("_before"),
+        F.sum(earlier(F.col("line_value")).cast("decimal(18,4)")).alias("monetary"),
+        F.bool_or(earlier(F.col("is_cancellation"))).alias("has_returned"),
+        F.bool_or(~before).alias("_active"),
+    )
     flagged = (
-        customer_lines.groupBy("customer_id")
+        per_invoice.groupBy("customer_id")
         .agg(
-            F.min(earlier(day())).alias("first_day"),
-            F.max(earlier(day())).alias("last_day"),
-            F.countDistinct(earlier(F.col("invoice"))).alias("frequency"),
-            exact_sum(earlier(F.col("line_value"))).alias("monetary"),
-            F.bool_or(earlier(F.col("is_cancellation"))).alias("has_returned"),
-            F.bool_or(day() >= at).alias("_active"),
+            F.min("first_day").alias("first_day"),
+            F.max("last_day").alias("last_day"),
+            F.count_if(F.col("_before") & F.col("invoice").isNotNull()).alias("frequency"),
+            F.sum("monetary").cast("double").alias("monetary"),
+            F.bool_or("has_returned").alias("has_returned"),
+            F.bool_or("_active").alias("_active"),
         )
         .where(F.col("first_day").isNotNull())
     )
