@@ -181,7 +181,10 @@ def frequent_members(docs: DataFrame, text_col: str, plan: Plan) -> np.ndarray:
 
     counted = docs.select(text_col).mapInArrow(emit, "member long").groupBy("member").agg(F.count("*").alias("n"))
     often = counted.where(F.col("n") >= OFTEN).orderBy(F.col("n").desc(), "member").limit(FREQUENT)
-    return np.sort(np.array([r.member for r in often.select("member").collect()], np.int64).view(_U))
+    staged = materialize(often.select("member"))  # so that what was counted goes from the disk
+    found = np.sort(np.array([r.member for r in staged.collect()], np.int64).view(_U))
+    discard(staged)
+    return found
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:

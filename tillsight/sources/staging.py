@@ -28,6 +28,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 #: Bytes of a batch that a staged step hands to Python, so that a worker holds few long texts at a time.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+#: Removes the shuffle files of a query when it has ended; else they stay until the driver collects its garbage.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -40,17 +42,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
     Used where an operator reads its input several times or loops over it. The
     copy survives the loss of executors, cuts the lineage, and gives the
-    optimizer real sizes to choose joins by. Staged folders are reclaimed with
-    the shared checkpoint folder (see `clear_staged`).
+    optimizer real sizes to choose joins by. The step's shuffle files go at once.
+    Staged folders are reclaimed with the shared checkpoint folder (see `clear_staged`).
     """
     spark = df.sparkSession
     path = new_folder(spark)
-    before = spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    wanted = {BATCH_SETTING: BATCH_BYTES, CLEANUP_SETTING: "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(BATCH_SETTING, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
