@@ -6,8 +6,12 @@ from pathlib import Path
 
 import corpus_pipeline
 from pyspark.sql import functions as F
+from tillsight.operators import cleaning, keyphrases
+from tillsight.plans import canonical as cn
 from tillsight.sources import staging
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 def shuffle_files(spark) -> set[str]:
     blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
@@ -44,3 +48,30 @@ def test_the_pipeline_keeps_the_documents_of_one_stage(spark, tmp_path, monkeypa
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 9
     assert len(staged_folders(spark) - before) == 1
     assert spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 10
+
+
+def test_keyphrases_leave_texts_where_they_are(spark, monkeypatch):
+    texts = ["late parcel late box", "great shop great price", "box late price", None, "", "only late here", "shop here box"]
+    keys = [1, 1, 2, 3, 4, None, 6]
+    df = spark.createDataFrame(list(zip(keys, texts)), "id int, t string")
+    found = keyphrases.keyphrases(df, "id", "t")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(str, found.collect()))
+    assert len(want) == 7 and not any("None)" in r for r in want)
+    for few in (0, 1, 2):  # the other words meet their weights in a join
+        monkeypatch.setattr(keyphrases, "COMMON_WORDS", few)
+        assert sorted(map(str, keyphrases.keyphrases(df, "id", "t").collect())) == want
+
+
+def test_reviews_shuffle_their_texts_once(spark):
+    plan = cn.reviews(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [x for x in plan.split("RepartitionByExpression")[1:]]
+    assert len(dealt) == 1
+
+
+def test_copies_are_found_by_stand_ins(spark):
+    rows = [(1, "a", None), (2, "a", None), (3, "a", "x"), (2, "b", "x"), (4, "b", "x"), (None, "c", "c"), (5, None, "a")]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    short = df.withColumn("a", F.sha2("a", 256))
+    want, got = (cleaning.first_of_copies(df, "k", ["a", "b"], s) for s in (None, short))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -149,10 +149,14 @@ def row_digest(columns) -> Column:
     return F.sha2(F.to_json(values), 256)
 
 
-def first_of_copies(df: DataFrame, key: str, content) -> DataFrame:
-    """Of rows with the same content the one with the smallest key."""
+def first_of_copies(df: DataFrame, key: str, content, short: DataFrame | None = None) -> DataFrame:
+    """Of rows with the same content the one with the smallest key.
+
+    `short` may hold the same rows with digests in place of long values, which are equal where those are.
+    """
     digest = row_digest(content)
-    first = df.groupBy(digest.alias("_d")).agg(F.min(key).alias("_key")).select("_key")
+    rows = df if short is None else short
+    first = rows.groupBy(digest.alias("_d")).agg(F.min(key).alias("_key")).select("_key")
     return df.join(first, F.col(key) == F.col("_key"), "left_semi")
 
 

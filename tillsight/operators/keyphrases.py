@@ -67,13 +67,19 @@ def pick_phrases(codes: np.ndarray, idf: np.ndarray, names: list[str], top: int,
     return [phrase(i) for i in chosen]
 
 
+#: Words that are sent to all tasks with their weights, the most frequent ones; rarer words meet theirs in a join.
+COMMON_WORDS = 500_000
+
+
 def keyphrases(df: DataFrame, key: str, text: str, top: int = 5, diversity: float = 0.5) -> DataFrame:
     """The `top` phrases of every text, joined by ' | '.
 
-    Words are split once and staged. Spark computes the document frequencies
-    and brings each text's own words and their weights together; only the
-    greedy choice inside one text runs in Python, on Arrow batches of whole
-    rows whose words are numbered batch by batch.
+    Words are split once and staged. Spark computes the document frequencies;
+    weights of the most frequent words are sent to the tasks, those of other
+    words of several texts are joined, a word of one text has the largest
+    weight. So texts stay where they are, unless there are more words. Only the
+    greedy choice inside one text runs in Python, on Arrow batches of whole rows
+    whose words are numbered batch by batch.
     """
     skip = stop_words()
     tokens = materialize(
@@ -81,32 +87,33 @@ def keyphrases(df: DataFrame, key: str, text: str, top: int = 5, diversity: floa
             key, F.filter(tx.words(F.col(text)), lambda w: (F.length(w) >= 2) & ~w.isin(skip)).alias("_tokens")
         )
     )
-    dealt = tokens.repartition(key)
-    own = dealt.select(key, F.explode(F.array_distinct("_tokens")).alias("word"))
-    rows = tokens.agg(F.count(F.lit(1)).cast("double")).scalar()
-    frequency = tokens.select(F.explode(F.array_distinct("_tokens")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("_rows", rows)
-    # Staged, so that a small vocabulary is sent to the tasks and a large one is joined by shuffle.
-    idf = materialize(
-        frequency.select("word", (F.log((F.col("_rows") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    )
-    # A text holds each of its words once here, so the list is as long as its vocabulary.
-    weights = own.join(idf, "word").groupBy(key).agg(F.collect_list(F.struct("word", "idf")).alias("_w"))
-    joined = dealt.join(weights, key, "left").select(
-        key, "_tokens", F.col("_w.word").alias("_words"), F.col("_w.idf").alias("_idf")
-    )
+    texts = float(tokens.count())
+    weight = F.log((F.lit(texts) + 1.0) / (F.col("df") + 1.0)) + 1.0
+    frequency = tokens.select(F.explode(F.array_distinct("_tokens")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    idf = materialize(frequency.where("df > 1").select("word", "df", weight.alias("idf")))
+    largest = df.sparkSession.range(1, 2).select(F.col("id").alias("df")).select(weight).first()[0]
+    # Bounded: at most COMMON_WORDS short rows.
+    common = idf.orderBy(F.col("df").desc(), "word").limit(COMMON_WORDS).select("word", "idf").toArrow()
+    known, weights = pa.array(common["word"].to_pylist(), pa.string()), common["idf"].to_numpy()
+    joined = tokens
+    if idf.count() > len(known):
+        joined = _with_rare_words(tokens, key, known, idf)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, words, idf = (batch.column(i) for i in (1, 2, 3))
-            coded = words.flatten().dictionary_encode()
-            order = pc.sort_indices(coded.dictionary)  # by UTF-8 bytes, which is by code point
-            names = coded.dictionary.take(order).to_pylist()
-            place = np.empty(len(names), np.int64)
-            place[order.to_numpy()] = np.arange(len(names))
-            weight = np.empty(len(names))
-            weight[place[coded.indices.to_numpy()]] = idf.flatten().to_numpy()
-            codes = place[pc.index_in(tokens.flatten(), value_set=coded.dictionary).to_numpy()]
+            tokens = batch.column(1)
+            coded = tokens.flatten().dictionary_encode()
+            words = coded.dictionary.take(pc.sort_indices(coded.dictionary))  # by UTF-8 bytes, which is by code point
+            codes = pc.index_in(coded.dictionary, value_set=words).to_numpy()[coded.indices.to_numpy()]
+            weight = np.full(len(words), largest)
+            sides = [(known, weights)]
+            if batch.num_columns > 2:
+                sides.append((batch.column(2).flatten(), batch.column(3).flatten().to_numpy()))
+            for names, values in sides:
+                at = pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy()
+                weight[at >= 0] = values[at[at >= 0]]
             ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy())
+            names = words.to_pylist()
             picked = [
                 " | ".join(pick_phrases(c, weight, names, top, diversity)) for c in np.split(codes, ends[:-1])
             ] if len(ends) else []
@@ -114,3 +121,22 @@ def keyphrases(df: DataFrame, key: str, text: str, top: int = 5, diversity: floa
 
     shape = StructType([tokens.schema[key], StructField("keywords", StringType())])
     return joined.mapInArrow(choose, shape)
+
+
+def _with_rare_words(tokens: DataFrame, key: str, known: pa.StringArray, idf: DataFrame) -> DataFrame:
+    """The rows with lists of their words that are not in `known` but in `idf`, and of their weights."""
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            words = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            other = np.flatnonzero(~pc.is_in(words, value_set=known).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[other])), words.take(pa.array(other))], ["_key", "word"])
+
+    shape = StructType([StructField("_key", tokens.schema[key].dataType), StructField("word", StringType())])
+    pairs = tokens.mapInArrow(rare, shape).join(idf.select("word", "idf"), "word")
+    found = pairs.groupBy("_key").agg(F.collect_set(F.struct("word", "idf")).alias("_w"))
+    none = F.array().cast("array<struct<word: string, idf: double>>")
+    listed = tokens.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_w", F.coalesce("_w", none))
+    return listed.select(key, "_tokens", F.col("_w.word").alias("_words"), F.col("_w.idf").alias("_idf"))

@@ -144,7 +144,20 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_table(spark, sf_dir, "documents", "doc_id", "doc_id", "text", "lang", "source")
-    labels = table(spark, sf_dir, "labels")
+    return _labelled(docs.withColumn("text", _review_text()), table(spark, sf_dir, "labels"))
+
+
+def _review_text() -> Column:
+    i = F.col("doc_id")
+    return (
+        F.when(i % 211 == 3, "...........")
+        .when(i % 223 == 5, ONLY_DIGITS)
+        .when(i % 227 == 7, FOREIGN)
+        .otherwise(F.col("text"))
+    )
+
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     i = F.col("doc_id")
     stars = (
         F.when(F.col("quality").isNull(), 1 + i % 5)
@@ -158,11 +171,7 @@ def reviews_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("company"),
         F.concat(F.lit("profile "), "source").alias("description"),
         F.concat(F.lit("Review of "), "source").alias("title"),
-        F.when(i % 211 == 3, "...........")
-        .when(i % 223 == 5, ONLY_DIGITS)
-        .when(i % 227 == 7, FOREIGN)
-        .otherwise(F.col("text"))
-        .alias("review"),
+        F.col("text").alias("review"),
         stars.cast("int").alias("stars"),
     )
 
@@ -172,10 +181,16 @@ def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loaded reviews: of exact copies the first stays, junk removed."""
+    """Loaded reviews: of exact copies the first stays, junk removed.
+
+    Copies are found by digests of the texts, taken where the table is read, so
+    that texts are shuffled once.
+    """
     keyed = reviews_keyed(spark, sf_dir)
     content = [c for c in keyed.columns if c != "review_id"]
-    return cleaning.drop_junk_reviews(cleaning.first_of_copies(keyed, "review_id", content))
+    source = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    short = _labelled(source.withColumn("text", F.sha2(_review_text(), 256)), table(spark, sf_dir, "labels"))
+    return cleaning.drop_junk_reviews(cleaning.first_of_copies(keyed, "review_id", content, short))
 
 
 def reviews_text(spark: SparkSession, sf_dir: str) -> DataFrame:
