@@ -6,8 +6,9 @@ from pathlib import Path
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from tillsight.operators import cleaning, keyphrases
+from tillsight.operators import cleaning, keyphrases, reviews
 from tillsight.plans import canonical as cn
+from tillsight.plans import voice
 from tillsight.sources import staging
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -75,3 +76,25 @@ def test_copies_are_found_by_stand_ins(spark):
     short = df.withColumn("a", F.sha2("a", 256))
     want, got = (cleaning.first_of_copies(df, "k", ["a", "b"], s) for s in (None, short))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_sentences_are_scored_where_they_are(spark, monkeypatch):
+    texts = ["the good parcel", "not the good parcel", None, "", "the good parcel", "bad, bad."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    words = reviews.lexicon_table(spark, {"good": 2.5, "bad": -3.0, "the": 0.1})
+    found = reviews.score_distinct(df, "t", reviews.lexicon_star_scorer(words, ["not"]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    monkeypatch.setattr(reviews, "LEXICON_WORDS", 1)  # a lexicon that meets distinct texts in a join
+    joined = reviews.score_distinct(df, "t", reviews.lexicon_star_scorer(words, ["not"]))
+    assert "Join" in joined._jdf.queryExecution().executedPlan().toString()
+    assert found.schema["predicted_stars"].dataType == joined.schema["predicted_stars"].dataType
+    assert sorted(map(str, found.collect())) == sorted(map(str, joined.collect()))
+
+
+def test_staged_reviews_hold_their_text_once(spark):
+    rows = voice.staged_reviews(spark, SF_DIR)
+    stored = spark.read.parquet(*rows.inputFiles())
+    assert "full_text" not in stored.columns and "full_text" in rows.columns
+    want = cn.reviews_text(spark, SF_DIR).select("review_id", "full_text").collect()
+    assert sorted(rows.select("review_id", "full_text").collect()) == sorted(want)

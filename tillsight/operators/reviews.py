@@ -70,16 +70,30 @@ def lexicon_sentiment(
     a text where they are; only a text's sum leaves its task. Words meet a
     larger lexicon in a join. One aggregate per key sums up.
     """
-    damped = F.col("valence") * NEGATION_FACTOR
-    units = lexicon.select("word", *[(x * 1.0).cast("decimal(18,6)").alias(c) for c, x in (("plain", F.col("valence")), ("negated", damped))])
-    known = units.where("word is not null").limit(LEXICON_WORDS + 1).collect()
-    if len(known) <= LEXICON_WORDS:
+    units = _units(lexicon)
+    known = _bounded(units)
+    if known is not None:
         total = _summed_units(known, negators)(tx.word_pieces(F.col(text)))
         totals = df.select(*key, total.alias("_u")).groupBy(*key).agg((F.sum("_u") / float(UNITS)).alias("_s"))
     else:
         totals = _joined_sums(df.select(*key, tx.words(F.col(text)).alias("_w")), key, units, negators)
-    s = F.col("_s")
-    return totals.select(*key, (s / F.sqrt(s * s + COMPOUND_ALPHA)).alias(name))
+    return totals.select(*key, _compound(F.col("_s")).alias(name))
+
+
+def _compound(s: Column) -> Column:
+    return s / F.sqrt(s * s + COMPOUND_ALPHA)
+
+
+def _units(lexicon: DataFrame) -> DataFrame:
+    """word, and its valence alone and after a negator."""
+    damped = F.col("valence") * NEGATION_FACTOR
+    return lexicon.select("word", *[(x * 1.0).cast("decimal(18,6)").alias(c) for c, x in (("plain", F.col("valence")), ("negated", damped))])
+
+
+def _bounded(units: DataFrame) -> list | None:
+    """The rows of a lexicon of at most LEXICON_WORDS words."""
+    known = units.where("word is not null").limit(LEXICON_WORDS + 1).collect()
+    return known if len(known) <= LEXICON_WORDS else None
 
 
 def _summed_units(known, negators: Sequence[str]):
@@ -133,8 +147,13 @@ def score_distinct(df: DataFrame, text: str, scorer: Scorer) -> DataFrame:
     """Score every distinct text once and attach the stars to all its rows.
 
     Texts meet their scores by a 256-bit digest, so long texts are neither
-    grouped nor joined on.
+    grouped nor joined on. A scorer with an attribute `stars_of`, an expression
+    over the text, scores texts where they are, as that costs less than
+    bringing equal texts together.
     """
+    stars_of = getattr(scorer, "stars_of", None)
+    if stars_of is not None:
+        return df.withColumn("predicted_stars", F.when(F.col(text).isNotNull(), stars_of(F.col(text))))
     keyed = df.withColumn("_digest", F.sha2(text, 256))
     # Both as keys: rows are hashed, where picking any text of a digest would sort them.
     distinct = keyed.select("_digest", text).distinct()
@@ -143,13 +162,19 @@ def score_distinct(df: DataFrame, text: str, scorer: Scorer) -> DataFrame:
 
 
 def lexicon_star_scorer(lexicon: DataFrame, negators: Sequence[str]) -> Scorer:
-    """Stars 1-5 from fifths of the compound range."""
+    """Stars 1-5 from fifths of the compound range; a small lexicon needs no join, and scores texts where they are."""
+
+    def stars(compound: Column) -> Column:
+        return 1 + F.least(F.floor((compound + 1.0) * 2.5), F.lit(4)).cast("int")
 
     def score(df: DataFrame, text: str) -> DataFrame:
         scored = lexicon_sentiment(df, ["_digest"], text, lexicon, negators, "_compound")
-        stars = 1 + F.least(F.floor((F.col("_compound") + 1.0) * 2.5), F.lit(4)).cast("int")
-        return scored.withColumn("predicted_stars", stars).drop("_compound")
+        return scored.withColumn("predicted_stars", stars(F.col("_compound"))).drop("_compound")
 
+    known = _bounded(_units(lexicon))
+    if known is not None:
+        summed = _summed_units(known, negators)
+        score.stars_of = lambda text: stars(_compound(summed(tx.word_pieces(text)) / float(UNITS)))
     return score
 
 

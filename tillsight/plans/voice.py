@@ -171,8 +171,11 @@ cs.view(
 
 
 def staged_reviews(spark, sf_dir):
-    """Cleaned reviews with their text, written once for all parts of a query that read them."""
-    return materialize(cn.reviews_text(spark, sf_dir))
+    """Cleaned reviews with their text, written once for all parts of a query that read them.
+
+    The full text, of title and review, is put together again by whatever reads it.
+    """
+    return cn.with_full_text(materialize(cn.reviews(spark, sf_dir)))
 
 
 def sentiment_table(spark, rows):
@@ -235,9 +238,12 @@ def mentions(rows):
 
 
 def scored_mentions(spark, rows):
-    """Sentences are staged and scored once, whatever number of aspects they mention."""
-    found = materialize(reviews.aspect_sentences(rows, cn.ASPECTS)).where(F.size("aspects") > 0)
-    scored = reviews.by_aspect(reviews.score_sentences(found, scorer(spark)))
+    """Sentences are scored once, whatever number of aspects they mention."""
+    stars = scorer(spark)
+    found = reviews.aspect_sentences(rows, cn.ASPECTS)
+    if not hasattr(stars, "stars_of"):  # read twice: for the distinct sentences and for all
+        found = materialize(found).where(F.size("aspects") > 0)
+    scored = reviews.by_aspect(reviews.score_sentences(found, stars))
     return scored.select("review_id", "stars", "aspect", "sentence", "predicted_stars")
 
 
