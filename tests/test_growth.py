@@ -156,3 +156,28 @@ def test_texts_are_split_once(spark):
     keywords = cn.keywords_of(df.withColumnRenamed("full_text", "review"))
     assert keywords._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert [tuple(r) for r in keywords.collect()] == [(1, 5, "late | parcel | rude | staff")]
+
+
+def test_pairs_are_counted_for_frequent_words_only(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [[f"w{min(int(z), 60)}" for z in rng.zipf(1.3, n)] for n in rng.integers(0, 40, 200)] + [[], None, ["rare", "once"]]
+    rows = spark.createDataFrame([(t,) for t in texts], "_terms array<string>").repartition(3)
+    n, n_rows = Counter(), Counter()
+    for t in texts:
+        held = [*(t or []), *(" ".join(p) for p in zip(t or [], (t or [])[1:]))]
+        n.update(held)
+        n_rows.update(set(held))
+    plain = models._counted_pairs
+    for terms in (1, 25, 10_000):
+        want = [(w, n[w], n_rows[w]) for w in sorted(n, key=lambda w: (-n[w], w))[:terms]]
+        seen = []
+        monkeypatch.setattr(models, "_counted_pairs", lambda r, known: seen.append(known) or plain(r, known))
+        monkeypatch.setattr(models, "COUNTED_ENTRIES", 50)
+        got = models.term_frequencies(rows, terms, pairs=True).select("term", "n", "n_rows").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+        assert len(seen[0]) == {1: 1, 25: 25}.get(terms, len({w for t in texts for w in t or []})) or terms == 25
+        assert ("rare" in seen[0]) == (terms == 10_000)
+    monkeypatch.setattr(models, "FREQUENT_WORDS", 3)
+    assert sorted(map(tuple, models.term_frequencies(rows, 25, pairs=True).select("term", "n", "n_rows").collect())) == sorted(
+        (w, n[w], n_rows[w]) for w in sorted(n, key=lambda w: (-n[w], w))[:25]
+    )

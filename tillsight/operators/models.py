@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import (
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.operators import boosting, metrics, ranking
-from tillsight.sources.staging import materialize
+from tillsight.sources.staging import discard, materialize
 
 # The columns of the churn table.
 CHURN_FEATURES = ["tenure_days", "recency_days", "frequency", "monetary", "avg_order_value", "has_returned"]
@@ -107,9 +110,12 @@ def fit_tfidf(
             SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
         ]
     ).fit(train)
-    chosen, n = term_frequencies(counting.transform(train).select("_terms"), terms), train.count()
+    # Split once: frequent words are found first, then the pairs they form.
+    words = materialize(PipelineModel(stages=counting.stages[:2]).transform(train).select(F.col("_words").alias("_terms")))
+    chosen, n = term_frequencies(words, terms, pairs=True), words.count()
     # A model's vocabulary: at most `terms` rows.
     kept = chosen.orderBy(F.col("n").desc(), "term").collect()
+    discard(words)
     vocabulary = CountVectorizerModel.from_vocabulary([r.term for r in kept], inputCol="_terms", outputCol="_counts")
     weights = Vectors.dense([math.log((n + 1.0) / (r.n_rows + 1.0)) + 1.0 for r in kept])
     return PipelineModel(
@@ -122,18 +128,80 @@ def fit_tfidf(
     )
 
 
-def term_frequencies(rows: DataFrame, terms: int) -> DataFrame:
+#: Frequent words whose pairs tasks count by number, and entries a task counts together.
+FREQUENT_WORDS, COUNTED_ENTRIES = 100_000, 1 << 21
+
+
+def term_frequencies(rows: DataFrame, terms: int, pairs: bool = False) -> DataFrame:
     """term, n (occurrences), n_rows (rows that hold it) of the most frequent terms of the `_terms` arrays.
 
     Occurrences are summed by term alone; rows are only counted for the terms
-    taken, so nothing is shuffled by row and term.
+    taken, so nothing is shuffled by row and term. With `pairs`, `_terms` are
+    words in their order, and words that stand side by side count as terms too.
+    A pair occurs no more often than either word, so only pairs of words as
+    frequent as the last of the `terms` most frequent words are counted.
     """
     counted = rows.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    if pairs:
+        counted = materialize(counted)
+        top = counted.orderBy(F.col("n").desc()).limit(terms).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).first()
+        least = top.n if top.k == terms else 1
+        known = counted.where((F.col("n") >= least) & F.col("term").isNotNull()).limit(FREQUENT_WORDS + 1).toArrow()["term"].to_pylist()
+        if len(known) <= FREQUENT_WORDS:
+            found = _counted_pairs(rows, sorted(known)).where(F.col("n") >= least)
+            return materialize(found.orderBy(F.col("n").desc(), "term").limit(terms))
+        # Too many words are as rare as the last one taken.
+        last = F.size("_terms") - 1
+        both = F.zip_with(F.slice("_terms", 1, last), F.slice("_terms", 2, last), lambda a, b: F.concat_ws(" ", a, b))
+        return term_frequencies(rows.select(F.when(last > 0, F.concat("_terms", both)).otherwise(F.col("_terms")).alias("_terms")), terms)
     chosen = materialize(counted.orderBy(F.col("n").desc(), "term").limit(terms))
     held = rows.select(F.explode(F.array_distinct("_terms")).alias("term")).join(F.broadcast(chosen), "term")
     return held.groupBy("term", "n").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _counted_pairs(rows: DataFrame, known: list[str]) -> DataFrame:
+    """term, n, n_rows of the `known` words and of the pairs that they form side by side."""
+    m = len(known)
+
+    def added(parts: list) -> pa.RecordBatch:
+        code, times = (np.concatenate(x) for x in zip(*parts))
+        terms, at = np.unique(code, return_inverse=True)
+        n = np.bincount(at, times, len(terms)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (terms, n, np.bincount(at, minlength=len(terms)))], ["code", "n", "n_rows"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, parts, held = pa.array(known, pa.string()), [], 0
+        for batch in batches:
+            lists = batch.column(0)
+            words = lists.flatten()
+            at = pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            one = np.flatnonzero(at >= 0)
+            two = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & (row[1:] == row[:-1]))
+            code = np.concatenate([at[one], m + at[two] * m + at[two + 1]])
+            # By row and term: m * (m + 1) codes for each of a batch's rows.
+            both, times = np.unique(np.concatenate([row[one], row[two]]) * (m * (m + 1)) + code, return_counts=True)
+            parts.append((both % (m * (m + 1)), times))
+            held += len(both)
+            if held > COUNTED_ENTRIES:
+                yield added(parts)
+                parts, held = [], 0
+        if held:
+            yield added(parts)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(0).to_pylist()
+            terms = [known[c] if c < m else f"{known[c // m - 1]} {known[c % m]}" for c in codes]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *batch.columns[1:]], ["term", "n", "n_rows"])
+
+    counts = rows.select("_terms").mapInArrow(count, "code long, n long, n_rows long")
+    summed = counts.groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
+    return summed.mapInArrow(named, "term string, n long, n_rows long") if m else summed.select(
+        F.lit("").alias("term"), "n", "n_rows"
+    )
+
+
 def staged_features(tfidf: PipelineModel, rows: DataFrame) -> DataFrame:
     """features and stars of the reviews, written once: a fit reads its rows more than once."""
     return materialize(tfidf.transform(rows).select("features", "stars"))
