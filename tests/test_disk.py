@@ -5,8 +5,9 @@ import time
 from pathlib import Path
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
-from tillsight.operators import cleaning, keyphrases, reviews
+from tillsight.operators import boosting, cleaning, keyphrases, reviews
 from tillsight.plans import canonical as cn
 from tillsight.plans import voice
 from tillsight.sources import staging
@@ -98,3 +99,10 @@ def test_staged_reviews_hold_their_text_once(spark):
     assert "full_text" not in stored.columns and "full_text" in rows.columns
     want = cn.reviews_text(spark, SF_DIR).select("review_id", "full_text").collect()
     assert sorted(rows.select("review_id", "full_text").collect()) == sorted(want)
+
+
+def test_a_step_of_boosting_leaves_no_shuffle_files(spark):
+    rows = spark.createDataFrame([(i % 2, [i % 2 * 4 + 1]) for i in range(40)], "label int, codes array<int>")
+    before = shuffle_files(spark)
+    boosting.fit_trees(rows, 2, np.zeros((2, 2)), 1, 2, 4)
+    assert not left_of(spark, before)

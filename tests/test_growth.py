@@ -181,3 +181,48 @@ def test_pairs_are_counted_for_frequent_words_only(spark, monkeypatch):
     assert sorted(map(tuple, models.term_frequencies(rows, 25, pairs=True).select("term", "n", "n_rows").collect())) == sorted(
         (w, n[w], n_rows[w]) for w in sorted(n, key=lambda w: (-n[w], w))[:25]
     )
+
+
+def test_splits_follow_sums_over_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    bins, size = 4, 5
+    held = [{int(f): int(rng.integers(1, bins)) for f in rng.choice(size, rng.integers(0, size), replace=False)} for _ in range(90)]
+    rows = [(i % 2, [-1] * (i % 3 == 0) + [f * bins + b for f, b in sorted(h.items())]) for i, h in enumerate(held)]
+    df = spark.createDataFrame(rows, "label int, codes array<int>").repartition(2)
+    y = np.array([[1.0 if r[0] == k else -1.0 for r in rows] for k in range(2)])
+    x = np.array([[h.get(f, 0) for f in range(size)] for h in held])
+    done = [[[[1, 0, 0.0, 0.0], [-1, 0, 0.0, 0.5 + k], [-1, 0, 0.0, -0.25]]] for k in range(2)]
+    growing = [[[0, 1, 0.0, 0.0], [2, 0, 0.0, 0.0], [-1, 0, 0.0, 0.0], *([-1, 0, 0.0, 0.0] for _ in range(4))] for _ in range(2)]
+    monkeypatch.setattr(boosting, "ROWS_AT_ONCE", 7)
+    got = {(s.label, s.node): s for s in boosting.best_splits(df, done, growing, 2, size, bins, 3)}
+    for k in range(2):
+        margin = np.where(x[:, 1] > 0, -0.25, 0.5 + k)
+        target = 4 * y[k] / (1 + np.exp(2 * y[k] * margin))
+        node = np.where(x[:, 0] > 1, -1, np.where(x[:, 2] > 0, 1, 0))  # rows right of the root are in a leaf
+        for n in range(4):
+            t, z = target[node == n], x[node == n]
+
+            def gain(f, b):
+                low = z[:, f] <= b
+                sides = [s for s in (t[low], t[~low]) if len(s)]
+                return sum(s.sum() ** 2 / len(s) for s in sides) - t.sum() ** 2 / len(t) if len(sides) == 2 else -np.inf
+
+            best = max((gain(f, b) for f in range(size) for b in range(bins - 1)), default=-np.inf) if len(t) else -np.inf
+            assert got[k, n].gain == pytest.approx(best, abs=1e-8)
+            if np.isfinite(best):
+                assert gain(got[k, n].feature, got[k, n].bin) == pytest.approx(best, abs=1e-8)
+                assert got[k, n].n_low + got[k, n].n_high == len(t)
+
+
+def test_words_held_by_rows_give_the_features_of_the_stages(spark):
+    texts = ["The parcel was late. Late parcel, late!", "great shop great price", "", "the the", "price of a parcel: great price"]
+    df = spark.createDataFrame([(t, i % 5 + 1) for i, t in enumerate(texts)], "full_text string, stars int")
+    held = models.with_words(df, stop_words=["the", "of"])
+    for terms in (4, 100):
+        model = models.fit_tfidf(df, terms=terms, stop_words=["the", "of"])
+        other = models.fit_tfidf(held.drop("full_text"), terms=terms, stop_words=["the", "of"])
+        assert model.stages[4].vocabulary == other.stages[4].vocabulary
+        want = models.staged_features(model, df).collect()
+        got = models.staged_features(other, held.drop("full_text"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want))
+        assert [f.dataType for f in got.schema] == [f.dataType for f in models.staged_features(model, df).schema]

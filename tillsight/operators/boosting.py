@@ -16,6 +16,7 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -23,12 +24,12 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.sources.staging import materialize
+from tillsight.sources.staging import CLEANUP_SETTING, discard, materialize, settings
 
 STEP = 0.1
 BINS = 32
-#: Rows of a batch that are spread out over the features in use, and rows that are worth a task of their own.
-ROWS_AT_ONCE, ROWS_PER_TASK = 10_000, 2_500
+#: Rows that a task adds up together, and rows that are worth a task of their own.
+ROWS_AT_ONCE, ROWS_PER_TASK = 20_000, 2_500
 
 # A tree lists its nodes by level: node i has children 2i+1 and 2i+2. A node is
 # [feature, bin, threshold, value]; feature -1 marks a leaf, and values are means of the gradient.
@@ -70,37 +71,50 @@ def coded(entries: DataFrame, edges: np.ndarray, bins: int = BINS) -> DataFrame:
     return entries.select("label", "indices", "values").mapInArrow(code, "label int, codes array<int>")
 
 
-def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Labels, row numbers and codes of the entries, some rows at a time."""
-    for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-        part = batch.slice(start, ROWS_AT_ONCE)
-        labels = part.column(0).to_numpy()
-        lengths = part.column(1).value_lengths().to_numpy()
-        row, code = np.repeat(np.arange(len(labels)), lengths), part.column(1).flatten().to_numpy()
-        yield labels, row[code >= 0], code[code >= 0]
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, numbers of entries and codes of the entries, of about ROWS_AT_ONCE rows at a time."""
+    parts, held = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(start, ROWS_AT_ONCE)
+            parts.append(_entries(part.column(0), part.column(1)))
+            held += part.num_rows
+            if held >= ROWS_AT_ONCE:
+                yield tuple(np.concatenate(x) for x in zip(*parts))
+                parts, held = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _entries(labels: pa.Array, codes: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths, code = codes.value_lengths().to_numpy(), codes.flatten().to_numpy()
+    if len(code) and code.min() < 0:  # entries that are zero
+        held = code >= 0
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[held], minlength=len(lengths))
+        code = code[held]
+    return labels.to_numpy(zero_copy_only=False), lengths, code
 
 
 def leaf_places(tree: list, binned: np.ndarray, column: dict[int, int]) -> np.ndarray:
-    """The node of a tree that each row ends in."""
-    feature = np.array([column.get(n[0], -1) for n in tree])
-    cut = np.array([n[1] for n in tree])
-    at = np.zeros(len(binned), np.int64)
-    rows = np.arange(len(binned))
-    for _ in range(len(tree).bit_length() - 1):
-        inner = feature[at] >= 0
-        right = binned[rows, np.maximum(feature[at], 0)] > cut[at]
-        at = np.where(inner, 2 * at + 1 + right, at)
+    """The node of a tree that each row ends in; `binned` has a line for each feature."""
+    at = np.zeros(binned.shape[1], np.uint8 if len(tree) < 256 else np.int64)
+    for i, (feature, cut, *_) in enumerate(tree):
+        if feature >= 0:
+            right = binned[column[feature]] > cut
+            at += (at == i) * (right + at.dtype.type(i + 1))  # to 2i+1 or 2i+2
     return at
 
 
-def _binned(n_rows: int, row: np.ndarray, code: np.ndarray, features: list[int], size: int, bins: int):
-    """Bins of the named features as a full array, and their columns."""
+def _binned(lengths: np.ndarray, code: np.ndarray, features: list[int], size: int, bins: int):
+    """Bins of the named features, a line for each, and their places."""
     column = {f: i for i, f in enumerate(features)}
-    places = np.full(size, -1)
-    places[features] = np.arange(len(features))
-    out = np.zeros((n_rows, max(1, len(features))), np.uint8)
-    at = places[code // bins]
-    out[row[at >= 0], at[at >= 0]] = code[at >= 0] % bins
+    out = np.zeros((len(features), len(lengths)), np.uint8)
+    if features:
+        places = np.full(size, -1)
+        places[features] = np.arange(len(features))
+        at = places[code // bins]
+        held = np.flatnonzero(at >= 0)
+        out[at[held], np.repeat(np.arange(len(lengths)), lengths)[held]] = code[held] % bins
     return out, column
 
 
@@ -120,27 +134,32 @@ def best_splits(rows: DataFrame, done: list, growing: list, level: int, size: in
     used = _features([t for trees in (*done, growing) for t in trees])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, n_labels, n_nodes, cells))
+        sums = np.zeros((2, n_labels, cells * n_nodes))
         totals = np.zeros((2, n_labels, n_nodes))
-        for batch in batches:
-            for labels, row, code in _rows_of(batch):
-                binned, column = _binned(len(labels), row, code, used, size, bins)
-                for k in range(n_labels):
-                    margin = np.zeros(len(labels))
-                    for i, tree in enumerate(done[k]):
-                        values = np.array([n[3] for n in tree])
-                        margin += (STEP if i else 1.0) * values[leaf_places(tree, binned, column)]
-                    y = np.where(labels == k, 1.0, -1.0)
-                    target = 4.0 * y / (1.0 + np.exp(2.0 * y * margin)) if done[k] else y
-                    node = leaf_places(growing[k], binned, column) - first if level else np.zeros(len(labels), np.int64)
-                    live = node >= 0
-                    here = live[row]
-                    cell = node[row[here]] * cells + code[here]
-                    for j, w in enumerate((np.ones(len(labels)), target)):
-                        sums[j, k] += np.bincount(cell, w[row[here]], n_nodes * cells).reshape(n_nodes, cells)
-                        totals[j, k] += np.bincount(node[live], w[live], n_nodes)
+        for labels, lengths, code in _rows_of(batches):
+            binned, column = _binned(lengths, code, used, size, bins)
+            # Cells by code, then node: entries of a row come in the order of their codes.
+            base = code.astype(np.int64) * n_nodes
+            rows_held = np.bincount(base, minlength=cells) if not level else None
+            for k in range(n_labels):
+                margin = np.zeros(len(labels))
+                for i, tree in enumerate(done[k]):
+                    values = (STEP if i else 1.0) * np.array([n[3] for n in tree])
+                    margin += values[leaf_places(tree, binned, column)]
+                y = np.where(labels == k, 1.0, -1.0)
+                target = 4.0 * y / (1.0 + np.exp(2.0 * y * margin)) if done[k] else y
+                node = leaf_places(growing[k], binned, column).astype(np.int64) - first if level else np.zeros(len(labels), np.int64)
+                live = node >= 0
+                cell, weight = base + np.repeat(node, lengths) if level else base, np.repeat(target, lengths)
+                if not live.all():
+                    here = np.repeat(live, lengths)
+                    cell, weight, node, target = cell[here], weight[here], node[live], target[live]
+                sums[0, k] += np.bincount(cell, minlength=cells * n_nodes) if level else rows_held
+                sums[1, k] += np.bincount(cell, weight, cells * n_nodes)
+                totals[0, k] += np.bincount(node, minlength=n_nodes)
+                totals[1, k] += np.bincount(node, target, n_nodes)
         if totals.any():
-            parts = [sums[..., c * width : (c + 1) * width] for c in range(chunks)]
+            parts = [sums[..., c * width * n_nodes : (c + 1) * width * n_nodes] for c in range(chunks)]
             blobs = [np.concatenate([p.ravel(), totals.ravel()]).tobytes() for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "sums"])
 
@@ -148,7 +167,7 @@ def best_splits(rows: DataFrame, done: list, growing: list, level: int, size: in
         added = sum(np.frombuffer(blob) for blob in part["sums"])
         cut = len(added) - 2 * n_labels * n_nodes
         totals = added[cut:].reshape(2, n_labels, n_nodes)
-        held = added[:cut].reshape(2, n_labels, n_nodes, -1, bins)
+        held = np.moveaxis(added[:cut].reshape(2, n_labels, -1, bins, n_nodes), -1, 2)
         held[..., 0] = totals[..., None] - held.sum(-1)  # rows without the feature
         low = np.cumsum(held, -1)[..., :-1]
         high = totals[..., None, None] - low
@@ -168,11 +187,12 @@ def best_splits(rows: DataFrame, done: list, growing: list, level: int, size: in
 
     names = ["label", "node", "gain", "feature", "bin", "n_low", "s_low", "n_high", "s_high"]
     shape = "label int, node int, gain double, feature int, bin int, n_low double, s_low double, n_high double, s_high double"
-    sums = rows.mapInArrow(add, "chunk int, sums binary")
-
-    found = sums.repartition(chunks, "chunk").groupBy("chunk").applyInPandas(choose, shape)
     best = {}
-    for r in found.collect():  # one row for each label, node and chunk of features
+    with settings(rows.sparkSession, {CLEANUP_SETTING: "true"}):  # holds for what is planned inside
+        sums = rows.mapInArrow(add, "chunk int, sums binary")
+        found = sums.repartition(chunks, "chunk").groupBy("chunk").applyInPandas(choose, shape)
+        splits = found.collect()  # one row for each label, node and chunk of features
+    for r in splits:
         at = (r.label, r.node)
         if at not in best or (-r.gain, r.feature, r.bin) < (-best[at].gain, best[at].feature, best[at].bin):
             best[at] = r
@@ -240,17 +260,22 @@ class BoostedLabels(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 def fit_boosted_labels(features: DataFrame, label: str, labels: int, rounds: int, depth: int) -> BoostedLabels:
     """Trees for `labels` labels numbered from 0, each against the rest; `features` are vectors without negative entries."""
 
-    @F.udf("struct<size: int, indices: array<int>, values: array<double>>")
-    def entries(vector):
-        indices = vector.indices.tolist() if hasattr(vector, "indices") else list(range(len(vector)))
-        return len(vector), indices, vector.values.tolist()
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, indices, values = (pc.struct_field(batch.column(1), c) for c in ("size", "indices", "values"))
+            if indices.null_count:  # vectors that are not sparse
+                every = [list(range(len(v))) if i is None else i for i, v in zip(indices.to_pylist(), values.to_pylist())]
+                indices = pa.array(every, indices.type)
+                size = pc.coalesce(size, pc.list_value_length(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, indices, values], ["label", "size", "indices", "values"])
 
     spark = features.sparkSession
-    held = features.select(F.col(label).cast("int").alias("label"), entries("features").alias("x"))
-    staged = materialize(held.select("label", "x.*"))
+    held = features.select(F.col(label).cast("int").alias("label"), "features")
+    staged = materialize(held.mapInArrow(entries, "label int, size int, indices array<int>, values array<double>"))
     size, n = staged.agg(F.max("size"), F.count(F.lit(1))).first()
     edges = bin_edges(staged, size)
     # A task sends sums of a fixed size, so there are no more of them than run at once.
     tasks = min(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK))
     rows = materialize(coded(staged, edges).repartition(4 * tasks)).coalesce(tasks)
+    discard(staged)
     return BoostedLabels(trees=json.dumps(fit_trees(rows, labels, edges, rounds, depth)))

@@ -22,9 +22,10 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tillsight.operators import boosting, metrics, ranking
 from tillsight.sources.staging import discard, materialize
@@ -88,6 +89,21 @@ def evaluate_churn(name: str, model: PipelineModel, test: DataFrame) -> DataFram
 # --- stars --------------------------------------------------------------------------
 
 
+def _splitting(text: str, stop_words: Sequence[str] | None) -> list:
+    """The stages that make `_words` of a text."""
+    return [
+        RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2, toLowercase=True),
+        StopWordsRemover(
+            inputCol="_tokens", outputCol="_words", **({} if stop_words is None else {"stopWords": list(stop_words)})
+        ),
+    ]
+
+
+def with_words(df: DataFrame, text: str = "full_text", stop_words: Sequence[str] | None = None) -> DataFrame:
+    """`df` with the words (`_words`) that a TF-IDF model with these stop words splits its texts into."""
+    return PipelineModel(stages=_splitting(text, stop_words)).transform(df).drop("_tokens")
+
+
 def fit_tfidf(
     train: DataFrame, text: str = "full_text", terms: int = 3000, stop_words: Sequence[str] | None = None
 ) -> PipelineModel:
@@ -96,31 +112,27 @@ def fit_tfidf(
     The `terms` most frequent terms are taken, equal counts in order of the term,
     so the vocabulary does not depend on partitions. The inverse document
     frequency carries the customary + 1, so terms found in every review keep
-    some weight. `stop_words` default to the usual English ones.
+    some weight. `stop_words` default to the usual English ones. Rows of
+    `with_words` are not split again.
     """
-    counting = Pipeline(
-        stages=[
-            RegexTokenizer(
-                inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2, toLowercase=True
-            ),
-            StopWordsRemover(
-                inputCol="_tokens", outputCol="_words", **({} if stop_words is None else {"stopWords": list(stop_words)})
-            ),
-            NGram(n=2, inputCol="_words", outputCol="_pairs"),
-            SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
-        ]
-    ).fit(train)
+    pairs = [
+        NGram(n=2, inputCol="_words", outputCol="_pairs"),
+        SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
+    ]
     # Split once: frequent words are found first, then the pairs they form.
-    words = materialize(PipelineModel(stages=counting.stages[:2]).transform(train).select(F.col("_words").alias("_terms")))
-    chosen, n = term_frequencies(words, terms, pairs=True), words.count()
+    held = "_words" in train.columns
+    words = train if held else materialize(with_words(train, text, stop_words).select("_words"))
+    chosen, n = term_frequencies(words.select(F.col("_words").alias("_terms")), terms, pairs=True), words.count()
     # A model's vocabulary: at most `terms` rows.
     kept = chosen.orderBy(F.col("n").desc(), "term").collect()
-    discard(words)
+    if not held:
+        discard(words)
     vocabulary = CountVectorizerModel.from_vocabulary([r.term for r in kept], inputCol="_terms", outputCol="_counts")
     weights = Vectors.dense([math.log((n + 1.0) / (r.n_rows + 1.0)) + 1.0 for r in kept])
     return PipelineModel(
         stages=[
-            *counting.stages,
+            *_splitting(text, stop_words),
+            *pairs,
             vocabulary,
             ElementwiseProduct(scalingVec=weights, inputCol="_counts", outputCol="_weighted"),
             Normalizer(p=2.0, inputCol="_weighted", outputCol="features"),
@@ -203,8 +215,56 @@ def _counted_pairs(rows: DataFrame, known: list[str]) -> DataFrame:
 
 
 def staged_features(tfidf: PipelineModel, rows: DataFrame) -> DataFrame:
-    """features and stars of the reviews, written once: a fit reads its rows more than once."""
-    return materialize(tfidf.transform(rows).select("features", "stars"))
+    """features and stars of the reviews, written once: a fit reads its rows more than once.
+
+    Rows that hold their words (`with_words`) are counted by number, batch by
+    batch, with the same results as the model's stages.
+    """
+    if "_words" not in rows.columns:
+        return materialize(tfidf.transform(rows).select("features", "stars"))
+    plain = "type tinyint, size int, indices array<int>, values array<double>"
+    vectors = _vectors(tfidf.stages[4].vocabulary, tfidf.stages[5].getScalingVec().toArray())
+    schema = StructType([StructField("features", VectorUDT()), rows.schema["stars"]])
+    found = rows.select("_words", "stars").mapInArrow(vectors, f"features struct<{plain}>, stars {rows.schema['stars'].dataType.simpleString()}")
+    return materialize(found, schema)
+
+
+def _vectors(vocabulary: list[str], weights: np.ndarray):
+    """A function of batches of words and stars: unit-length weighted counts of the vocabulary's words and pairs, and stars."""
+    split = [t.split(" ") for t in vocabulary]
+    known = sorted({w for t in split for w in t})
+    number, m, size = {w: i for i, w in enumerate(known)}, len(known), len(vocabulary)
+    # A term's code: that of its word, or after these that of its pair.
+    codes = np.array([number[t[0]] if len(t) == 1 else m + number[t[0]] * m + number[t[1]] for t in split], np.int64)
+    order = np.argsort(codes)
+    ordered = codes[order]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(known, pa.string())
+        for batch in batches:
+            lists, n = batch.column(0), batch.num_rows
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            one = np.flatnonzero(at >= 0)
+            two = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0) & (row[1:] == row[:-1]))
+            code, rows = np.concatenate([at[one], m + at[two] * m + at[two + 1]]), np.concatenate([row[one], row[two]])
+            place = np.minimum(np.searchsorted(ordered, code), max(size - 1, 0))
+            hit = np.flatnonzero(ordered[place] == code) if size else np.empty(0, np.int64)
+            cell, times = np.unique(rows[hit] * max(size, 1) + order[place[hit]], return_counts=True)
+            rows, index = cell // max(size, 1), cell % max(size, 1)
+            values = times * weights[index]
+            # Added up in order, as the model's stages do.
+            norm = np.sqrt(np.bincount(rows, values * values, n))
+            values = values / norm[rows]
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]), pa.int32())
+            parts = [
+                pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)),
+                pa.ListArray.from_arrays(ends, pa.array(index, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(values)),
+            ]
+            features = pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([features, batch.column(1)], ["features", "stars"])
+
+    return count
 
 
 def on_features(tfidf: PipelineModel, model: PipelineModel) -> PipelineModel:

@@ -138,8 +138,10 @@ def _(spark, sf_dir):
 
 
 def star_setup(spark, sf_dir):
-    rows = materialize(cn.reviews_text(spark, sf_dir).select("review_id", "full_text", "stars"))
-    train, test = models.stratified_split(rows, "review_id", "stars")
+    """Reviews, their two parts, as words, and the features of the first part. Texts are split once."""
+    texts = cn.reviews_text(spark, sf_dir).select("review_id", "full_text", "stars")
+    rows = materialize(models.with_words(texts, stop_words=cn.STOP_WORDS))
+    train, test = models.stratified_split(rows.drop("full_text"), "review_id", "stars")
     train, test = materialize(train), materialize(test)
     tfidf = models.fit_tfidf(train, stop_words=cn.STOP_WORDS)
     return rows, train, test, tfidf

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,8 +40,21 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tillsight-stage-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write a reduced table once and read it back.
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for the queries that run inside."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write a reduced table once and read it back (as `schema`, if types of the same layout are wanted).
 
     Used where an operator reads its input several times or loops over it. The
     copy survives the loss of executors, cuts the lineage, and gives the
@@ -47,16 +63,9 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark)
-    wanted = {BATCH_SETTING: BATCH_BYTES, CLEANUP_SETTING: "true"}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
+    with settings(spark, {BATCH_SETTING: BATCH_BYTES, CLEANUP_SETTING: "true"}):
         df.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
