@@ -7,7 +7,7 @@ from pathlib import Path
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
-from tillsight.operators import boosting, cleaning, keyphrases, reviews
+from tillsight.operators import boosting, cleaning, keyphrases, models, reviews
 from tillsight.plans import canonical as cn
 from tillsight.plans import voice
 from tillsight.sources import staging
@@ -106,3 +106,13 @@ def test_a_step_of_boosting_leaves_no_shuffle_files(spark):
     before = shuffle_files(spark)
     boosting.fit_trees(rows, 2, np.zeros((2, 2)), 1, 2, 4)
     assert not left_of(spark, before)
+
+
+def test_a_split_leaves_rows_where_they_are(spark, monkeypatch):
+    rows = [(i % 50 if i % 7 else None, i % 3, "x" * i) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, label int, t string")
+    parts = models.stratified_split(df, "k", "label")
+    assert all("Exchange hash" not in p._jdf.queryExecution().executedPlan().toString() for p in parts)
+    monkeypatch.setattr(models, "TEST_KEYS", 0)  # more keys than are sent to all tasks
+    for got, want in zip(parts, models.stratified_split(df, "k", "label")):
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -35,9 +35,15 @@ CHURN_FEATURES = ["tenure_days", "recency_days", "frequency", "monetary", "avg_o
 SEED = 42
 
 
+#: Keys of test rows that are sent to every task rather than shuffling the rows.
+TEST_KEYS = 2_000_000
+
+
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """Train and test rows with the same label shares, repeatable on any cluster."""
-    test_keys = ranking.hashed_sample(df.select(key, label), key, test_share, [label], SEED).select(key)
+    test_keys = materialize(ranking.hashed_sample(df.select(key, label), key, test_share, [label], SEED).select(key))
+    if test_keys.count() <= TEST_KEYS:
+        test_keys = F.broadcast(test_keys)
     return df.join(test_keys, key, "left_anti"), df.join(test_keys, key, "left_semi")
 
 

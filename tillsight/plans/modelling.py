@@ -12,7 +12,7 @@ from tillsight.plans import check_sql as cs
 from tillsight.plans.registry import query
 from tillsight.plans.retail import CHURN_SQL, churn_table
 from tillsight.plans.value import fitted_values
-from tillsight.sources.staging import materialize
+from tillsight.sources.staging import discard, materialize
 
 CHURN_BACKGROUND = 100
 CLV_BACKGROUND = 100
@@ -137,12 +137,18 @@ def _(spark, sf_dir):
     return attribution.global_importance(values, CLV_FEATURES)
 
 
-def star_setup(spark, sf_dir):
-    """Reviews, their two parts, as words, and the features of the first part. Texts are split once."""
-    texts = cn.reviews_text(spark, sf_dir).select("review_id", "full_text", "stars")
-    rows = materialize(models.with_words(texts, stop_words=cn.STOP_WORDS))
-    train, test = models.stratified_split(rows.drop("full_text"), "review_id", "stars")
+def star_setup(spark, sf_dir, keep_texts=False):
+    """Reviews, their two parts, as words, and the features of the first part. Texts are split once.
+
+    The reviews' texts are staged for callers that keep them; else `rows` is read from the source.
+    """
+    rows = cn.reviews_text(spark, sf_dir).select("review_id", "full_text", "stars")
+    if keep_texts:
+        rows = materialize(rows)
+    words = materialize(models.with_words(rows, stop_words=cn.STOP_WORDS).drop("full_text"))
+    train, test = models.stratified_split(words, "review_id", "stars")
     train, test = materialize(train), materialize(test)
+    discard(words)
     tfidf = models.fit_tfidf(train, stop_words=cn.STOP_WORDS)
     return rows, train, test, tfidf
 
@@ -206,7 +212,7 @@ def _(spark, sf_dir):
 
 @query("n2_model_review_stars")
 def _(spark, sf_dir):
-    rows, train, _, tfidf = star_setup(spark, sf_dir)
+    rows, train, _, tfidf = star_setup(spark, sf_dir, keep_texts=True)
     model = models.fit_star_linear(tfidf, train)
     texts = rows.select("review_id", "full_text")
     return reviews.score_distinct(texts, "full_text", models.star_scorer(model)).select("review_id", "predicted_stars")
