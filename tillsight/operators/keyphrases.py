@@ -138,5 +138,8 @@ def _with_rare_words(tokens: DataFrame, key: str, known: pa.StringArray, idf: Da
     pairs = tokens.mapInArrow(rare, shape).join(idf.select("word", "idf"), "word")
     found = pairs.groupBy("_key").agg(F.collect_set(F.struct("word", "idf")).alias("_w"))
     none = F.array().cast("array<struct<word: string, idf: double>>")
-    listed = tokens.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_w", F.coalesce("_w", none))
-    return listed.select(key, "_tokens", F.col("_w.word").alias("_words"), F.col("_w.idf").alias("_idf"))
+    # Words hold no blanks; one string of them is shorter than their list where rows are shuffled.
+    packed = tokens.select(key, F.array_join("_tokens", " ").alias("_line"))
+    listed = packed.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("_w", F.coalesce("_w", none))
+    words = F.when(F.col("_line") == "", F.array().cast("array<string>")).otherwise(F.split("_line", " "))
+    return listed.select(key, words.alias("_tokens"), F.col("_w.word").alias("_words"), F.col("_w.idf").alias("_idf"))
